@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, packing, substring
+from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, ngram_join, packing, substring
 from claimloom.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op2_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_packed(bitpack.write_packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op3_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_report(documents(spark, sf_dir)).drop("text_key")
+
+
 def op4_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
@@ -37,5 +41,5 @@ def op10_winnowed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op4_cuckoo_line_dedup, op5_residual_packing, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op3_lsh_forest_join, op4_cuckoo_line_dedup, op5_residual_packing, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats)}
 ORACLE_SQL: dict[str, str] = {}
