@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, ngram_join, packing, substring
+from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
 from claimloom.llm.common import documents
 
 
@@ -29,6 +29,18 @@ def op5_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+#: The target weights of the mix, in parts; a source that is not named has one.
+WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), WEIGHTS, default=1, block=32).drop("text_key")
+
+
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op8_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -41,5 +53,5 @@ def op10_winnowed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op3_lsh_forest_join, op4_cuckoo_line_dedup, op5_residual_packing, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op3_lsh_forest_join, op4_cuckoo_line_dedup, op5_residual_packing, op6_pfair_mix, op7_stupid_backoff, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats)}
 ORACLE_SQL: dict[str, str] = {}
