@@ -151,7 +151,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     """The rows of docs, with all their columns, whose text has a language with at least that score."""
     if not model.languages:
         return docs.limit(0)
-    kinds = [f for f in docs.schema.fields]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def passes(batches: Iterator) -> Iterator[pa.RecordBatch]:
@@ -168,5 +167,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 keep.append(bool(words) and share.max() / share.sum() >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    assert kinds
     return docs.mapInArrow(passes, docs.schema)

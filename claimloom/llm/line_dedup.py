@@ -248,7 +248,7 @@ def line_report(docs: DataFrame, least_chars: int = 10) -> DataFrame:
 def clean(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     """docs with their columns, the repeated lines gone from text; texts of which nothing is left go as a whole."""
     lost = build_index(docs, least_chars).dropped().withColumnRenamed("doc_id", "__lost_id")
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost_id"), "left").drop("__lost_id")
+    joined, names = docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost_id"), "left").drop("__lost_id"), docs.columns
 
     def rewrite(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +256,8 @@ def clean(docs: DataFrame, least_chars: int = 10) -> DataFrame:
             for text, lost in zip(batch.column("text"), batch.column("__lost"), strict=True):
                 text, lost = text.as_py(), lost.as_py()
                 out.append("\n".join(_kept_lines(text or "", set(lost), least_chars)[1]) if lost else text)
-            arrays = [pa.array(out, batch.schema.field(f).type) if f == "text" else batch.column(f) for f in docs.columns]
-            done = pa.RecordBatch.from_arrays(arrays, docs.columns)
+            arrays = [pa.array(out, batch.schema.field(f).type) if f == "text" else batch.column(f) for f in names]
+            done = pa.RecordBatch.from_arrays(arrays, names)
             gone = [bool(lost.as_py()) and not (text or "").strip() for text, lost in zip(out, batch.column("__lost"), strict=True)]
             yield done.filter(pa.array([not g for g in gone], pa.bool_()))
 

@@ -17,7 +17,7 @@ SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The pre-tokenizer patterns of the two kinds of file, restricted to the plain characters.
 WORD_PIECES = re.compile(f"{SHORT}|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
 BYTE_PIECES = re.compile(f"{SHORT}| ?[{LATIN}]+| ?[0-9]+| ?[^\\s{LATIN}0-9]+|\\s+(?!\\S)|\\s+")
-PLAIN = re.compile("[ \n]*[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*")
 #: Spaces for Python but not for the tokenizers.
 ODD = re.compile("[\x1c-\x1f]")
 PART = re.compile(r"\s*\S+|\s+")
@@ -33,7 +33,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """path: a BPE file of the tokenizers library with byte-level pieces."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,38 +41,49 @@ class Encoder:
         shape = json.loads(open(path).read())
         self.drops_space = shape["normalizer"] is not None
         self.special = [t["content"] for t in shape["added_tokens"]]
-        self.keep, self.parts, self.pieces, self.letters = keep, _Parts(self), {}, byte_letters()
+        self.split = WORD_PIECES.findall if self.drops_space else BYTE_PIECES.findall
+        self.pieces, self.parts = _Pieces(self.tokenizer, keep), _Parts(self, keep // 4)
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special) or (not self.drops_space and ODD.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        if PLAIN.fullmatch(text):
+            return np.frombuffer(self.plain(text), "<u4")
         parts = text.encode().split() if self.drops_space else PART.findall(text)
         return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), "<u4")
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= self.keep:
-                self.pieces.clear()
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        return found
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.drops_space else text)))
+
+
+class _Pieces(dict):
+    """Ids of what the pre-tokenizer makes of a plain text, by the tokenizer's model."""
+
+    def __init__(self, tokenizer, keep: int):
+        self.merge, self.keep, self.letters = tokenizer.model.tokenize, keep, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.keep:
+            self.clear()
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self[piece] = np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
+        return ids
 
 
 class _Parts(dict):
-    def __init__(self, of: Encoder):
-        self.of = of
+    """Ids of the parts of other texts."""
+
+    def __init__(self, of: Encoder, keep: int):
+        self.of, self.keep = of, keep
 
     def __missing__(self, part) -> bytes:
-        of = self.of
-        if len(self) >= of.keep:
+        if len(self) >= self.keep:
             self.clear()
-        text = part.decode() if of.drops_space else part
+        text = part.decode() if self.of.drops_space else part
         if PLAIN.fullmatch(text):
-            split = WORD_PIECES.findall(text.lower()) if of.drops_space else BYTE_PIECES.findall(text)
-            ids = b"".join(map(of.piece, split))
+            ids = self.of.plain(text)
         else:
-            ids = np.array(of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[part] = ids
         return ids
 
