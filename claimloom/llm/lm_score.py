@@ -34,6 +34,17 @@ TOLD = "block long, n int, part int, counts binary"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, a plane for each byte: the high planes of close values are zeros, which compress."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def widen(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def blocks(docs: DataFrame, words_each: int = 1 << 20) -> DataFrame:
     """Whole documents as ids into the block's own vocabulary of word hashes, frequent words first; bytes by planes, which compress."""
 
@@ -123,8 +134,8 @@ def _asked(made: DataFrame, told: DataFrame | None, n: int, bits: int, least: in
     def ask(row: dict, answers: list) -> pa.RecordBatch:
         _, grams, _, times = Block(row, answers, least).grams(n, least)
         cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-        parts = np.flatnonzero(np.diff(cuts))
-        data = [grams[cuts[p] : cuts[p + 1]].tobytes() for p in parts]
+        parts, low = np.flatnonzero(np.diff(cuts)), np.uint64(2 ** (64 - bits) - 1)  # the part itself has the high bits
+        data = [squeeze(grams[cuts[p] : cuts[p + 1]] & low) for p in parts]
         numbers = [times[cuts[p] : cuts[p + 1]].astype(np.uint32).tobytes() for p in parts]
         return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([row["block"]] * len(parts), pa.int64()), pa.array(data, pa.binary()), pa.array(numbers, pa.binary())], ["part", "block", "grams", "times"])
 
@@ -138,7 +149,7 @@ def _answered(asked: DataFrame, n: int, least: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         data = table["grams"].to_pylist()
-        grams = np.frombuffer(b"".join(data), np.uint64)
+        grams = np.concatenate([widen(d) for d in data])
         times = np.frombuffer(b"".join(table["times"].to_pylist()), np.uint32)
         distinct, inverse = np.unique(grams, return_inverse=True)
         total = np.bincount(inverse, times, len(distinct)).astype(np.uint32)
