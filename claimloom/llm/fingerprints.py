@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import GOLDEN, materialize, mix, range_buckets, rows, texts
@@ -132,12 +132,11 @@ def edit_likeness(docs: DataFrame, make: OrderMinHash | None = None) -> DataFram
     base = texts(docs).withColumn("order_id", F.coalesce("doc_id", F.lit(-(2**63))))
     dealt = range_buckets(base, "order_id", "part")
     heads = materialize(dealt.groupBy("part").agg(F.max("order_id").alias("order_id")), "fingerprint-heads")
-    parts = [r.part for r in heads.select("part").sort(F.desc("part")).collect()]  # at most one for each range
-    if not parts:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    before = F.create_map(*[F.lit(x) for i, p in enumerate(parts) for x in (p, parts[i - 1])])
-    first = dealt.join(F.broadcast(heads), ["part", "order_id"]).groupBy("part", "order_id").agg(F.min("text").alias("text"))
-    tails = first.select(before[F.col("part")].alias("part"), F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text", "order_id")
+    # each head closes the range before its own in descending order, the first one the last range; a row for each range
+    last = Window.orderBy("part")
+    closes = heads.select("part", "order_id", F.coalesce(F.lead("part").over(last), F.min("part").over(Window.partitionBy())).alias("closes"))
+    first = dealt.join(F.broadcast(closes), ["part", "order_id"]).groupBy("closes").agg(F.min("text").alias("text"), F.first("order_id").alias("order_id"))
+    tails = first.select(F.col("closes").alias("part"), F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text", "order_id")
     ordered = dealt.select("part", F.lit(0).alias("extra"), "doc_id", "text", "order_id").unionByName(tails)
     ordered = ordered.repartition("part").sortWithinPartitions("part", "extra", F.desc("order_id"), "text")
     return ordered.select("part", "extra", "doc_id", "text").mapInArrow(lambda batches: _compare(batches, make), SCHEMA)

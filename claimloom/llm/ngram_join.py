@@ -212,9 +212,14 @@ def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE)
 
 
 def keep_one(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with their columns: of each class only the row that gives it its name (of equal rows, one)."""
+    """docs with their columns: of each class only the row that gives it its name (of equal rows, one).
+
+    Rows without an id stay unless a row with one is in their class; of those with equal texts one stays.
+    """
     report = join_report(docs, forest)
-    kept = report.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("text_key").alias("__key")).withColumnRenamed("doc_id", "__id")
+    kept = report.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("text_key").alias("__key")).withColumnRenamed("doc_id", "__id")
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    named = keyed.where(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return named.dropDuplicates(["doc_id"]).drop("__text_key")
+    named = keyed.join(kept, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    alone = report.where(F.col("class_id").isNull()).select(F.col("text_key").alias("__key")).distinct()
+    nameless = keyed.where(F.col("doc_id").isNull()).join(alone, F.col("__text_key") == F.col("__key"), "left_semi").dropDuplicates(["__text_key"])
+    return named.unionByName(nameless).drop("__text_key")

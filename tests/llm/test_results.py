@@ -137,6 +137,33 @@ def test_ngram_join(spark):
     assert ngram_join.join_report(awkward.empty(spark)).count() == 0
 
 
+def test_keep_one_of_each_class(spark):
+    docs = awkward.table(spark)
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = [r.doc_id for r in got.collect()]
+    report = ngram_join.join_report(docs).collect()
+    assert Counter(k for k in kept if k is not None) == Counter({r.class_id for r in report if r.class_id is not None})
+    assert kept.count(None) == 1 and not {54, 55, 56, 61, 62} & set(kept)
+    assert ngram_join.keep_one(awkward.empty(spark)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    awkward.table(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    after = {r.doc_id for r in docs.collect()}
+    assert after <= before and set(range(40)) <= after and not {54, 55, 56, 60, 61, 62, 63, 66} & after
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(after)
+
+
 def test_recall_of_prefix_depth():
     assert ngram_join.prefix_depth(0.8, 20, 0.9995, 10) == 5
     assert 1 - (1 - 0.8**5) ** 20 >= 0.9995 > 1 - (1 - 0.8**6) ** 20
