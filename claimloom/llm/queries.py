@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
 from claimloom.llm.common import documents
+from claimloom.llm.oracle import ORACLE_SQL
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +54,5 @@ def op10_winnowed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op3_lsh_forest_join, op4_cuckoo_line_dedup, op5_residual_packing, op6_pfair_mix, op7_stupid_backoff, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats)}
-ORACLE_SQL: dict[str, str] = {}
