@@ -30,7 +30,7 @@ from claimloom.llm.common import MAX_ID, WordHashes, materialize, rolling, texts
 BASE = 0x9E3779B97F4A7C55
 BLOCKS = "block long, doc_ids binary, lengths binary, vocabulary binary, ids binary, words long"
 ASKED = "part int, block long, grams binary, times binary"
-TOLD = "block long, n int, part int, counts binary"
+TOLD = "block long, n int, part int, width int, counts binary"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
@@ -45,6 +45,11 @@ def widen(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def narrowest(counts: np.ndarray) -> int:
+    """Bytes for each count: four, or eight where a count of the whole corpus is beyond 32 bits."""
+    return 8 if len(counts) and int(counts.max()) >= 1 << 32 else 4
+
+
 def blocks(docs: DataFrame, words_each: int = 1 << 20) -> DataFrame:
     """Whole documents as ids into the block's own vocabulary of word hashes, frequent words first; bytes by planes, which compress."""
 
@@ -80,19 +85,19 @@ def blocks(docs: DataFrame, words_each: int = 1 << 20) -> DataFrame:
 class Block:
     """A block's n-grams, and what it has been told of their counts so far."""
 
-    def __init__(self, row: dict, told: list[tuple[int, int, bytes]], least: int):
+    def __init__(self, row: dict, told: list[tuple[int, int, int, bytes]], least: int):
         self.doc_ids, self.lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
         ids = np.ascontiguousarray(np.frombuffer(row["ids"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
         self.words = np.frombuffer(row["vocabulary"], np.uint64)[ids]
         starts = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.at = np.arange(len(self.words)) - starts  # place in its document
         self.counts: list[np.ndarray] = []  # by order, of the n-gram that ends at each word; 0: not seen
-        answers: dict[int, dict[int, bytes]] = {}
-        for n, part, counts in told:
-            answers.setdefault(n, {})[part] = counts
+        answers: dict[int, dict[int, np.ndarray]] = {}
+        for n, part, width, counts in told:
+            answers.setdefault(n, {})[part] = np.frombuffer(counts, f"<u{width}")
         for n in sorted(answers):
             where, _, inverse, _ = self.grams(n, least)
-            found = np.concatenate([np.frombuffer(answers[n][p], np.uint32) for p in sorted(answers[n])])
+            found = np.concatenate([answers[n][p] for p in sorted(answers[n])])
             counts = np.zeros(len(self.words), np.int64)
             counts[where] = found[inverse]
             self.counts.append(counts)
@@ -125,7 +130,7 @@ class Block:
 
 
 def _told(table: pa.Table) -> list[tuple]:
-    return list(zip(table["n"].to_pylist(), table["part"].to_pylist(), table["counts"].to_pylist(), strict=True))
+    return list(zip(*(table[c].to_pylist() for c in ("n", "part", "width", "counts")), strict=True))
 
 
 def _asked(made: DataFrame, told: DataFrame | None, n: int, bits: int, least: int) -> DataFrame:
@@ -152,13 +157,14 @@ def _answered(asked: DataFrame, n: int, least: int) -> DataFrame:
         grams = np.concatenate([widen(d) for d in data])
         times = np.frombuffer(b"".join(table["times"].to_pylist()), np.uint32)
         distinct, inverse = np.unique(grams, return_inverse=True)
-        total = np.bincount(inverse, times, len(distinct)).astype(np.uint32)
+        total = np.bincount(inverse, times, len(distinct)).astype(np.uint64)
         if n > 1:
             total[total < least] = 0
-        answer = total[inverse]
+        width = narrowest(total)
+        answer = total.astype(f"<u{width}")[inverse]
         ends = np.cumsum([len(d) // 8 for d in data])
         counts = [answer[e - len(d) // 8 : e].tobytes() for d, e in zip(data, ends, strict=True)]
-        return pa.table([table["block"], pa.array([n] * len(data), pa.int32()), table["part"], pa.array(counts, pa.binary())], ["block", "n", "part", "counts"])
+        return pa.table([table["block"], pa.array([n] * len(data), pa.int32()), table["part"], pa.array([width] * len(data), pa.int32()), pa.array(counts, pa.binary())], ["block", "n", "part", "width", "counts"])
 
     return asked.groupBy("part").applyInArrow(count, TOLD)
 

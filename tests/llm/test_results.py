@@ -302,6 +302,22 @@ def test_squeezed_hashes():
         assert (lm_score.widen(lm_score.squeeze(values)) == values).all()
 
 
+def test_counts_beyond_32_bits():
+    """What a block is told of a very frequent word and what of others give one array of whole counts."""
+    hashes = np.array([5, 2**63, 9], np.uint64)
+    row = {"doc_ids": np.array([1]).tobytes(), "lengths": np.array([3], np.int32).tobytes(), "vocabulary": hashes.tobytes(), "ids": np.arange(3, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()}
+    grams = np.unique(lm_score.rolling(hashes, 1, lm_score.BASE))
+    counts = {g: c for g, c in zip(grams, [7_000_000_000, 3, 2**32 - 1], strict=True)}
+    told = []
+    for part, some in enumerate((grams[:1], grams[1:])):
+        values = np.array([counts[g] for g in some], np.uint64)
+        width = lm_score.narrowest(values)
+        told.append((1, part, width, values.astype(f"<u{width}").tobytes()))
+    assert [t[2] for t in told] == [8, 4] and lm_score.narrowest(np.array([], np.uint64)) == 4
+    block = lm_score.Block(row, told, 2)
+    assert list(block.counts[0]) == [counts[lm_score.rolling(hashes[i : i + 1], 1, lm_score.BASE)[0]] for i in range(3)]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_stupid_backoff(spark, order):
     words = [(i, t.encode().split()) for i, t in ROWS]
