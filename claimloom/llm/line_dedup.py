@@ -195,8 +195,12 @@ class LineIndex:
         return self.refs.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "owner")
 
     def dropped(self) -> DataFrame:
-        """doc_id and the keys that it loses; a document's keys only, so bounded by its own lines."""
-        lost = self.refs.join(self.owners(), "key").where(F.col("doc_id") > F.col("owner"))
+        """doc_id and the keys that it loses; a document's keys only, so bounded by its own lines.
+
+        Owners are a table first: both sides of the join are then plain exchanges, which Spark splits where one key has
+        many references, and it broadcasts the owners if their size in files is under its own limit.
+        """
+        lost = self.refs.join(materialize(self.owners(), "line-owners"), "key").where(F.col("doc_id") > F.col("owner"))
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("__lost"))
 
 
@@ -224,7 +228,7 @@ def _kept_lines(text: str, lost: set[bytes], least_chars: int) -> tuple[int, lis
 
 
 def build_index(docs: DataFrame, least_chars: int = 10) -> LineIndex:
-    """An index of all the documents; a shard for about every 50,000 documents' worth of lines, 64 at least."""
+    """An index of all the documents; a shard for about every 4,096 documents, 64 at least."""
     shards = max(64, docs.count() // 4096)
     return LineIndex(docs.sparkSession, shards, least_chars=least_chars).insert(docs)
 
