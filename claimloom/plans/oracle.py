@@ -170,6 +170,8 @@ ORACLE_SQL: dict[str, str] = {
       LEFT JOIN (SELECT evidence_id, count(DISTINCT claim_paper) AS papers, count(*) AS claims FROM against GROUP BY evidence_id) a ON e.evidence_id = a.evidence_id LEFT JOIN (SELECT evidence_id, {LISTED.format('claim_id', "claim_paper IN ('src3', 'src7')")} AS leans_on FROM spliced GROUP BY evidence_id) l ON e.evidence_id = l.evidence_id
       WHERE e.paper_id IN ('src3', 'src7')"""),
     "accommodated_tensions": _situated("SELECT edge_id, round(sq, 6) AS residual_sq FROM (SELECT s.edge_id, CASE WHEN s.regime_tag = 'in_regime' THEN 1.0 ELSE n.s * n.s END * s.residual * s.residual AS sq FROM spliced s JOIN narrowed n ON s.claim_id = n.claim_id) x WHERE sq > 0.05"),
+    "source_spans": r"""SELECT doc_id, trim(regexp_replace(CASE WHEN place >= 0 THEN substring(text, greatest(place - 120, 0) + 1, place + 360 - greatest(place - 120, 0)) ELSE left(text, 360) END, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS span
+      FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'des'), 0), nullif(instr(lower(text), 'ung'), 0), nullif(instr(lower(text), 'que'), 0), 0) - 1 AS place FROM documents) d""",
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
     "shipped_parts_residuals": """WITH part_stat AS (SELECT l_partkey, p_brand, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n, min(l_suppkey) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, p_brand),
       ev AS (SELECT l_partkey, p_brand, s, CASE WHEN r * (SELECT count(*) FROM lineitem) >= (SELECT sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM lineitem) * n THEN 1.0 ELSE 0.0 END AS v FROM part_stat),
