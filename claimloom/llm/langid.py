@@ -93,6 +93,11 @@ def _table(counts: DataFrame, key: str, most: int, languages: list[str]) -> dict
     return out
 
 
+def words_in(text: str) -> list[str]:
+    """Lower-cased words; none if the text has no letter, as signs like fractions count among words but not among letters."""
+    return WORD.findall(text.lower()) if any(map(str.isalpha, text)) else []
+
+
 class _Scores(dict):
     """Index of each word into a growing matrix of scores."""
 
@@ -124,7 +129,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             names, sure = [], []
             for text in batch.column("text"):
-                words = WORD.findall(text.as_py().lower()) if model.languages else []
+                words = words_in(text.as_py()) if model.languages else []
                 if not words:
                     names.append(UNKNOWN)
                     sure.append(0.0)
@@ -158,7 +163,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         for batch in batches:
             keep = []
             for text in batch.column("text"):
-                words = WORD.findall((text.as_py() or "").lower())
+                words = words_in(text.as_py() or "")
                 if words:
                     scores.room()
                     at = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))

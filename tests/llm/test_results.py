@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
+from claimloom.llm.components import components
 from tests.llm import awkward
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -349,6 +350,19 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(awkward.table(spark), langid.learn(awkward.empty(spark))).collect()} == {"und"}
 
 
+def test_signs_are_not_letters(spark):
+    model = langid.learn(awkward.table(spark))
+    docs = spark.createDataFrame([(1, "½ ² ③"), (2, "½ the")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(docs, model).collect()} == {1: True, 2: False}
+    assert [r.doc_id for r in langid.keep_identified(docs, model).collect()] == [2]
+
+
+def test_components_of_a_long_path_with_large_ids(spark):
+    ids = [2**62 + 7 * i for i in range(40)]
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (5, 5), (9, 8)], "a long, b long")
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(i, ids[0]) for i in ids} | {(9, 8), (8, 8)}
+
+
 def test_unseen_words_back_off():
     v = lambda *x: np.array(x, float)
     model = langid.Model(["x", "y"], {"known": v(-1, -9)}, [{c: v(-5, -5) for c in "abcdz<>"}, {"ab": v(-1, -6)}, {"bcd": v(-7, -2)}], 1.0)
