@@ -43,9 +43,9 @@ class OrderMinHash:
         h = np.zeros(n, np.uint64)
         for j in range(k):
             h = h * GOLDEN + points[j : j + n]
-        low = np.uint64((1 << max(1, n.bit_length())) - 1)
-        packed = np.sort((mix(h) & ~low) | np.arange(n, dtype=np.uint64))
-        kmer, at = packed & ~low, (packed & low).astype(np.int64)
+        kmer = mix(h)
+        at = np.argsort(kmer, kind="stable")  # equal k-mers in order of place
+        kmer = kmer[at]
         index = np.arange(n)
         first = np.where(np.concatenate([[True], kmer[1:] != kmer[:-1]]), index, 0)
         occurrence = (index - np.maximum.accumulate(first)).astype(np.uint64)

@@ -64,6 +64,42 @@ def test_fingerprint_follows_order_and_edits():
     assert fingerprints.likeness(make.sign(""), make.sign("")) == 1 and fingerprints.likeness(make.sign(""), make.sign("a")) == 0
 
 
+def plain_order_minhash(make, text: str) -> list[tuple]:
+    """Of each sketch the selected (k-mer, occurrence) in order of place, with ids made one by one from whole hashes."""
+    mask, had, ids, k = 2**64 - 1, Counter(), [], min(make.k, len(text))
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * int(fingerprints.GOLDEN) + ord(c)) & mask
+        h = int(fingerprints.mix(np.array([h], np.uint64))[0])
+        ids.append(int(fingerprints.mix(np.array([(h + had[h] * int(fingerprints.GOLDEN)) & mask], np.uint64))[0]))
+        had[h] += 1
+    out = []
+    for flip, times in zip(make.flip[:, 0], make.times[:, 0], strict=True):
+        least = sorted(range(len(ids)), key=lambda i: ((ids[i] ^ int(flip)) * int(times)) & mask)[: make.l]
+        out.append(tuple(ids[i] for i in sorted(least)))
+    return out
+
+
+def test_fingerprint_does_not_depend_on_length():
+    """Near copies whose numbers of k-mers lie on either side of a power of two."""
+    draw, make = np.random.default_rng(8), fingerprints.OrderMinHash()
+    text = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz "), 1035))
+    plain = np.mean([a == b for a, b in zip(plain_order_minhash(make, text[:1020]), plain_order_minhash(make, text), strict=True)])
+    assert fingerprints.likeness(make.sign(text[:1020]), make.sign(text)) == plain > 0.85
+
+
+@pytest.mark.parametrize("text", ["abc", "ab" * 300, "to be or not to be " * 9 + "that is the question"])
+def test_fingerprint_is_plain_order_minhash(text):
+    make, out = fingerprints.OrderMinHash(), []
+    for ids in plain_order_minhash(make, text):
+        h = np.zeros(1, np.uint64)
+        for i in ids:
+            h = fingerprints.mix(h + np.uint64(i))
+        out.append((int(h[0]) >> 32) | 1)
+    assert list(make.sign(text)) == out
+
+
 def test_fingerprint_chunks_do_not_matter(monkeypatch):
     text = " ".join(f"w{i * i % 977}" for i in range(4000))
     whole = fingerprints.OrderMinHash().sign(text)
