@@ -16,6 +16,9 @@ from claimloom.llm import langid, line_dedup, mixing, ngram_join, packing
 from claimloom.llm.common import documents, shared_dir
 from claimloom.llm.queries import WEIGHTS
 
+#: The order of the mix, which the mix stage writes and the packing stage follows.
+MIX = {"weights": WEIGHTS, "default": 1, "block": 32}
+
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or with an unclear language go."""
@@ -33,13 +36,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix, which the files of the result keep."""
-    return mixing.in_mixed_order(docs, weights=WEIGHTS, default=1, block=32)
+    """All documents, in the order of the mix. Readers of the files need not keep it: packed() finds it again from the rows."""
+    return mixing.in_mixed_order(docs, **MIX)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and the sequence that holds each."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    """Pieces of at most 1024 tokens and the sequence that holds each; sequences follow the mix, up to groups of 4096 pieces."""
+    return packing.pack_mixed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, group=4096, **MIX)
 
 
 STAGES = [("language", identified), ("line_dedup", lines_once), ("near_duplicates", one_of_each), ("mix", mixed), ("packing", packed)]

@@ -307,6 +307,27 @@ def test_packing_merges_groups(spark):
     assert n <= -(-int(sizes.sum()) // 1024) * 1.01 + 1
 
 
+def test_weights_of_the_mix_order_the_sequences(spark, tmp_path, monkeypatch):
+    """With other weights the packing stage gives another order of sequences, whatever files and order its documents come in."""
+    import corpus_pipeline
+
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(str(x) for x in draw.integers(0, 999, 60)), "en", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    early, monkeyed = {}, dict(corpus_pipeline.MIX, block=4)
+    whole = packing.pack_mixed
+    monkeypatch.setattr(packing, "pack_mixed", lambda *a, **k: whole(*a, **{**k, "group": 40}))
+    for name, weights, n in (("a", {"a": 9, "b": 1}, 1), ("a again", {"a": 9, "b": 1}, 7), ("b", {"a": 1, "b": 9}, 1)):
+        monkeypatch.setattr(corpus_pipeline, "MIX", {**monkeyed, "weights": weights})
+        got = corpus_pipeline.packed(spark, docs.repartition(n), "").collect()
+        assert Counter(r.doc_id for r in got) == Counter(range(400))
+        n_bins = check_bins([(r.sequence_id, r.offset, r.length) for r in got], 1024)
+        assert {r.sequence_id for r in got} == set(range(n_bins))
+        early[name] = Counter("ab"[r.doc_id % 2] for r in got if r.sequence_id < n_bins // 4)
+    assert early["a"]["a"] > 0.8 * early["a"].total() and early["b"]["b"] > 0.8 * early["b"].total()
+    assert early["a again"]["a"] > 0.8 * early["a again"].total()
+
+
 @pytest.mark.parametrize("weights", [{"a": 3, "b": 2, "c": 1}, {"a": 7, "b": 1, "c": 1}, {"a": 5, "b": 4, "c": 4, "d": 3, "e": 1}])
 def test_pfair_mix_stays_within_a_block(spark, weights):
     total, periods, block = sum(weights.values()), 3, 2
