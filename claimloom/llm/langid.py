@@ -1,7 +1,9 @@
 """Language identification by words first, with backoff to shorter and shorter character n-grams.
 
-Learning counts, with Spark, the words of labelled documents by language and keeps the most frequent ones with their log
-frequencies, and likewise the character n-grams of the words. A known word scores by its log frequency in each language.
+Learning counts, with Spark, the words of labelled documents by language and keeps those with the greatest share of any
+language's words, so that languages with few documents keep theirs, with their log frequencies, and likewise the character
+n-grams of the words. A run of more than 64 letters, as texts without spaces have, is no word: all its n-grams count,
+wherever they stand, and it weighs as much as its length over 64 words. A known word scores by its log frequency in each language.
 An unseen word is scored by its n-grams of the greatest length; each one that is unknown falls back to the next shorter
 n-grams inside it, down to single letters. Both tables are bounded by parameters, so the model is small enough to
 broadcast; at most `sample` documents for each language, chosen by a hash of doc_id, are learned from.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from claimloom.llm.common import materialize, texts
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 FLOOR = 1e-7
+#: Letters of the longest word; longer runs are scored by their n-grams alone.
+LONGEST = 64
 
 
 @dataclass
@@ -36,9 +40,10 @@ class Model:
     words: dict[str, np.ndarray]
     grams: list[dict[str, np.ndarray]]  # by length, from 1
     weight: float  # of an n-gram's score, so that a word's n-grams together count about as one word
+    memory: dict[str, np.ndarray] = field(default_factory=dict)  # of n-grams that backed off lately
 
     def score(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
+        found = self.words.get(word) if len(word) <= LONGEST else None
         return found if found is not None else self._backoff(f"<{word}>", len(self.grams)) * self.weight
 
     def _backoff(self, text: str, n: int) -> np.ndarray:
@@ -50,7 +55,11 @@ class Model:
             gram = text[i : i + n]
             found = self.grams[n - 1].get(gram)
             if found is None and n > 1:
-                found = self._backoff(gram, n - 1)
+                found = self.memory.get(gram)
+                if found is None:
+                    if len(self.memory) >= 50_000:
+                        self.memory.clear()
+                    found = self.memory[gram] = self._backoff(gram, n - 1)
             if found is not None:
                 total += found
                 count += 1
@@ -73,22 +82,33 @@ def learn(docs: DataFrame, sample: int = 4000, n_words: int = 20_000, n_grams: i
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < chance[F.col("lang")] * 1_000_000
     word = F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")
     counted = labelled.where(drawn).select("lang", word).groupBy("lang", "word").count()
-    words = materialize(counted.withColumn("word", F.substring("word", 1, 64)).groupBy("lang", "word").agg(F.sum("count").alias("n")), "language-words")
-    model_words = _table(words, "word", n_words, languages)
+    words = materialize(counted.withColumnRenamed("count", "n"), "language-words")
+    model_words = _table(words.where(F.length("word") <= LONGEST), "word", n_words, languages)
+    # a run in pieces, each with the letters after it that its last n-grams need, so that each n-gram is in one piece
+    chunks = F.expr(f"regexp_extract_all(concat('<', word, '>'), '(?s).{{1,{LONGEST}}}', 0)")
+    cut_up = words.select("lang", "n", chunks.alias("chunks")).select("lang", "n", F.explode(F.transform("chunks", lambda c, i: F.struct(c.alias("at"), F.coalesce(F.get(F.col("chunks"), i + 1), F.lit("")).alias("next")))).alias("c"))
     grams = []
     for n in range(1, longest + 1):
-        padded = words.withColumn("word", F.concat(F.lit("<"), "word", F.lit(">"))).where(F.length("word") >= n)
-        cut = padded.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i, w=n: F.substring(F.col("word"), i, F.lit(w)))).alias("word"))
+        padded = cut_up.select("lang", "n", F.concat("c.at", F.substring("c.next", 1, n - 1)).alias("word")).where(F.length("word") >= n)
+        cut = padded.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), _run_of(n))).alias("word"))
         grams.append(_table(cut.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word", n_grams, languages))
     return Model(languages, model_words, grams, 0.5)
 
 
+def _run_of(n: int):
+    """For F.transform, which gives a second parameter the element's index: from a start the n letters of word from there."""
+    return lambda i: F.substring(F.col("word"), i, F.lit(n))
+
+
 def _table(counts: DataFrame, key: str, most: int, languages: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies of the `most` most frequent keys, a number for each language."""
+    """Log frequencies of the `most` keys with the greatest share in any language, a number for each language."""
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    wide = counts.groupBy(key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    if not totals:
+        return {}
+    share = F.col("n") / F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])[F.col("lang")]
+    wide = counts.groupBy(key).agg(F.max(share).alias("most"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     out = {}
-    for row in wide.orderBy(F.desc("all"), key).limit(most).collect():
+    for row in wide.orderBy(F.desc("most"), key).limit(most).collect():
         out[row[key]] = np.array([math.log(row.by.get(x, 0) / max(totals.get(x, 1), 1) + FLOOR) for x in languages])
     return out
 
@@ -99,11 +119,11 @@ def words_in(text: str) -> list[str]:
 
 
 class _Scores(dict):
-    """Index of each word into a growing matrix of scores."""
+    """Index of each word into a growing matrix of scores and, in the last column, weights. Long runs are not remembered."""
 
     def __init__(self, model: Model, keep: int = 300_000):
         self.model, self.keep = model, keep
-        self.matrix, self.n = np.zeros((1024, len(model.languages))), 0
+        self.matrix, self.n = np.zeros((1024, len(model.languages) + 1)), 0
 
     def room(self) -> None:
         if self.n > self.keep:
@@ -113,11 +133,22 @@ class _Scores(dict):
     def __missing__(self, word: str) -> int:
         if self.n == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[self.n] = self.model.score(word[:64])
-        self[word] = self.n
+        weight = max(1.0, len(word) / LONGEST)
+        self.matrix[self.n, :-1], self.matrix[self.n, -1] = self.model.score(word) * weight, weight
+        if len(word) <= LONGEST:
+            self[word] = self.n
         self.n += 1
         return self.n - 1
 
+    def shares(self, words: list[str]) -> np.ndarray:
+        """Posterior of each language by the mean of the words, sharpened by up to 20 words."""
+        self.room()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        total = self.matrix[at].sum(0)
+        mean = total[:-1] / total[-1] * min(total[-1], 20)
+        share = np.exp(mean - mean.max())
+        return share / share.sum()
+
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text_key (a hash of the text), lang_pred, score: the posterior of the chosen language by the mean word, sharpened by up to 20 words."""
@@ -134,12 +165,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     names.append(UNKNOWN)
                     sure.append(0.0)
                     continue
-                scores.room()
-                at = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
-                mean = scores.matrix[at].mean(0) * min(len(words), 20)
-                share = np.exp(mean - mean.max())
+                share = scores.shares(words)
                 names.append(model.languages[int(share.argmax())])
-                sure.append(float(share.max() / share.sum()))
+                sure.append(float(share.max()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "text_key", "lang_pred", "score"])
 
     keyed = texts(docs).withColumn("text_key", F.xxhash64("text"))
@@ -164,12 +192,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             keep = []
             for text in batch.column("text"):
                 words = words_in(text.as_py() or "")
-                if words:
-                    scores.room()
-                    at = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
-                    mean = scores.matrix[at].mean(0) * min(len(words), 20)
-                    share = np.exp(mean - mean.max())
-                keep.append(bool(words) and share.max() / share.sum() >= least)
+                keep.append(bool(words) and scores.shares(words).max() >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(passes, docs.schema)

@@ -420,6 +420,27 @@ def test_components_of_a_long_path_with_large_ids(spark):
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, ids[0]) for i in ids} | {(9, 8), (8, 8)}
 
 
+def test_long_runs_count_whole(spark):
+    """Text without spaces: what follows the first 64 letters counts, in prediction and in learning."""
+    model = langid.Model(["x", "y"], {}, [{"a": np.array([-1.0, -9.0]), "b": np.array([-9.0, -1.0])}], 0.5)
+    docs = spark.createDataFrame([(1, "a" * 64 + "b" * 3000), (2, "b" * 64 + "a" * 3000), (3, "aaa " * 5 + "b" * 3000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {1: "y", 2: "x", 3: "y"}
+    run = "ab" * 40 + "cd" * 50 + "e"
+    learned = langid.learn(spark.createDataFrame([(1, run, "x"), (2, "zz", "y")], "doc_id long, text string, lang string"))
+    assert run not in learned.words and "zz" in learned.words
+    for n, grams in enumerate(learned.grams, 1):
+        padded = f"<{run}>"
+        counts = Counter(padded[i : i + n] for i in range(len(padded) - n + 1))
+        for gram, c in counts.items():
+            assert math.isclose(grams[gram][0], math.log(c / counts.total() + langid.FLOOR)), (n, gram)
+
+
+def test_small_languages_keep_their_words(spark):
+    rows = [(i, " ".join(f"{c}{d}" for c in "abcdefgh" for d in "stuv"), "big") for i in range(9)] + [(99, "zz yy xx", "small")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), n_words=10)
+    assert {"zz", "yy", "xx"} <= set(model.words) and len(model.words) == 10
+
+
 def test_unseen_words_back_off():
     v = lambda *x: np.array(x, float)
     model = langid.Model(["x", "y"], {"known": v(-1, -9)}, [{c: v(-5, -5) for c in "abcdz<>"}, {"ab": v(-1, -6)}, {"bcd": v(-7, -2)}], 1.0)
