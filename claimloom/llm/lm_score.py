@@ -2,7 +2,7 @@
 
 The score of a word is count(n-gram) / count(its context) for the longest n-gram seen, times `alpha` for each order given
 up; single words score count / number of words. An n-gram of two or more words is seen if the corpus holds it at least
-`least` times, which makes the text's own unique n-grams back off. A document's score is the sum of the words' logarithms.
+`least` times: 1 is the method itself, as the query has it; 2 makes the text's own unique n-grams back off. A document's score is the sum of the words' logarithms.
 
 Documents are exploded to n-grams in blocks: a block is some documents of one task, as word hashes. For each order every
 block sends its distinct n-grams with their numbers to the count tables, which are partitioned by hash; there they are

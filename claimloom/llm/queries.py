@@ -39,7 +39,7 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(documents(spark, sf_dir))
+    return lm_score.score(documents(spark, sf_dir), least=1)  # the method itself: every n-gram counts as seen
 
 
 def op8_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,6 +394,21 @@ def test_stupid_backoff(spark, order):
     assert lm_score.score(awkward.empty(spark)).count() == 0
 
 
+def test_stupid_backoff_query_counts_every_ngram(spark, tmp_path):
+    """The query scores n-grams that occur once by their counts, as the method does."""
+    from claimloom.llm.queries import QUERIES
+
+    awkward.table(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    words = [(i, t.encode().split()) for i, t in ROWS]
+    counts = Counter(tuple(w[i : i + n]) for _, w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total, expected = sum(len(w) for _, w in words), []
+    for doc_id, w in words:
+        tops = [(tuple(w[max(0, i - 2) : i + 1]), tuple(w[max(0, i - 2) : i])) for i in range(len(w))]
+        expected.append((doc_id, len(w), round(sum(math.log(counts[g] / (counts[c] if c else total)) for g, c in tops), 5)))
+    got = QUERIES["op7_stupid_backoff"](spark, str(tmp_path)).collect()
+    same([(r.doc_id, r.n_words, round(r.log_score, 5)) for r in got], expected)
+
+
 def test_language(spark):
     got = langid.identify(awkward.table(spark)).collect()
     assert len(got) == len(ROWS)
