@@ -1,7 +1,7 @@
 """N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
 
 A document is its set of five-word shingles (lower case, words between ASCII white space). Documents with equal sets are
-one class, and only its least doc_id goes on. Each tree of the forest sorts signatures by a prefix of its own MinHash
+one class, which has a number of its own (rep); only one row of it goes on. Each tree of the forest sorts signatures by a prefix of its own MinHash
 values; starting from the longest, the prefix is shortened until the documents that share it reach the target recall at
 the threshold (1 - (1 - s^d)^trees). Documents that share a prefix form a group; groups of the same members in several
 trees are verified once. Verification is exact, on the shingle sets: in each group the intersections of all members are
@@ -12,9 +12,9 @@ Results: class_id is the least doc_id of the documents tied by links, copy_id th
 the number of other rows at or above the threshold, copies included.
 
 Defined cases: a null text counts as empty; under five words all words are one shingle; texts without a word have the
-empty set and are alike only to one another; rows of the same doc_id and set count each as a row; a null doc_id is
-classed with its copies but by text only, and has no id of its own (class_id is null if all of its class have none).
-An empty table gives an empty table. Other columns are kept by keep_one() and not read.
+empty set and are alike only to one another; rows of the same doc_id count each as a row, with the same set or another;
+rows with a null doc_id are compared and linked like others, but give no name (class_id is null if all of its class have
+none). An empty table gives an empty table. Other columns are kept by keep_classes() and keep_one() and not read.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ MEMBERS = "tile long, part int, rep long, copies long, tree int, keys array<long
 
 
 def _members(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
-    """wanted: rep, text_key, copies, keys, tiles (array of tile, part, tree). A row with the shingle set for each tile."""
+    """wanted: rep, id, rep_key, copies, keys, tiles (array of tile, part, tree). A row with the shingle set for each tile."""
 
     def make(batches: Iterator) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -105,8 +105,8 @@ def _members(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
                      pa.array([t["tree"] for t in some], pa.int32()), pa.array([keys] * n, pa.list_(pa.int64())), pa.array([data] * n, pa.binary())],
                     ["tile", "part", "rep", "copies", "tree", "keys", "set"])
 
-    keyed = texts(docs).withColumn("text_key", F.xxhash64("text")).where(F.col("doc_id").isNotNull())
-    joined = keyed.join(wanted, (keyed["doc_id"] == wanted["rep"]) & (keyed["text_key"] == wanted["rep_key"])).dropDuplicates(["rep"])
+    keyed = texts(docs).withColumn("text_key", F.xxhash64("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID)))
+    joined = keyed.join(wanted, (keyed["doc_id"] == wanted["id"]) & (keyed["text_key"] == wanted["rep_key"])).dropDuplicates(["rep"])
     return joined.select("rep", "copies", "keys", "tiles", "text").mapInArrow(make, MEMBERS)
 
 
@@ -184,14 +184,15 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(check, "rep long, links long, tie long")
 
 
-def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE) -> DataFrame:
-    """doc_id, text_key, copy_id, class_id, n_links of each row."""
+def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows; and of each shingle set: set_1, set_2, id (least doc_id, or MAX_ID), rep_key, n_links, root (the number of its class)."""
     forest = forest or Forest()
     signed = materialize(_sets(docs, forest), "signatures")
-    ranked = F.struct(F.coalesce("doc_id", F.lit(MAX_ID)).alias("rep"), F.col("text_key").alias("rep_key"))
+    ranked = F.struct(F.coalesce("doc_id", F.lit(MAX_ID)).alias("id"), F.col("text_key").alias("rep_key"))
     same = signed.groupBy("set_1", "set_2").agg(F.min(ranked).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.max("shingles").alias("shingles"))
-    classes = materialize(same.select("set_1", "set_2", "least.rep", "least.rep_key", "copies", "shingles", "keys"), "shingle-classes")
-    entries = classes.where((F.col("shingles") > 0) & (F.col("rep") < MAX_ID)).select("rep", F.posexplode("keys").alias("tree", "key"))
+    # numbered and written once, so the numbers stay
+    classes = materialize(same.select(F.monotonically_increasing_id().alias("rep"), "set_1", "set_2", "least.id", "least.rep_key", "copies", "shingles", "keys"), "shingle-classes")
+    entries = classes.where("shingles > 0").select("rep", F.posexplode("keys").alias("tree", "key"))
     groups = entries.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("decimal(38,0)").alias("who")).where("n > 1")
     once = groups.groupBy("n", "least", "who").agg(F.min(F.struct("tree", "key")).alias("g")).select("g.tree", "g.key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
     placed = entries.join(once, ["tree", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -199,27 +200,37 @@ def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tiles = placed.select("rep", "tree", "key", "part", other)
     tiles = tiles.select("rep", F.struct(F.xxhash64("tree", "key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "part", "tree").alias("t"))
-    wanted = tiles.groupBy("rep").agg(F.collect_list("t").alias("tiles")).join(classes.select("rep", "rep_key", "copies", "keys"), "rep")
+    wanted = tiles.groupBy("rep").agg(F.collect_list("t").alias("tiles")).join(classes.select("rep", "id", "rep_key", "copies", "keys"), "rep")
     wanted = materialize(wanted, "join-members")
     links = materialize(_verified(_members(docs, wanted, forest), forest.threshold), "links")
     discard(wanted)
     counts = links.groupBy("rep").agg(F.sum("links").alias("others"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("tie").alias("b")))
     classed = classes.join(counts, "rep", "left").join(roots, classes["rep"] == roots["node"], "left").select(
-        "set_1", "set_2", F.col("rep").alias("copy_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = lambda c: F.when(F.col(c) < MAX_ID, F.col(c)).alias(c)
-    return signed.join(classed, ["set_1", "set_2"]).select("doc_id", "text_key", named("copy_id"), named("class_id"), "n_links")
+        "set_1", "set_2", "id", "rep_key", F.coalesce("root", "rep").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed, materialize(classed, "classed")
 
 
-def keep_one(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with their columns: of each class only the row that gives it its name (of equal rows, one).
+def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE) -> DataFrame:
+    """doc_id, text_key, copy_id, class_id, n_links of each row."""
+    signed, classed = _classed(docs, forest, tile)
+    named = lambda c, name: F.when(F.col(c) < MAX_ID, F.col(c)).alias(name)
+    ids = classed.join(classed.groupBy("root").agg(F.min("id").alias("class")), "root")
+    return signed.join(ids, ["set_1", "set_2"]).select("doc_id", "text_key", named("id", "copy_id"), named("class", "class_id"), "n_links")
 
-    Rows without an id stay unless a row with one is in their class; of those with equal texts one stays.
-    """
-    report = join_report(docs, forest)
-    kept = report.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("text_key").alias("__key")).withColumnRenamed("doc_id", "__id")
+
+def keep_classes(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """docs with their columns: of each class one row, the first by doc_id (null last) and text_key, also where two classes have one name."""
+    _, classed = _classed(docs, forest, TILE)
+    kept = classed.groupBy("root").agg(F.min(F.struct("id", "rep_key")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.rep_key").alias("__key"))
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    named = keyed.join(kept, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi").dropDuplicates(["doc_id", "__text_key"])
-    alone = report.where(F.col("class_id").isNull()).select(F.col("text_key").alias("__key")).distinct()
-    nameless = keyed.where(F.col("doc_id").isNull()).join(alone, F.col("__text_key") == F.col("__key"), "left_semi").dropDuplicates(["__text_key"])
-    return named.unionByName(nameless).drop("__text_key")
+    one = keyed.join(kept, (F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)) == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
+    return one.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+
+
+def keep_one(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """As keep_classes(), but of classes with the same name only the one with the least text_key: each doc_id that is not null once."""
+    kept = materialize(keep_classes(docs, forest).withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), "kept")
+    least = kept.groupBy("doc_id").agg(F.min("__text_key").alias("__least")).withColumnRenamed("doc_id", "__id")
+    once = kept.join(least, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__least")), "left_semi")
+    return once.unionByName(kept.where(F.col("doc_id").isNull())).drop("__text_key")

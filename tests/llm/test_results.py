@@ -185,6 +185,17 @@ def test_keep_one_of_each_class(spark):
     assert ngram_join.keep_one(awkward.empty(spark)).count() == 0
 
 
+def test_ids_do_not_hide_texts(spark):
+    """Unlike texts of one id keep their own links, null ids are linked, and one row of each class stays."""
+    near = lambda p, own: " ".join([f"{p}{i}" for i in range(99)] + [own])
+    rows = [(7, near("a", "x")), (7, near("b", "x")), (8, near("a", "y")), (9, near("b", "y")), (None, near("c", "x")), (None, near("c", "y")), (None, near("b", "z"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join_report(docs).select("doc_id", "class_id", "n_links").collect()
+    same(got, [(7, 7, 1), (7, 7, 2), (8, 7, 1), (9, 7, 2), (None, None, 1), (None, None, 1), (None, 7, 2)])
+    kept = ngram_join.keep_classes(docs).collect()
+    assert Counter((r.doc_id, r.text[0]) for r in kept) == Counter([(7, "a"), (7, "b"), (None, "c")])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
