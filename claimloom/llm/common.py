@@ -95,7 +95,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered for the words seen of late."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 100_000):
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:
@@ -127,8 +127,21 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
+def slices(batch, column: str, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator:
+    """An Arrow batch in slices of so many bytes in a column, or of one row, and so many rows."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, min(at + most_rows, int(np.searchsorted(sizes, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def rows(batches: Iterator) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, a slice at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
+        for at in range(0, batch.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True)

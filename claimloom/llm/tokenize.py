@@ -33,7 +33,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """path: a BPE file of the tokenizers library with byte-level pieces."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

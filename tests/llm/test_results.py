@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
+from claimloom.llm import bitpack, fingerprints, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
 from claimloom.llm.components import components
 from tests.llm import awkward
 
@@ -420,60 +420,12 @@ def test_stupid_backoff_query_counts_every_ngram(spark, tmp_path):
     same([(r.doc_id, r.n_words, round(r.log_score, 5)) for r in got], expected)
 
 
-def test_language(spark):
-    got = langid.identify(awkward.table(spark)).collect()
-    assert len(got) == len(ROWS)
-    for r in got:
-        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
-    by = {r.doc_id: r for r in got}
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (60, 61, 62, 63, 66))
-    known = {r[0]: r[2] for r in awkward.rows() if r[0] is not None and r[0] < 40}
-    assert sum(by[i].lang_pred == lang for i, lang in known.items()) >= 39
-    assert langid.identify(awkward.empty(spark)).count() == 0
-    assert {r.lang_pred for r in langid.predict(awkward.table(spark), langid.learn(awkward.empty(spark))).collect()} == {"und"}
-
-
-def test_signs_are_not_letters(spark):
-    model = langid.learn(awkward.table(spark))
-    docs = spark.createDataFrame([(1, "½ ² ③"), (2, "½ the")], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(docs, model).collect()} == {1: True, 2: False}
-    assert [r.doc_id for r in langid.keep_identified(docs, model).collect()] == [2]
-
-
 def test_components_of_a_long_path_with_large_ids(spark):
     ids = [2**62 + 7 * i for i in range(40)]
     edges = spark.createDataFrame([*zip(ids, ids[1:]), (5, 5), (9, 8)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, ids[0]) for i in ids} | {(9, 8), (8, 8)}
 
 
-def test_long_runs_count_whole(spark):
-    """Text without spaces: what follows the first 64 letters counts, in prediction and in learning."""
-    model = langid.Model(["x", "y"], {}, [{"a": np.array([-1.0, -9.0]), "b": np.array([-9.0, -1.0])}], 0.5)
-    docs = spark.createDataFrame([(1, "a" * 64 + "b" * 3000), (2, "b" * 64 + "a" * 3000), (3, "aaa " * 5 + "b" * 3000)], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {1: "y", 2: "x", 3: "y"}
-    run = "ab" * 40 + "cd" * 50 + "e"
-    learned = langid.learn(spark.createDataFrame([(1, run, "x"), (2, "zz", "y")], "doc_id long, text string, lang string"))
-    assert run not in learned.words and "zz" in learned.words
-    for n, grams in enumerate(learned.grams, 1):
-        padded = f"<{run}>"
-        counts = Counter(padded[i : i + n] for i in range(len(padded) - n + 1))
-        for gram, c in counts.items():
-            assert math.isclose(grams[gram][0], math.log(c / counts.total() + langid.FLOOR)), (n, gram)
-
-
-def test_small_languages_keep_their_words(spark):
-    rows = [(i, " ".join(f"{c}{d}" for c in "abcdefgh" for d in "stuv"), "big") for i in range(9)] + [(99, "zz yy xx", "small")]
-    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), n_words=10)
-    assert {"zz", "yy", "xx"} <= set(model.words) and len(model.words) == 10
-
-
-def test_unseen_words_back_off():
-    v = lambda *x: np.array(x, float)
-    model = langid.Model(["x", "y"], {"known": v(-1, -9)}, [{c: v(-5, -5) for c in "abcdz<>"}, {"ab": v(-1, -6)}, {"bcd": v(-7, -2)}], 1.0)
-    assert (model.score("known") == v(-1, -9)).all()
-    assert model.score("ab")[0] > model.score("ab")[1] and model.score("bcd")[1] > model.score("bcd")[0]
-
-
 def test_quality_rules(spark):
     got = line_quality.quality(awkward.table(spark), most_docs=10).collect()
     expected = []
