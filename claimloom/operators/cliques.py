@@ -26,17 +26,32 @@ def _extend(now: set, may: set, seen: set, around: dict[str, set]) -> Iterator[s
             may, seen = may - {v}, seen | {v}
 
 
-def maximal_cliques(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _twins(both: DataFrame) -> DataFrame:
+    """node, rep: nodes with the same neighbours, themselves included, lie in the same maximal cliques; the least one stands for them."""
+    closed = both.unionByName(both.select("a", F.col("a").alias("b"))).distinct()
+    h = closed.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("b")).alias("h_1"), F.bit_xor(F.xxhash64("b", F.lit("second"))).alias("h_2"))
+    return h.select(F.col("a").alias("node"), F.min("a").over(Window.partitionBy("n", "h_1", "h_2")).alias("rep"))
+
+
+def maximal_cliques(nodes: DataFrame, edges: DataFrame, most_neighbours: int = 2000) -> DataFrame:
     """nodes: node; edges: a, b. A row for each maximal clique; a node without edge is one. An empty graph has one empty clique.
 
-    A clique is found at its least node: each node gets its own neighbourhood, so no component is gathered, only a node's
-    neighbours and the edges among them.
+    Nodes with the same neighbours are one. A clique is found at its least node: each node gets its own neighbourhood, so
+    no component is gathered, only a node's neighbours and the edges among them. As the search can grow beyond measure
+    with a node's degree, a node with more than `most_neighbours` unlike neighbours is an error, never cut short.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().persist()  # four readers
+    whole = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    twins = nodes.select("node").distinct().join(_twins(whole), "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+    side = lambda s: twins.select(F.col("node").alias(s), F.col("rep").alias(f"rep_{s}"))
+    both = whole.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).where("a <> b").distinct()
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    fits = F.when(F.col("degree") <= most_neighbours, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("too many neighbours for cliques: "), "a")))
+    both = both.join(degree, "a").select(fits.alias("a"), "b")
     among = both.alias("x").join(both.alias("y"), (F.col("x.b") == F.col("y.a"))).join(both.alias("z"), (F.col("x.a") == F.col("z.a")) & (F.col("y.b") == F.col("z.b")))
     triangles = among.select(F.col("x.a").alias("node"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     near = both.select(F.col("a").alias("node"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b"))
-    rows = nodes.select("node", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(near).unionByName(triangles)
+    alone = twins.select(F.col("rep").alias("node")).distinct()
+    rows = alone.select("node", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(near).unionByName(triangles)
 
     def at(key: tuple, rows: pa.Table) -> pa.Table:
         node, a, b = key[0].as_py(), rows["a"].to_pylist(), rows["b"].to_pylist()
@@ -48,7 +63,8 @@ def maximal_cliques(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found = [sorted(c) for c in _extend({node}, set(around) - less, less, around)]
         return pa.table([pa.array(["|".join(c) for c in found], pa.string()), pa.array(found, pa.list_(pa.string())), pa.array([len(c) for c in found], pa.int32())], ["clique", "members", "size"])
 
-    found = rows.groupBy("node").applyInArrow(at, CLIQUES)
     if nodes.isEmpty():
         return nodes.sparkSession.createDataFrame([("", [], 0)], CLIQUES)
-    return found
+    found = rows.groupBy("node").applyInArrow(at, CLIQUES)
+    spread = found.select("clique", F.explode("members").alias("rep")).join(twins, "rep").groupBy("clique").agg(F.sort_array(F.collect_list("node")).alias("members"))
+    return spread.select(F.array_join("members", "|").alias("clique"), "members", F.size("members").alias("size"))

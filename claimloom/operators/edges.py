@@ -26,18 +26,24 @@ def prediction_edges(m: ClaimMap) -> DataFrame:
 
     Of several for one claim and evidence the first wins, by prediction, then evidence order.
     """
-    c, p = m.claims.alias("c"), m.predictions.alias("p")
-    d, e = m.dimensions.alias("d"), m.evidence.alias("e")
-    aimed = (F.coalesce(F.size("p.evidence_ids"), F.lit(0)) <= 0) | F.array_contains("p.evidence_ids", F.col("d.evidence_id"))
+    c, d, e = m.claims.alias("c"), m.dimensions.alias("d"), m.evidence.alias("e")
+    said = ["claim_id", "pred_seq", "observable", "value", "scale", "regime_tag"]
+    open_ = F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0
+    # targets are rows: they meet their own evidence only, not all of their observable
+    aimed = m.predictions.where(~open_).select(*said, F.explode(F.array_distinct("evidence_ids")).alias("target"))
+    anywhere = m.predictions.where(open_).select(*said, F.lit(None).cast("string").alias("target"))
+    same = F.col("p.observable") == F.col("d.name")
+    seen = ["d.evidence_id", "d.dim_seq"]
+    met = aimed.alias("p").join(d, same & (F.col("p.target") == F.col("d.evidence_id"))).select("p.*", *seen).unionByName(anywhere.alias("p").join(d, same).select("p.*", *seen)).alias("p")
     haystack = F.lower(F.concat_ws(" ", *[F.coalesce(f"e.{x}", F.lit("")) for x in ("paper_id", "label", "system", "framework", "regime")]))
-    joined = p.join(d, F.col("p.observable") == F.col("d.name")).where(aimed).join(e, F.col("e.evidence_id") == F.col("d.evidence_id")).join(c, F.col("c.claim_id") == F.col("p.claim_id"))
+    joined = met.join(e, F.col("e.evidence_id") == F.col("p.evidence_id")).join(c, F.col("c.claim_id") == F.col("p.claim_id"))
     rows = joined.select(
         F.concat("c.claim_id", F.lit("__"), "e.evidence_id").alias("edge_id"), "c.claim_id", "e.evidence_id", F.col("p.observable").alias("observable"),
         F.col("p.value").alias("pred_value"), F.coalesce("p.scale", F.lit("normalized_binary")).alias("scale"),
         regime(F.col("p.regime_tag"), F.col("c.paper_id") == F.col("e.paper_id"), F.col("c.keywords"), haystack).alias("regime_tag"),
         F.least(F.coalesce("c.confidence", F.lit(0.5)), F.coalesce("e.confidence", F.lit(0.5))).alias("confidence"),
         F.lit(None).cast("string").alias("group_name"), F.lit(None).cast("string").alias("home_evidence"), F.lit(False).alias("is_semantic"),
-        "c.claim_seq", "p.pred_seq", "e.ev_seq", "d.dim_seq")
+        "c.claim_seq", "p.pred_seq", "e.ev_seq", "p.dim_seq")
     first = Window.partitionBy("claim_id", "evidence_id").orderBy("pred_seq", "ev_seq", "dim_seq")
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "dim_seq")
 

@@ -29,11 +29,25 @@ def stances(m: ClaimMap) -> DataFrame:
 
 
 def coherent(stance: DataFrame, key: str, least_shared: int = K.COHERENT_FROM_SHARED) -> DataFrame:
-    """a, b, shared: pairs that share enough positions and agree at all of them. Joined on positions."""
-    a, b = stance.alias("a"), stance.alias("b")
-    met = a.join(b, (F.col("a.group_name") == F.col("b.group_name")) & (F.col("a.evidence_id") == F.col("b.evidence_id")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    pairs = met.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.abs(F.col("a.value") - F.col("b.value"))).alias("gap"))
-    return pairs.where((F.col("shared") >= least_shared) & (F.col("gap") < K.AGREE_BELOW)).select("a", "b", "shared")
+    """a, b, shared: pairs that share enough positions and agree at all of them.
+
+    Holders of equal stances are one class, known by a hash of 128 bits; only the classes meet, joined on positions, and
+    their pairs are spread to the members.
+    """
+    at = ["group_name", "evidence_id", "value"]
+    of = stance.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*at)).alias("h_1"), F.bit_xor(F.xxhash64(*reversed(at), F.lit("second"))).alias("h_2"))
+    same = Window.partitionBy("n", "h_1", "h_2")
+    members = of.select(F.col(key).alias("member"), F.min(key).over(same).alias("class"), "n")
+    own = stance.join(members.where("member = class").select(F.col("member").alias(key)), key, "left_semi").withColumnRenamed(key, "class")
+    a, b = own.alias("a"), own.alias("b")
+    met = a.join(b, (F.col("a.group_name") == F.col("b.group_name")) & (F.col("a.evidence_id") == F.col("b.evidence_id")) & (F.col("a.class") < F.col("b.class")))
+    pairs = met.groupBy(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.abs(F.col("a.value") - F.col("b.value"))).alias("gap"))
+    pairs = pairs.where((F.col("shared") >= least_shared) & (F.col("gap") < K.AGREE_BELOW)).select("class_a", "class_b", "shared")
+    within = members.where((F.col("member") == F.col("class")) & (F.col("n") >= least_shared)).select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.col("n").alias("shared"))
+    side = lambda s: members.select(F.col("class").alias(f"class_{s}"), F.col("member").alias(s))
+    spread = pairs.unionByName(within).join(side("a"), "class_a").join(side("b"), "class_b")
+    inside = F.col("class_a") == F.col("class_b")
+    return spread.where(~inside | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
 
 
 def equivalence(stance: DataFrame, key: str) -> DataFrame:
@@ -77,7 +91,7 @@ def direction_buckets(m: ClaimMap) -> DataFrame:
     touched = said.join(in_group, ["group_name", "evidence_id"], "left_semi").join(actual, "evidence_id")
     fits = F.col("is") == F.col("direction")
     found = touched.groupBy("group_name", "direction").agg(F.array_sort(F.collect_set(F.when(fits, F.col("evidence_id")))).alias("supporting"), F.array_sort(F.collect_set(F.when(~fits, F.col("evidence_id")))).alias("contesting"))
-    papers = said.groupBy("group_name", "direction").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"), F.array_sort(F.collect_set(F.bround("value", 2))).alias("values"))
+    papers = said.groupBy("group_name", "direction").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("keywords")))).alias("keywords"), F.array_sort(F.collect_set(F.bround("value", 2))).alias("values"))
     none = F.array().cast("array<string>")
     return papers.join(found, ["group_name", "direction"], "left").select("group_name", "direction", "papers", F.size("papers").alias("n_papers"), "keywords", "values", F.coalesce("supporting", none).alias("supporting"), F.coalesce("contesting", none).alias("contesting"))
 
@@ -103,6 +117,8 @@ def clique_residual(union: DataFrame, m: ClaimMap) -> DataFrame:
 
 
 def ranked_cliques(cliques: DataFrame) -> DataFrame:
-    """rank by size, then members; a small result is expected here."""
-    order = Window.orderBy(F.desc("size"), "members")
-    return cliques.withColumn("rank", F.row_number().over(order))
+    """rank by size, then members: inside each size, after the cliques of greater sizes (a row for each size)."""
+    ahead = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    before = cliques.groupBy("size").agg(F.count(F.lit(1)).alias("n")).select("size", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("size").orderBy("members"))
+    return cliques.withColumn("rank", inside).join(before, "size").withColumn("rank", F.col("rank") + F.col("before")).drop("before")

@@ -93,7 +93,7 @@ def subjects(m: ClaimMap, status: DataFrame) -> DataFrame:
     names = m.members.select("group_name", "title", "description").groupBy("group_name").agg(F.min("title").alias("title"), F.min("description").alias("description"))
     numbered = names.withColumn("number", F.row_number().over(Window.orderBy("group_name")))  # a row for each group
     present = m.members.join(m.evidence.select("evidence_id"), "evidence_id", "left_semi").select("group_name").distinct()
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     rolled = status.groupBy("group_name").agg(
         flat("claim_ids").alias("claims"), flat(F.transform("signature", lambda s: s["evidence_id"])).alias("evidence"), F.array_sort(F.collect_set("paper_id")).alias("papers"),
         flat("systems").alias("systems"), flat("frameworks").alias("frameworks"), flat("keywords").alias("keywords"),
@@ -106,11 +106,12 @@ def subjects(m: ClaimMap, status: DataFrame) -> DataFrame:
     return rows.select(F.format_string("subject_%02d_%s", "number", "group_name").alias("subject_id"), "group_name", "title", "description", *lists, *scope, *counts)
 
 
-def ungrouped(m: ClaimMap, found: DataFrame, n_subjects: int) -> DataFrame:
-    """Evidence in no stance and claims in no subject: subject_id, kind, id."""
+def ungrouped(m: ClaimMap, found: DataFrame) -> DataFrame:
+    """Evidence in no stance and claims in no subject: subject_id (numbered after the subjects found), kind, id."""
     evidence = m.evidence.select("evidence_id").join(found.select(F.explode("evidence").alias("evidence_id")), "evidence_id", "left_anti").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"))
     claims = m.claims.select("claim_id").join(found.select(F.explode("claims").alias("claim_id")), "claim_id", "left_anti").select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"))
-    return evidence.unionByName(claims).select(F.lit(f"subject_{n_subjects + 1:02d}_ungrouped").alias("subject_id"), "kind", "id")
+    count = found.agg((F.count(F.lit(1)) + 1).alias("number"))  # one row
+    return evidence.unionByName(claims).crossJoin(F.broadcast(count)).select(F.format_string("subject_%02d_ungrouped", "number").alias("subject_id"), "kind", "id")
 
 
 #: The kinds of step that each status asks for, in order. The first of a novel idea only if it is contested.

@@ -27,6 +27,10 @@ class Run:
         self.wired = residuals.wired(m, edges.all_edges(m)).persist()
         self.full = residuals.scored(self.wired)
 
+    def release(self) -> None:
+        """Give up the kept edges; what still reads them makes them again."""
+        self.wired.unpersist()
+
     @property
     def stature(self) -> DataFrame:
         return optimize.stature(self.full)
@@ -81,11 +85,6 @@ def _situated(r: Run) -> tuple[DataFrame, ClaimMap, ClaimMap]:
     return situate.situated(prior, new), prior, new
 
 
-def _ungrouped(r: Run) -> DataFrame:
-    found = r.subjects
-    return subjects.ungrouped(r.map, found, found.count())
-
-
 def _summary(r: Run) -> DataFrame:
     out = state.summary(r.map, r.full, r.final, optimize.operations(r.best))
     whole = ["claims", "claim_papers", "evidence", "edges", "semantic_edges", "tensions", "rewrites"]
@@ -125,8 +124,19 @@ def _scale(r: Run) -> DataFrame:
     return r.full.groupBy("is_semantic").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("residual_sq"), 2).alias("residual"), F.countDistinct("claim_id").alias("claims"))
 
 
+_LAST: list[Run] = []
+
+
 def _view(f: Callable[[Run], DataFrame], bind=bindings.labelled_documents) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(Run(bind(spark, sf_dir)))
+    """A query over a map of its own; the edges of the query before it are given up, so one map at most is kept."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while _LAST:
+            _LAST.pop().release()
+        _LAST.append(Run(bind(spark, sf_dir)))
+        return f(_LAST[-1])
+
+    return query
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -158,7 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "idea_status": _view(lambda r: r.status.select("idea_id", "status")),
     "subject_tensions": _view(lambda r: subjects.tensions(r.status, r.relations).select("group_name", "idea_one", "idea_two", "papers_yes", "papers_no", F.array_join("at", ",").alias("shared_at"))),
     "subject_rollup": _view(lambda r: r.subjects.select("subject_id", "title", "regime", "novel", "contested", "established", *joined("claims", "papers"), F.size("evidence").cast("long").alias("n_evidence"))),
-    "ungrouped": _view(_ungrouped),
+    "ungrouped": _view(lambda r: subjects.ungrouped(r.map, r.subjects)),
     "next_steps": _view(lambda r: subjects.next_steps(r.status, r.relations).select("idea_id", "status", F.col("step_seq").cast("long").alias("step_seq"), "kind")),
     "open_questions": _view(lambda r: subjects.open_questions(r.subjects)),
     "propagated_stance": _view(lambda r: stance.stances(r.map).select("claim_id", "group_name", "evidence_id", "explicit", *r6("value"))),

@@ -21,8 +21,9 @@ EVIDENCE_JSON = (
 def _folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files with one record each, numbered in order of path."""
     read = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("__path", F.input_file_name())
-    # ranks of paths: one record a file, so the records of a map, sorted once by the ranker
-    return read.withColumn("__seq", F.row_number().over(Window.orderBy("__path")).cast("long") - 1).drop("__path")
+    # paths alone are ranked, a short string for each record of a map
+    ranks = read.select("__path").distinct().withColumn("__seq", F.row_number().over(Window.orderBy("__path")).cast("long") - 1)
+    return read.join(ranks, "__path").drop("__path")
 
 
 def read_run(spark: SparkSession, run: str, registry: str | None = None) -> ClaimMap:
@@ -49,11 +50,15 @@ MEMBER_COLUMNS = "group_name string, title string, description string, member_se
 
 
 def read_registry(spark: SparkSession, path: str | None) -> DataFrame:
-    """group_name, title, description, member_seq, evidence_id. A group's body is an object with members, or a bare list."""
+    """group_name, title, description, member_seq, evidence_id. A group's body is an object with members, or a bare list.
+
+    The file is JSON, over any number of lines; one without readable groups is an error.
+    """
     if path is None:
         return spark.createDataFrame([], MEMBER_COLUMNS)
-    body = F.get_json_object("value", "$.groups")
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json(body, "map<string,string>")).alias("group_name", "body"))
+    groups = F.from_json(F.get_json_object("value", "$.groups"), "map<string,string>")
+    known = F.coalesce(groups, F.raise_error(F.concat(F.lit("no groups can be read from "), F.input_file_name())).cast("map<string,string>"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(known).alias("group_name", "body"))
     listed = F.from_json("body", "array<string>")
     bare = F.ltrim(F.col("body")).startswith("[")
     rich = F.from_json("body", "struct<title:string, description:string, members:array<string>>")

@@ -101,7 +101,7 @@ def test_ideas_status_and_subjects(spark):
     rolled = subjects.subjects(m, status)
     row = rolled.collect()[0]
     assert (row.subject_id, row.claims, row.evidence, row.regime, row.novel, row.contested) == ("subject_02_g", ["c1", "c2", "n1", "n2"], ["e"], "k1, k2", 1, 2)
-    assert {(r.subject_id, r.kind, r.id) for r in subjects.ungrouped(m, rolled, 1).collect()} == {("subject_02_ungrouped", "evidence", "f"), ("subject_02_ungrouped", "claim", "lone")}
+    assert {(r.subject_id, r.kind, r.id) for r in subjects.ungrouped(m, rolled).collect()} == {("subject_02_ungrouped", "evidence", "f"), ("subject_02_ungrouped", "claim", "lone")}
     assert subjects.next_steps(status, related).count() == 9
     assert {(r.priority, r.ideas) for r in subjects.open_questions(rolled).collect()} == {("blocking", 1), ("high", 2), ("exploratory", 3)}
 
@@ -119,7 +119,7 @@ def test_empty_maps(spark):
     assert edges.all_edges(m).count() == 0 and residuals.total(full(m)).collect()[0].residual_total == 0.0
     n = make(spark, [("c", "p", [])], [], [("e", "q", "x", 1)])
     found = subjects.subjects(n, subjects.with_status(subjects.ideas(n), subjects.relations(subjects.ideas(n)), []))
-    assert found.count() == 0 and subjects.ungrouped(n, found, 0).count() == 2
+    assert found.count() == 0 and subjects.ungrouped(n, found).count() == 2
     best = optimize.rewrites(residuals.wired(n, edges.all_edges(n)), n.claims.withColumn("lambda", F.lit(1.0)))
     row = state.summary(n, full(n), full(n), optimize.operations(best)).collect()[0]
     assert (row.claims, row.edges, row.initial_residual, row.rewrites) == (1, 0, 0.0, 0)
@@ -150,6 +150,43 @@ def test_cliques(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "a string, b string")
     assert sorted(r.clique for r in cliques.maximal_cliques(nodes, pairs).collect()) == ["a|b|c", "c|d", "z"]
     assert [r["size"] for r in cliques.maximal_cliques(nodes.limit(0), pairs.limit(0)).collect()] == [0]
+    hub = spark.createDataFrame([("a", x) for x in "bcd"], "a string, b string")
+    with pytest.raises(Exception, match="too many neighbours"):
+        cliques.maximal_cliques(nodes, hub, most_neighbours=2).collect()
+
+
+def test_cliques_of_random_graphs(spark):
+    """Against a plain search over all sets of nodes; twins and nodes without edges included."""
+    import itertools
+    import random
+
+    draw = random.Random(4)
+    for n, share in ((7, 0.3), (9, 0.6), (9, 0.9)):
+        names = [f"n{i}" for i in range(n)]
+        pairs = {(a, b) for a, b in itertools.combinations(names, 2) if draw.random() < share}
+        full_sets = [set(c) for k in range(1, n + 1) for c in itertools.combinations(names, k) if all(p in pairs for p in itertools.combinations(c, 2))]
+        expected = sorted("|".join(sorted(c)) for c in full_sets if not any(c < d for d in full_sets))
+        got = cliques.maximal_cliques(spark.createDataFrame([(x,) for x in names], "node string"), spark.createDataFrame(list(pairs), "a string, b string"))
+        assert sorted(r.clique for r in got.collect()) == expected
+
+
+def test_coherence_against_all_pairs(spark):
+    import itertools
+    import random
+
+    draw = random.Random(6)
+    rows = [(f"c{i}", draw.choice("gh"), f"e{e}", draw.choice([0.5, 0.53, 0.56])) for i in range(14) for e in range(4) if draw.random() < 0.8]
+    rows = list({(c, e): (c, g, e, v) for c, g, e, v in rows}.values()) + [(f"t{i}", "g", f"e{e}", 0.5) for i in range(3) for e in range(3)]
+    held: dict = {}
+    for c, g, e, v in rows:
+        held.setdefault(c, {})[g, e] = v
+    expected = set()
+    for a, b in itertools.combinations(sorted(held), 2):
+        both = held[a].keys() & held[b].keys()
+        if len(both) >= 2 and all(abs(held[a][k] - held[b][k]) < 0.05 for k in both):
+            expected.add((a, b, len(both)))
+    got = stance.coherent(spark.createDataFrame(rows, "claim_id string, group_name string, evidence_id string, value double"), "claim_id").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
 def test_situate(spark):
@@ -179,11 +216,14 @@ def test_records_and_sinks(spark, tmp_path):
     evidence = {"evidence_id": "e", "paper_id": "p", "core": {"dimensions": [{"name": "x", "value": 0.5}]}, "context": {"system": "s"}}
     (tmp_path / "claims/c.json").write_text(json.dumps(claim, indent=2))
     (tmp_path / "evidence/e.json").write_text(json.dumps(evidence, indent=2))
-    (tmp_path / "groups.json").write_text(json.dumps({"version": 1, "groups": {"new": {"title": "T", "members": ["e", "f"]}, "old": ["e"]}}))
+    (tmp_path / "groups.json").write_text(json.dumps({"version": 1, "groups": {"new": {"title": "T", "members": ["e", "f"]}, "old": ["e"]}}, indent=2))
     m = records.read_run(spark, str(tmp_path), str(tmp_path / "groups.json"))
     assert [(r.edge_id, r.confidence, r.regime_tag) for r in edges.all_edges(m).where("not is_semantic").collect()] == [("c__e", 0.5, "in_regime")]
     assert {(r.group_name, r.title, r.member_seq, r.evidence_id) for r in m.members.collect()} == {("new", "T", 0, "e"), ("new", "T", 1, "f"), ("old", "old", 0, "e")}
     assert records.read_registry(spark, None).count() == 0
+    (tmp_path / "broken.json").write_text('{"groups": [')
+    with pytest.raises(Exception, match="no groups can be read"):
+        records.read_registry(spark, str(tmp_path / "broken.json")).collect()
     sinks.write_tables({"edges": edges.all_edges(m)}, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/edges").count() == 1
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
