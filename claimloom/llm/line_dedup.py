@@ -1,11 +1,15 @@
-"""Reversible line deduplication: sharded cuckoo filters backed by exact reference counts.
+"""Reversible line deduplication: sharded cuckoo filters backed by exact reference-count tables.
 
-State, in the shared folder: `refs`, a row for each key and document that holds it (the key's reference count is the
-number of its rows; the owner is the least doc_id), and `filters`, a cuckoo filter of the distinct keys for each shard
-of the hash space. Inserting a batch first asks the filter of each key's shard: a key that it does not know is new and
-needs no lookup; only known ones are compared with the exact table. Filters delete as well as insert, so removing
-documents takes their references out, and keys without a reference leave the filter: state after inserting and deleting
-equals the state as if the documents had never come.
+State, in the shared folder: `segments`, tables of references (shard, key, doc_id, change: 1 for an insertion, -1 for a
+deletion), of which a key's reference count is the sum, and `filters`, a cuckoo filter of the distinct keys for each shard
+of the hash space. Documents come in batches. A batch's keys are first put to the filters of their shards: those that no
+filter knows are new and need no lookup; only the others are looked up in the exact tables, which settles the filter's
+errors. A batch adds a segment of its own references and rewrites the filters of the shards that it touches, nothing
+else. Filters delete as well as insert, so removing documents takes their references out, and keys without a reference
+leave the filter: state after inserting and deleting equals the state as if the documents had never come.
+
+Batches are ranges of ascending doc_id, so a line's owner, the least doc_id that holds it, comes no later than its copies:
+a document loses the lines whose keys the filters and tables know from an earlier batch or a smaller doc_id of its own.
 
 Defined cases: a null or empty text is one empty line; keys shorter than `least_chars` are never dropped; rows of the
 same doc_id are one document, and each row keeps its own text; a null doc_id owns nothing and loses nothing; within its
@@ -22,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialize, mix, texts
+from claimloom.llm.common import discard, materialize, mix, texts
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-REFS = "shard int, key binary, doc_id long"
+REFS = "shard int, key binary, doc_id long, change int"
 FILTERS = "shard int, filter binary, buckets int, keys int"
 SLOTS = 4
 
@@ -61,28 +65,38 @@ class CuckooFilter:
     def insert(self, hashes: np.ndarray) -> bool:
         """False if there is no room: the caller rebuilds a larger filter from the exact keys."""
         mark, one, two = self.places(hashes)
+        left = np.flatnonzero(~self._place(mark, one))
+        left = left[~self._place(mark[left], two[left])]
         alternate = (mix(np.arange(1 << 16, dtype=np.uint64)) & self.mask).astype(np.int64)
         rng = np.random.default_rng(1)
-        for m, a, b in zip(mark, one, two, strict=True):
-            for bucket in (a, b):
-                free = np.flatnonzero(self.table[bucket] == 0)
+        for m, a in zip(mark[left], one[left], strict=True):
+            for _ in range(500):
+                slot = int(rng.integers(SLOTS))
+                m, self.table[a, slot] = self.table[a, slot], m
+                a = a ^ alternate[m]
+                free = np.flatnonzero(self.table[a] == 0)
                 if len(free):
-                    self.table[bucket, free[0]] = m
+                    self.table[a, free[0]] = m
                     break
             else:
-                for _ in range(500):
-                    slot = int(rng.integers(SLOTS))
-                    m, self.table[a, slot] = self.table[a, slot], m
-                    a = a ^ alternate[m]
-                    free = np.flatnonzero(self.table[a] == 0)
-                    if len(free):
-                        self.table[a, free[0]] = m
-                        break
-                else:
-                    return False
+                return False
         self.count += len(hashes)
         return True
 
+    def _place(self, mark: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Put as many marks as their buckets have free slots for; which ones went in."""
+        order = np.argsort(bucket, kind="stable")
+        at = bucket[order]
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+        rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+        taken = self.table[at] != 0
+        fits = rank < SLOTS - taken.sum(1)
+        slots = np.argsort(taken[fits], 1, kind="stable")  # free ones first
+        self.table[at[fits], slots[np.arange(len(slots)), rank[fits]]] = mark[order][fits]
+        went = np.zeros(len(bucket), bool)
+        went[order[fits]] = True
+        return went
+
     def delete(self, hashes: np.ndarray) -> None:
         mark, one, two = self.places(hashes)
         for m, a, b in zip(mark, one, two, strict=True):
@@ -94,39 +108,27 @@ class CuckooFilter:
                     break
 
     @classmethod
-    def of(cls, hashes: np.ndarray) -> CuckooFilter:
-        capacity = max(16, len(hashes))
+    def of(cls, hashes: np.ndarray, room: float = 1.0) -> CuckooFilter:
+        """A filter of these keys with room for as many times their number."""
+        capacity = max(16, int(len(hashes) * room))
         while True:
             made = cls(capacity)
-            if made._bulk(hashes):
+            if made.insert(hashes):
                 return made
             capacity *= 2
 
-    def _bulk(self, hashes: np.ndarray) -> bool:
-        """Place as many as their first bucket holds at once, the rest one by one."""
-        mark, one, _ = self.places(hashes)
-        order = np.argsort(one, kind="stable")
-        bucket = one[order]
-        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-        rank = np.arange(len(bucket)) - np.repeat(start, np.diff(np.append(start, len(bucket))))
-        fits = rank < SLOTS - 1
-        self.table[bucket[fits], rank[fits]] = mark[order][fits]
-        self.count += int(fits.sum())
-        return self.insert(hashes[order][~fits])
-
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), "<u8").astype(np.uint64)
 
 
 class LineIndex:
-    """refs and filters as tables; insert() and delete() return a new index and leave the old one valid."""
+    """Segments and filters as tables; insert() and delete() return a new index and leave the old one valid."""
 
-    def __init__(self, spark: SparkSession, shards: int = 64, refs: DataFrame | None = None, filters: DataFrame | None = None, least_chars: int = 10):
-        self.spark, self.shards, self.least_chars = spark, shards, least_chars
-        self.empty = refs is None
-        self.refs = spark.createDataFrame([], REFS) if refs is None else refs
+    def __init__(self, spark: SparkSession, shards: int = 64, segments: tuple[DataFrame, ...] = (), filters: DataFrame | None = None, least_chars: int = 10, room: float = 2.0):
+        self.spark, self.shards, self.segments, self.least_chars, self.room = spark, shards, segments, least_chars, room
         self.filters = spark.createDataFrame([], FILTERS) if filters is None else filters
+        self.lost = None  # after insert(): the lines that the batch's documents lose
 
     def references(self, docs: DataFrame) -> DataFrame:
         """Distinct (shard, key, doc_id) of a batch. Keys are 128-bit hashes; copies within a text go before the shuffle."""
@@ -134,74 +136,100 @@ class LineIndex:
         keyed = lines.where(F.length("line") >= self.least_chars).select("doc_id", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
         return keyed.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "doc_id").distinct()
 
+    def refs(self) -> DataFrame:
+        """The references that count: shard, key, doc_id."""
+        if not self.segments:
+            return self.spark.createDataFrame([], REFS).drop("change")
+        rows = self.segments[0]
+        for segment in self.segments[1:]:
+            rows = rows.unionByName(segment)
+        return rows.groupBy("shard", "key", "doc_id").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the batch's lines; references that it has already are not counted twice."""
         batch = materialize(self.references(docs), "line-batch")
-        keys = batch.select("shard", "key").distinct()
-        if self.empty:
-            return self._with(batch, self._filtered(keys.withColumn("add", F.lit(True)), batch))
 
         def probe(shard: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             """The batch's keys that the filter may know."""
-            if not right.num_rows:
+            if not right.num_rows or not left.num_rows:
                 return left.slice(0, 0)
             return left.filter(pa.array(_load(right).contains(_hashes(left["key"].to_pylist())), pa.bool_()))
 
-        asked = materialize(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "shard int, key binary"), "line-asked")
-        known = materialize(self.refs.join(asked, ["shard", "key"], "left_semi"), "line-known")
-        new = keys.join(known, ["shard", "key"], "left_anti").withColumn("add", F.lit(True))
-        refs = materialize(self.refs.unionByName(batch.join(known, ["shard", "key", "doc_id"], "left_anti")), "line-refs")
-        return self._with(refs, self._filtered(new, refs))
+        keys = batch.select("shard", "key").distinct()
+        if self.segments:
+            asked = materialize(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "shard int, key binary"), "line-asked")
+            known = materialize(self.refs().join(asked, ["shard", "key"], "left_semi"), "line-known")
+            new, fresh = keys.join(known, ["shard", "key"], "left_anti"), batch.join(known, ["shard", "key", "doc_id"], "left_anti")
+            fresh = materialize(fresh.withColumn("change", F.lit(1)), "line-refs")
+            discard(asked)
+        else:
+            known, new, fresh = None, keys, batch.withColumn("change", F.lit(1))
+        after = self._with(fresh)
+        after.filters = after._filtered(new.withColumn("add", F.lit(True)))
+        after.lost = materialize(self._lost(batch, known), "line-lost")
+        if known is not None:
+            discard(batch)
+            discard(known)
+        return after
+
+    def _lost(self, batch: DataFrame, known: DataFrame | None) -> DataFrame:
+        """doc_id, key: lines of the batch that a smaller document holds, in the batch or among the known references.
+
+        Owners are a table first: both sides of the join are then plain exchanges, which Spark splits where one key has
+        many references, and it broadcasts the owners if their size in files is under its own limit.
+        """
+        owners = batch.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+        if known is not None:
+            before = known.groupBy("key").agg(F.min("doc_id").alias("before"))
+            owners = owners.join(before, "key", "left").select("key", F.least("owner", "before").alias("owner"), F.when(F.col("before").isNull(), F.col("n")).otherwise(2).alias("n"))
+        return batch.join(materialize(owners.where("n > 1").select("key", "owner"), "line-owners"), "key").where(F.col("doc_id") > F.col("owner")).select("doc_id", "key")
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without these documents (doc_id): keys that lose their last reference leave the filters."""
-        gone = self.refs.join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("shard", "key", "doc_id")
-        gone = materialize(gone, "line-gone")
-        refs = materialize(self.refs.join(gone, ["shard", "key", "doc_id"], "left_anti"), "line-refs")
-        lost = gone.select("shard", "key").distinct().join(refs, ["shard", "key"], "left_anti").withColumn("add", F.lit(False))
-        return self._with(refs, self._filtered(lost, refs))
-
-    def _with(self, refs: DataFrame, filters: DataFrame) -> LineIndex:
-        return LineIndex(self.spark, self.shards, refs, filters, self.least_chars)
-
-    def _filtered(self, changes: DataFrame, refs: DataFrame) -> DataFrame:
+        refs = self.refs()
+        gone = refs.join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("shard", "key", "doc_id")
+        gone = materialize(gone.withColumn("change", F.lit(-1)), "line-gone")
+        after = self._with(gone)
+        touched = gone.select("shard", "key").distinct()
+        lost = touched.join(after.refs().join(touched, ["shard", "key"], "left_semi"), ["shard", "key"], "left_anti")
+        after.filters = after._filtered(lost.withColumn("add", F.lit(False)))
+        return after
+
+    def _with(self, segment: DataFrame) -> LineIndex:
+        return LineIndex(self.spark, self.shards, (*self.segments, segment), self.filters, self.least_chars, self.room)
+
+    def _filtered(self, changes: DataFrame) -> DataFrame:
         """The filters after the changes (shard, key, add); a shard whose filter has no room is built anew from its exact keys."""
+        room = self.room
 
         def update(shard: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return right
             hashes = _hashes(left["key"].to_pylist())
-            add = np.array(left["add"].to_pylist(), bool)
+            add = left["add"].to_numpy()
             if right.num_rows:
                 made = _load(right)
                 made.delete(hashes[~add])
                 if made.count + add.sum() > 0.9 * made.table.size or not made.insert(hashes[add]):
                     made = None
             else:
-                made = CuckooFilter.of(hashes[add])
+                made = CuckooFilter.of(hashes[add], room)
             return _row(shard[0].as_py(), made)
 
-        changed = materialize(changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(update, FILTERS), "line-changed")
+        changed = materialize(changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(update, FILTERS), "line-filters")
         full = changed.where(F.col("filter").isNull()).select("shard")
         if full.isEmpty():
             return changed
 
         def build(shard: tuple, table: pa.Table) -> pa.Table:
-            return _row(shard[0].as_py(), CuckooFilter.of(_hashes(table["key"].to_pylist())))
+            return _row(shard[0].as_py(), CuckooFilter.of(_hashes(table["key"].to_pylist()), room))
 
-        rebuilt = refs.join(full, "shard", "left_semi").select("shard", "key").distinct().groupBy("shard").applyInArrow(build, FILTERS)
+        rebuilt = self.refs().join(full, "shard", "left_semi").select("shard", "key").distinct().groupBy("shard").applyInArrow(build, FILTERS)
         return materialize(changed.where(F.col("filter").isNotNull()).unionByName(rebuilt), "line-filters")
 
     def owners(self) -> DataFrame:
         """Keys with more than one reference: key, owner."""
-        return self.refs.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "owner")
-
-    def dropped(self) -> DataFrame:
-        """doc_id and the keys that it loses; a document's keys only, so bounded by its own lines.
-
-        Owners are a table first: both sides of the join are then plain exchanges, which Spark splits where one key has
-        many references, and it broadcasts the owners if their size in files is under its own limit.
-        """
-        lost = self.refs.join(materialize(self.owners(), "line-owners"), "key").where(F.col("doc_id") > F.col("owner"))
-        return lost.groupBy("doc_id").agg(F.collect_set("key").alias("__lost"))
+        return self.refs().groupBy("key").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "owner")
 
 
 def _load(table: pa.Table) -> CuckooFilter:
@@ -227,15 +255,26 @@ def _kept_lines(text: str, lost: set[bytes], least_chars: int) -> tuple[int, lis
     return len(lines), kept
 
 
-def build_index(docs: DataFrame, least_chars: int = 10) -> LineIndex:
-    """An index of all the documents; a shard for about every 4,096 documents, 64 at least."""
-    shards = max(64, docs.count() // 4096)
-    return LineIndex(docs.sparkSession, shards, least_chars=least_chars).insert(docs)
+def build_index(docs: DataFrame, least_chars: int = 10, batches: int = 4) -> tuple[LineIndex, DataFrame]:
+    """An index of all the documents, inserted in ranges of ascending doc_id, and by doc_id the keys that it loses (bounded by its own lines).
+
+    A shard for about every 4,096 documents, 64 at least.
+    """
+    held = docs.where(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long"))
+    steps = [i / batches for i in range(1, batches)]
+    n, cuts = held.agg(F.count(F.lit(1)), F.percentile_approx("__id", steps) if steps else F.lit(None)).first()
+    index, lost = LineIndex(docs.sparkSession, max(64, n // 4096), least_chars=least_chars, room=float(batches)), None
+    bounds = [None, *sorted(set(cuts or [])), None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        own = (F.col("__id") > lo if lo is not None else F.lit(True)) & (F.col("__id") <= hi if hi is not None else F.lit(True))
+        index = index.insert(held.where(own).drop("__id"))
+        lost = index.lost if lost is None else lost.unionByName(index.lost)
+    return index, lost.groupBy("doc_id").agg(F.collect_set("key").alias("__lost"))
 
 
 def line_report(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row."""
-    index = build_index(docs, least_chars)
+    _, dropped = build_index(docs, least_chars)
 
     def digest(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,12 +285,12 @@ def line_report(docs: DataFrame, least_chars: int = 10) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return texts(docs).join(index.dropped(), "doc_id", "left").select("doc_id", "text", "__lost").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return texts(docs).join(dropped, "doc_id", "left").select("doc_id", "text", "__lost").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     """docs with their columns, the repeated lines gone from text; texts of which nothing is left go as a whole."""
-    lost = build_index(docs, least_chars).dropped().withColumnRenamed("doc_id", "__lost_id")
+    lost = build_index(docs, least_chars)[1].withColumnRenamed("doc_id", "__lost_id")
     joined, names = docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost_id"), "left").drop("__lost_id"), docs.columns
 
     def rewrite(batches: Iterator) -> Iterator[pa.RecordBatch]:

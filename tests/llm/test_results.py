@@ -251,6 +251,28 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(awkward.empty(spark)).count() == 0
 
 
+def test_clean_drops_the_lines_and_empty_texts(spark):
+    docs = awkward.table(spark)
+    got = line_dedup.clean(docs)
+    assert got.columns == docs.columns
+    held = defaultdict(set)
+    for doc_id, text in ROWS:
+        if doc_id is not None:
+            for line in text.split("\n"):
+                held[line_key(line)].add(doc_id)
+    expected = []
+    for row in awkward.rows():
+        doc_id, text = row[:2]
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if doc_id is None or len(line_key(x)) < 10 or len(held[line_key(x)]) < 2 or min(held[line_key(x)]) == doc_id]
+        if len(kept) == len(lines):
+            expected.append(row)
+        elif "\n".join(kept).strip():
+            expected.append((doc_id, "\n".join(kept), *row[2:]))
+    same(got.collect(), expected)
+    assert line_dedup.clean(awkward.empty(spark)).count() == 0
+
+
 def test_line_index_is_reversible(spark):
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     first = [(i, f"line number {i % 5} of all\nanother line {i}") for i in range(20)]
@@ -258,25 +280,41 @@ def test_line_index_is_reversible(spark):
     one = line_dedup.LineIndex(spark, shards=3).insert(make(first))
     both = one.insert(make(second))
     fresh = line_dedup.LineIndex(spark, shards=3).insert(make(first + second))
-    state = lambda x: sorted((r.shard, bytes(r.key), r.doc_id) for r in x.refs.collect())
+    state = lambda x: sorted((r.shard, bytes(r.key), r.doc_id) for r in x.refs().collect())
     owners = lambda x: sorted((bytes(r.key), r.owner) for r in x.owners().collect())
+    count = lambda x: {r.shard: r["keys"] for r in x.filters.collect()}
     assert state(both) == state(fresh) and owners(both) == owners(fresh)
     back = both.delete(make(second).select("doc_id"))
-    assert state(back) == state(one)
-    count = lambda x: {r.shard: r["keys"] for r in x.filters.collect()}
-    assert count(back) == count(one)
+    assert state(back) == state(one) and count(back) == count(one)
+    again = back.insert(make(second))
+    assert state(again) == state(both) and count(again) == count(both)
+    lost = lambda x: sorted((r.doc_id, bytes(r.key)) for r in x.lost.collect())
+    assert lost(again) == lost(both) and lost(both)
     without = both.delete(make(first[:3]).select("doc_id"))
     assert owners(without) == owners(line_dedup.LineIndex(spark, shards=3).insert(make(first[3:] + second)))
 
 
+def test_the_filters_decide_what_is_looked_up(spark):
+    """With emptied filters the lines of earlier batches are not found: the result comes through the filters."""
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one = line_dedup.LineIndex(spark, shards=2).insert(make([(1, "a line that is long enough\nsecond line of the text")]))
+    batch = make([(2, "a line that is long enough"), (3, "a line of its own here")])
+    assert [r.doc_id for r in one.insert(batch).lost.collect()] == [2]
+    emptied = line_dedup.LineIndex(spark, 2, one.segments, one.filters.limit(0))
+    assert emptied.insert(batch).lost.count() == 0
+
+
 def test_cuckoo_filter():
     draw = np.random.default_rng(2)
     hashes = draw.integers(0, 2**64, 20_000, np.uint64)
-    made = line_dedup.CuckooFilter.of(hashes)
+    made = line_dedup.CuckooFilter.of(hashes[:12_000], room=2)
+    assert made.insert(hashes[12_000:])
     assert made.contains(hashes).all() and made.count == len(hashes)
     assert made.contains(draw.integers(0, 2**64, 20_000, np.uint64)).mean() < 0.01
     made.delete(hashes[:10_000])
     assert made.contains(hashes[10_000:]).all() and made.count == 10_000 and made.contains(hashes[:10_000]).mean() < 0.01
+    tight = line_dedup.CuckooFilter.of(hashes)
+    assert tight.contains(hashes).all() and tight.count == len(hashes)
 
 
 def test_residual_packing(spark):
