@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -110,6 +111,48 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of GOLDEN and of its inverse, for hashes of runs by prefix sums."""
+    inverse = np.uint64(pow(int(GOLDEN), -1, 2**64))
+    one = np.ones(1, np.uint64)
+    return tuple(np.multiply.accumulate(np.concatenate([one, np.full(n, b)])) for b in (GOLDEN, inverse))
+
+
+def run_hashes(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of code points or bytes from lo to hi."""
+    up, down = powers(1 << max(10, len(points).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + GOLDEN) * up[: len(points)], dtype=np.uint64)])
+    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+#: The white space between words.
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = mix(np.arange(256, dtype=np.uint64) + GOLDEN)
+
+
+def word_hashes(some: list[str], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, by their UTF-8 bytes between ASCII white space, and each word's text by number.
+
+    Hashed in stretches of about `most` bytes that end at white space.
+    """
+    encoded = [t.encode() for t in some]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in encoded), np.int64, len(encoded)))
+    data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
+    edge = np.diff((~SPACES[data]).astype(np.int8), prepend=np.int8(0))
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out, at = np.empty(len(lo), np.uint64), 0
+    while at < len(lo):
+        end = max(at + 1, int(np.searchsorted(hi, lo[at] + most)))
+        a, b = lo[at], hi[end - 1]
+        up, down = powers(1 << max(10, int(b - a).bit_length()))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data[a:b]] * up[: b - a], dtype=np.uint64)])
+        first, last = lo[at:end] - a, hi[at:end] - a
+        out[at:end] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        at = end
+    return out, np.searchsorted(ends, lo, "right")
+
+
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hashes of all runs of `width` consecutive values: one uint64 for each start."""
     n = len(values) - width + 1

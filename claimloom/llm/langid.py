@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import GOLDEN, discard, materialize, mix, slices, texts
+from claimloom.llm.common import discard, materialize, run_hashes, slices, texts
 
 UNKNOWN = "und"
 FLOOR = 1e-7
@@ -46,21 +46,6 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of GOLDEN and of its inverse, for hashes of runs by prefix sums."""
-    inverse = np.uint64(pow(int(GOLDEN), -1, 2**64))
-    one = np.ones(1, np.uint64)
-    return tuple(np.multiply.accumulate(np.concatenate([one, np.full(n, b)])) for b in (GOLDEN, inverse))
-
-
-def run_hashes(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of code points from lo to hi."""
-    up, down = powers(1 << max(10, len(points).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + GOLDEN) * up[: len(points)], dtype=np.uint64)])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-
-
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 

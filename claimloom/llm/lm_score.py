@@ -1,14 +1,18 @@
-"""Stupid-backoff language-model scores over the whole corpus.
+"""Stupid-backoff language-model scores, held out: every document by the n-gram counts of all the others.
 
-The score of a word is count(n-gram) / count(its context) for the longest n-gram seen, times `alpha` for each order given
-up; single words score count / number of words. An n-gram of two or more words is seen if the corpus holds it at least
-`least` times: 1 is the method itself, as the query has it; 2 makes the text's own unique n-grams back off. A document's score is the sum of the words' logarithms.
+The score of a word is count(n-gram) / count(its context) for the longest n-gram that the rest of the corpus holds, times
+`alpha` for each order given up; a single word scores count / number of words, and as one occurrence if no other document
+holds it. A document's score is the sum of the words' logarithms. Counts are those of the whole corpus less the document's
+own (`leave_out`); with leave_out=False they include it, and then no n-gram of the corpus backs off.
 
-Documents are exploded to n-grams in blocks: a block is some documents of one task, as word hashes. For each order every
-block sends its distinct n-grams with their numbers to the count tables, which are partitioned by hash; there they are
-added up, and joined back to the blocks that hold them; then each block sums its documents' scores. A block sends an
-n-gram once, however frequent, so no partition sees more of it than there are blocks. As both parts of a seen n-gram are
-seen, only those n-grams are sent whose parts are. Words are 64-bit hashes of their bytes.
+Documents are exploded to rows, one for each distinct n-gram of a text with the number of its occurrences there. Rows are
+partitioned by the n-gram's hash: grouped, they are the count tables; joined back to these, they bring each text the
+counts that others give it; collected by text, they are summed to its score. A text sends an n-gram once, however often
+it has it, so the most common word has one row for each document at most; its rows stream through the join.
+
+The corpus is done in `passes`, each over all documents and one part of the hash space, and texts are scored in as many
+parts: scratch space falls with their number and texts are read as often, results are the same. Words are 64-bit hashes
+of their bytes, between ASCII white space.
 
 Defined cases: a null text has no word; a text without words has n_words 0 and scores 0.0; repeated rows, also of the
 same doc_id, count and are scored each; a null doc_id is kept. An empty table gives an empty table. Other columns are not
@@ -17,7 +21,6 @@ read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,167 +28,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import MAX_ID, WordHashes, materialize, rolling, texts
+from claimloom.llm.common import discard, materialize, mix, rolling, slices, texts, word_hashes
 
 BASE = 0x9E3779B97F4A7C55
-BLOCKS = "block long, doc_ids binary, lengths binary, vocabulary binary, ids binary, words long"
-ASKED = "part int, block long, grams binary, times binary"
-TOLD = "block long, n int, part int, width int, counts binary"
+GRAMS = "row_key long, gram long, at int, own int"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, a plane for each byte: the high planes of close values are zeros, which compress."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def widen(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
-
-
-def narrowest(counts: np.ndarray) -> int:
-    """Bytes for each count: four, or eight where a count of the whole corpus is beyond 32 bits."""
-    return 8 if len(counts) and int(counts.max()) >= 1 << 32 else 4
-
+def _keyed(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
 
-def blocks(docs: DataFrame, words_each: int = 1 << 20) -> DataFrame:
-    """Whole documents as ids into the block's own vocabulary of word hashes, frequent words first; bytes by planes, which compress."""
 
-    def make(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        hashes, held, names, n = WordHashes(), [], [], 0
+def grams(docs: DataFrame, order: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """row_key, gram, at, own: the distinct n-grams of each text up to the order, in one part of the hash space.
 
-        def block() -> pa.RecordBatch:
-            lengths = np.array([len(h) for h in held], np.int32)
-            vocabulary, ids, counts = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
-            place = np.empty(len(order), "<u4")
-            place[order] = np.arange(len(order))
-            planes = place[ids].view(np.uint8).reshape(-1, 4).T.tobytes()
-            row = (uuid.uuid4().int >> 65, np.array(names, np.int64).tobytes(), lengths.tobytes(), vocabulary[order].tobytes(), planes, len(ids))
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "doc_ids", "lengths", "vocabulary", "ids", "words"])
+    at tells the n-gram by its first place and order, as place * order + (n - 1); own is how often the text has it.
+    """
 
+    def explode(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = hashes.of(text.as_py().encode().split())
-                held.append(words)
-                names.append(doc_id.as_py() if doc_id.is_valid else MAX_ID)
-                n += len(words)
-                if n >= words_each:
-                    yield block()
-                    held, names, n = [], [], 0
-        if held:
-            yield block()
-
-    return texts(docs).mapInArrow(make, BLOCKS)
-
-
-class Block:
-    """A block's n-grams, and what it has been told of their counts so far."""
-
-    def __init__(self, row: dict, told: list[tuple[int, int, int, bytes]], least: int):
-        self.doc_ids, self.lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
-        ids = np.ascontiguousarray(np.frombuffer(row["ids"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        self.words = np.frombuffer(row["vocabulary"], np.uint64)[ids]
-        starts = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        self.at = np.arange(len(self.words)) - starts  # place in its document
-        self.counts: list[np.ndarray] = []  # by order, of the n-gram that ends at each word; 0: not seen
-        answers: dict[int, dict[int, np.ndarray]] = {}
-        for n, part, width, counts in told:
-            answers.setdefault(n, {})[part] = np.frombuffer(counts, f"<u{width}")
-        for n in sorted(answers):
-            where, _, inverse, _ = self.grams(n, least)
-            found = np.concatenate([answers[n][p] for p in sorted(answers[n])])
-            counts = np.zeros(len(self.words), np.int64)
-            counts[where] = found[inverse]
-            self.counts.append(counts)
-
-    def grams(self, n: int, least: int) -> tuple:
-        """Places where an n-gram ends whose parts are seen; the distinct hashes, sorted; which one stands where; how often."""
-        good = self.at >= n - 1
-        if n > 1:
-            seen = self.counts[n - 2] >= least
-            good &= seen
-            good[1:] &= seen[:-1]
-        where = np.flatnonzero(good)
-        hashes = rolling(self.words, n, BASE)[where - (n - 1)] if len(where) else np.empty(0, np.uint64)
-        grams, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        return where, grams, inverse, times
-
-    def scores(self, total: int, alpha: float, least: int) -> np.ndarray:
-        """Sum of log scores of each document."""
-        top = np.minimum(self.at + 1, len(self.counts))
-        score = np.log(self.counts[0] / total)
-        used = np.ones(len(self.words), np.int64)
-        for n in range(2, len(self.counts) + 1):
-            seen = np.flatnonzero(self.counts[n - 1] >= least)
-            score[seen] = np.log(self.counts[n - 1][seen] / self.counts[n - 2][seen - 1])
-            used[seen] = n
-        score += (top - used) * np.log(alpha)
-        sums = np.concatenate([[0.0], np.cumsum(score)])
-        ends = np.cumsum(self.lengths)
-        return sums[ends] - sums[ends - self.lengths]
-
-
-def _told(table: pa.Table) -> list[tuple]:
-    return list(zip(*(table[c].to_pylist() for c in ("n", "part", "width", "counts")), strict=True))
-
-
-def _asked(made: DataFrame, told: DataFrame | None, n: int, bits: int, least: int) -> DataFrame:
-    """The n-grams of each block, cut by the high bits of their hashes to the partitions of the count table."""
-
-    def ask(row: dict, answers: list) -> pa.RecordBatch:
-        _, grams, _, times = Block(row, answers, least).grams(n, least)
-        cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-        parts, low = np.flatnonzero(np.diff(cuts)), np.uint64(2 ** (64 - bits) - 1)  # the part itself has the high bits
-        data = [squeeze(grams[cuts[p] : cuts[p + 1]] & low) for p in parts]
-        numbers = [times[cuts[p] : cuts[p + 1]].astype(np.uint32).tobytes() for p in parts]
-        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([row["block"]] * len(parts), pa.int64()), pa.array(data, pa.binary()), pa.array(numbers, pa.binary())], ["part", "block", "grams", "times"])
-
-    if told is None:
-        return made.mapInArrow(lambda batches: (ask(row, []) for batch in batches for row in batch.to_pylist()), ASKED)
-    return made.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda left, right: pa.Table.from_batches([ask(left.to_pylist()[0], _told(right))]), ASKED)
-
-
-def _answered(asked: DataFrame, n: int, least: int) -> DataFrame:
-    """The count table of one partition of hashes, joined back to each block that asked. Counts of two words or more under `least` are 0."""
-
-    def count(table: pa.Table) -> pa.Table:
-        data = table["grams"].to_pylist()
-        grams = np.concatenate([widen(d) for d in data])
-        times = np.frombuffer(b"".join(table["times"].to_pylist()), np.uint32)
-        distinct, inverse = np.unique(grams, return_inverse=True)
-        total = np.bincount(inverse, times, len(distinct)).astype(np.uint64)
-        if n > 1:
-            total[total < least] = 0
-        width = narrowest(total)
-        answer = total.astype(f"<u{width}")[inverse]
-        ends = np.cumsum([len(d) // 8 for d in data])
-        counts = [answer[e - len(d) // 8 : e].tobytes() for d, e in zip(data, ends, strict=True)]
-        return pa.table([table["block"], pa.array([n] * len(data), pa.int32()), table["part"], pa.array([width] * len(data), pa.int32()), pa.array(counts, pa.binary())], ["block", "n", "part", "width", "counts"])
-
-    return asked.groupBy("part").applyInArrow(count, TOLD)
-
-
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, words_each: int = 1 << 20) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score of each row."""
-    made = materialize(blocks(docs, words_each), "lm-blocks")
-    total = made.agg(F.sum("words")).first()[0] or 0
-    if not total:
-        return texts(docs).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"), F.lit(0.0).alias("mean_log_score"))
-    bits = max(4, (total // words_each).bit_length())  # partitions of about words_each n-grams
-    told = None
+            for some in slices(batch, "text"):
+                words, text = word_hashes(some["text"].to_pylist())
+                first = np.searchsorted(text, np.arange(some.num_rows))
+                out = []
+                for n in range(1, order + 1):
+                    gram = rolling(words, n, BASE + n - 1)
+                    where = np.flatnonzero((text[: len(gram)] == text[n - 1 :]) & ((gram >> np.uint64(33)) % np.uint64(parts) == np.uint64(part)))
+                    gram, of = gram[where], text[where]
+                    _, at, times = np.unique(mix(gram + mix(of.astype(np.uint64))), return_index=True, return_counts=True)
+                    out.append((of[at], gram[at], (where[at] - first[of[at]]) * order + n - 1, times))
+                of, gram, at, times = (np.concatenate(c) for c in zip(*out, strict=True))
+                keys = some["row_key"].to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(gram.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(times.astype(np.int32))], ["row_key", "gram", "at", "own"])
+
+    return _keyed(docs).select("row_key", "text").mapInArrow(explode, GRAMS)
+
+
+def counted(docs: DataFrame, order: int, leave_out: bool, part: int, parts: int) -> DataFrame:
+    """row_key, at, times: for each text the n-grams that the corpus (less the text) holds, and how often, as two lists."""
+    rows = grams(docs, order, part, parts).repartition("gram")
+    table = rows.groupBy("gram").agg(F.sum("own").alias("times"))
+    found = rows.join(table, "gram").select("row_key", "at", (F.col("times") - (F.col("own") if leave_out else 0)).alias("times")).where("times > 0")
+    return found.groupBy("row_key").agg(F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
+
+
+def log_score(text: str, codes: np.ndarray, times: np.ndarray, order: int, alpha: float, total: int, leave_out: bool) -> tuple[int, float]:
+    """Number of words and sum of their log scores. codes, times: what the corpus has of the text's n-grams."""
+    words, _ = word_hashes([text])
+    if not len(words):
+        return 0, 0.0
+    by_code = np.argsort(codes)
+    codes, times = codes[by_code], times[by_code]
+    counts = []
     for n in range(1, order + 1):
-        answers = materialize(_answered(_asked(made, told, n, bits, least), n, least), f"lm-counts-{n}")
-        told = answers if told is None else told.unionByName(answers)
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        block = Block(row, _told(right), least)
-        sums = block.scores(total, alpha, least)
-        words = block.lengths.astype(np.int64)
-        return pa.table([pa.array([None if d == MAX_ID else int(d) for d in block.doc_ids], pa.int64()), pa.array(words), pa.array(sums), pa.array(sums / np.maximum(words, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    return made.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, SCORES)
+        _, at, inverse = np.unique(rolling(words, n, BASE + n - 1), return_index=True, return_inverse=True)
+        code = at * order + n - 1
+        place = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+        found = np.where(codes[place] == code, times[place], 0) if len(codes) else np.zeros(len(code), np.int64)
+        ends = np.zeros(len(words), np.int64)  # of the n-gram that ends at each word
+        ends[n - 1 :] = found[inverse]
+        counts.append(ends)
+    score = np.log(np.maximum(counts[0], 1) / max(total - (len(words) if leave_out else 0), 1))
+    used = np.ones(len(words), np.int64)
+    for n in range(2, order + 1):
+        seen = np.flatnonzero(counts[n - 1])
+        score[seen] = np.log(counts[n - 1][seen] / counts[n - 2][seen - 1])
+        used[seen] = n
+    top = np.minimum(np.arange(len(words)) + 1, order)
+    return len(words), float((score + (top - used) * np.log(alpha)).sum())
+
+
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool = True, passes: int = 4) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log_score of each row."""
+    found = [materialize(counted(docs, order, leave_out, i, passes), f"lm-counts-{i}") for i in range(passes)]
+    told = found[0]
+    for more in found[1:]:
+        told = told.unionByName(more)
+    gap = r"[^\x20\x09-\x0D]+"
+    total = texts(docs).agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(gap))), F.lit(0))).first()[0]
+
+    def finish(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        for batch in batches:
+            for some in slices(batch, "text"):
+                sums = []
+                for text, at, times in zip(some["text"].to_pylist(), some["at"], some["times"], strict=True):
+                    lists = (np.concatenate([x.values.to_numpy() for x in c]) if c.is_valid else none for c in (at, times))
+                    sums.append(log_score(text, *lists, order, alpha, total, leave_out))
+                n, s = np.array([x[0] for x in sums], np.int64), np.array([x[1] for x in sums])
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    done = []
+    for i in range(passes):
+        own = F.pmod("row_key", F.lit(passes)) == i
+        lists = told.where(own).groupBy("row_key").agg(F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
+        joined = _keyed(docs).where(own).join(lists, "row_key", "left").select("doc_id", "text", "at", "times")
+        done.append(materialize(joined.mapInArrow(finish, SCORES), f"lm-scores-{i}"))
+    for table in found:
+        discard(table)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
