@@ -1,12 +1,18 @@
 """N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
 
 A document is its set of five-word shingles (lower case, words between ASCII white space). Documents with equal sets are
-one class, which has a number of its own (rep); only one row of it goes on. Each tree of the forest sorts signatures by a prefix of its own MinHash
-values; starting from the longest, the prefix is shortened until the documents that share it reach the target recall at
-the threshold (1 - (1 - s^d)^trees). Documents that share a prefix form a group; groups of the same members in several
-trees are verified once. Verification is exact, on the shingle sets: in each group the intersections of all members are
-products of their incidence matrix with itself, in tiles of bounded size; a pair counts in the first tree that groups it.
-Only a document's number of links and a few ties that hold linked documents together leave a tile, never pairs.
+one class, which has a number of its own (rep); only one row of it goes on. Each tree of the forest is a prefix trie over
+signatures of its own MinHash values: documents whose signatures begin alike, sorted together, are a node.
+
+The join starts from the longest prefixes and shortens them, a value at a time. At each depth the nodes with more than
+one branch compare their documents across branches; pairs that share a longer prefix anywhere have met before, so every
+pair is verified once. After each depth the recall is estimated from the data: a verified pair of similarity s is found at
+depth d with chance 1 - (1 - s^d)^trees, so the pairs found, each over its chance, add up to the pairs there are. Shortening
+ends when the estimate reaches the target, at the latest at the depth that reaches it for pairs at the threshold itself.
+
+Verification is exact, on the shingle sets: in each node the intersections of all members are products of their incidence
+matrix with itself, in tiles of bounded size. Only a document's number of links, a few ties that hold linked documents
+together and counts by similarity leave a tile, never pairs.
 
 Results: class_id is the least doc_id of the documents tied by links, copy_id the least with the same shingles, n_links
 the number of other rows at or above the threshold, copies included.
@@ -23,107 +29,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import MAX_ID, WordHashes, discard, materialize, mix, rolling, rows, texts
+from claimloom.llm.common import MAX_ID, discard, materialize, mix, rolling, rows, slices, texts, word_hashes
 from claimloom.llm.components import components
 
 BASE = 0x9E3779B97F4A7C55
-TILE = 512
+TILE = 1024
+#: Similarities are counted in so many steps up to 1.
+STEPS = 200
+
 
+def shingle_sets(some: list[str], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of the runs of `width` words; all words if there are fewer."""
+    words, of = word_hashes([t.lower() for t in some])
+    cuts = np.searchsorted(of, np.arange(len(some) + 1))
+    own = [words[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [np.unique(rolling(w, min(width, len(w)), BASE)) if len(w) else np.empty(0, np.uint64) for w in own]
 
-def shingles(text: str, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` words; all words if there are fewer."""
-    words = hashes.of(text.lower().encode().split())
-    return np.unique(rolling(words, min(width, len(words)), BASE)) if len(words) else np.empty(0, np.uint64)
 
+def chance(similarity: float, depth: int, trees: int) -> float:
+    """That two documents of this similarity share a prefix of this depth in any tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
-def prefix_depth(threshold: float, trees: int, target: float, longest: int) -> int:
+
+def least_depth(threshold: float, trees: int, target: float, longest: int) -> int:
     """The greatest depth whose expected recall at the threshold reaches the target."""
-    for depth in range(longest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+    return next((d for d in range(longest, 1, -1) if chance(threshold, d, trees) >= target), 1)
 
 
 class Forest:
-    def __init__(self, threshold: float = 0.8, trees: int = 20, longest: int = 10, target: float = 0.9995, width: int = 5, seed: int = 3):
-        self.threshold, self.trees, self.width = threshold, trees, width
-        self.depth = prefix_depth(threshold, trees, target, longest)
+    def __init__(self, threshold: float = 0.8, trees: int = 20, longest: int = 8, target: float = 0.9995, width: int = 5, seed: int = 3):
+        self.threshold, self.trees, self.longest, self.target, self.width = threshold, trees, longest, target, width
+        self.shortest = least_depth(threshold, trees, target, longest)
         draw = np.random.Generator(np.random.PCG64(seed))
-        n = trees * self.depth
+        n = trees * longest
         self.flip = draw.integers(0, 2**64, (n, 1), np.uint64)
         self.times = draw.integers(0, 2**63, (n, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def prefixes(self, values: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each tree: the first `depth` MinHash values of its signature."""
+    def sign(self, values: np.ndarray) -> bytes:
+        """Tree by tree `longest` MinHash values of two bytes each."""
         least = np.full(len(self.flip), np.uint64(2**64 - 1))
         for at in range(0, len(values), 4096):
             least = np.minimum(least, ((values[None, at : at + 4096] ^ self.flip) * self.times).min(1))
-        key = np.zeros(self.trees, np.uint64)
-        for column in least.reshape(self.trees, self.depth).T:
-            key = mix(key + column)
-        return key
+        return mix(least).astype("<u2").tobytes()
+
+    def prefixes(self, signatures: list[bytes], depth: int) -> np.ndarray:
+        """A row for each signature and a column for each tree: a hash of the prefix."""
+        values = np.frombuffer(b"".join(signatures), "<u2").reshape(-1, self.trees, self.longest)[:, :, :depth].astype(np.uint64)
+        out = np.zeros(values.shape[:2], np.uint64)
+        for d in range(depth):
+            out = mix(out + values[:, :, d] + np.uint64(1))
+        return out
 
 
 def _sets(docs: DataFrame, forest: Forest) -> DataFrame:
-    """doc_id, text_key, set_1, set_2 (128 bits of the shingle set), shingles, keys (one long for each tree)."""
+    """doc_id, text_key, set_1, set_2 (128 bits of the shingle set), shingles, signature."""
 
     def sign(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                values = [shingles(t, forest.width, hashes) for t in part["text"].to_pylist()]
+            for part in slices(batch, "text"):
+                values = shingle_sets(part["text"].to_pylist(), forest.width)
                 with np.errstate(over="ignore"):
                     one = np.array([mix(v).sum(dtype=np.uint64) for v in values], np.uint64)
                     two = np.array([mix(v ^ np.uint64(BASE)).sum(dtype=np.uint64) for v in values], np.uint64)
-                keys = np.stack([forest.prefixes(v) for v in values]) if values else np.empty((0, forest.trees), np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * forest.trees, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([len(v) for v in values], pa.int32()), lists], ["doc_id", "text_key", "set_1", "set_2", "shingles", "keys"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([len(v) for v in values], pa.int32()), pa.array([forest.sign(v) for v in values], pa.binary())], ["doc_id", "text_key", "set_1", "set_2", "shingles", "signature"])
 
     keyed = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    return keyed.select("doc_id", "text_key", "text").mapInArrow(sign, "doc_id long, text_key long, set_1 long, set_2 long, shingles int, keys array<long>")
+    return keyed.select("doc_id", "text_key", "text").mapInArrow(sign, "doc_id long, text_key long, set_1 long, set_2 long, shingles int, signature binary")
 
 
-MEMBERS = "tile long, part int, rep long, copies long, tree int, keys array<long>, set binary"
+MEMBERS = "tile long, tree int, part int, rep long, copies long, signature binary, set binary"
+FOUND = "rep long, links long, tie long, step int, pairs long"
 
 
-def _members(docs: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
-    """wanted: rep, id, rep_key, copies, keys, tiles (array of tile, part, tree). A row with the shingle set for each tile."""
+def _members(content: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
+    """content: rep, text; wanted: rep, copies, signature, tiles (array of tile, tree, part). A row with the shingle set for each tile."""
 
     def make(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for rep, copies, keys, tiles, text in rows(batches):
-            data = shingles(text, forest.width, hashes).tobytes()
+        for rep, copies, signature, tiles, text in rows(batches):
+            data = shingle_sets([text], forest.width)[0].tobytes()
             for at in range(0, len(tiles), 32):
                 some = tiles[at : at + 32]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([t["tile"] for t in some], pa.int64()), pa.array([t["part"] for t in some], pa.int32()), pa.array([rep] * n, pa.int64()), pa.array([copies] * n, pa.int64()),
-                     pa.array([t["tree"] for t in some], pa.int32()), pa.array([keys] * n, pa.list_(pa.int64())), pa.array([data] * n, pa.binary())],
-                    ["tile", "part", "rep", "copies", "tree", "keys", "set"])
+                    [pa.array([t["tile"] for t in some], pa.int64()), pa.array([t["tree"] for t in some], pa.int32()), pa.array([t["part"] for t in some], pa.int32()), pa.array([rep] * n, pa.int64()),
+                     pa.array([copies] * n, pa.int64()), pa.array([signature] * n, pa.binary()), pa.array([data] * n, pa.binary())],
+                    ["tile", "tree", "part", "rep", "copies", "signature", "set"])
 
-    keyed = texts(docs).withColumn("text_key", F.xxhash64("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID)))
-    joined = keyed.join(wanted, (keyed["doc_id"] == wanted["id"]) & (keyed["text_key"] == wanted["rep_key"])).dropDuplicates(["rep"])
-    return joined.select("rep", "copies", "keys", "tiles", "text").mapInArrow(make, MEMBERS)
+    return content.join(wanted, "rep").select("rep", "copies", "signature", "tiles", "text").mapInArrow(make, MEMBERS)
 
 
-def verify(members: list[tuple], tree: int, threshold: float) -> list[tuple]:
-    """members: (part, rep, copies, keys, set). Rows (rep, linked rows, tie): links of pairs that meet in this tree first.
+def verify(members: list[tuple], tree: int, depth: int, forest: Forest) -> list[tuple]:
+    """members: (part, rep, copies, signature, set). Rows of FOUND: a member's linked rows and tie, and pairs by similarity.
 
-    A tile of one part compares all its members; one of two parts compares across them.
+    Counts pairs that share no longer prefix in any tree and none of this depth in an earlier one. A tile of one part
+    compares all its members; one of two parts compares across them.
     """
     n = len(members)
     part = np.array([m[0] for m in members])
     reps = np.array([m[1] for m in members], np.int64)
     copies = np.array([m[2] for m in members], np.int64)
-    keys = np.array([m[3] for m in members], np.int64)
     sets = [np.frombuffer(m[4], np.uint64) for m in members]
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.float32)
     shared = np.zeros((n, n), np.float32)
-    owner, (_, column, uses) = np.repeat(np.arange(n), sizes), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, (_, column, uses) = np.repeat(np.arange(n), sizes.astype(np.int64)), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     useful = uses[column] > 1
     owner, column = owner[useful], (np.cumsum(uses > 1) - 1)[column[useful]]
     order = np.argsort(column, kind="stable")
@@ -133,55 +144,117 @@ def verify(members: list[tuple], tree: int, threshold: float) -> list[tuple]:
         block = np.zeros((n, width), np.float32)
         block[owner[a:b], column[a:b] - lo] = 1
         shared += block @ block.T
-    shared = shared.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - shared
-    linked = shared * 1000 >= round(threshold * 1000) * union
+    about = np.triu(shared >= np.float32(forest.threshold * 0.999) * union, 1)
     if len(set(part)) > 1:
-        linked &= part[:, None] != part[None, :]
-    for t in range(tree):
-        linked &= keys[:, None, t] != keys[None, :, t]
-    np.fill_diagonal(linked, False)
-    counts = linked @ copies
-    out = []
+        about &= part[:, None] != part[None, :]
+    x, y = np.nonzero(about)
+    alike = shared[x, y].astype(np.int64) * 1000 >= round(forest.threshold * 1000) * union[x, y].astype(np.int64)  # in whole numbers
+    x, y = x[alike], y[alike]
+    now = forest.prefixes([m[3] for m in members], depth)
+    first = np.ones(len(x), bool)
+    longer = forest.prefixes([m[3] for m in members], depth + 1) if depth < forest.longest else None
+    for t in range(forest.trees):
+        if longer is not None:
+            first &= longer[x, t] != longer[y, t]
+        if t < tree:
+            first &= now[x, t] != now[y, t]
+    x, y = x[first], y[first]
+    if not len(x):
+        return []
+    counts = np.bincount(x, copies[y], n) + np.bincount(y, copies[x], n)
     label = np.arange(n)
     while True:  # least reachable member; a few passes, as ties are short
-        least = np.minimum(label, np.where(linked, label[None, :], n).min(1))
+        least = label.copy()
+        np.minimum.at(least, x, label[y])
+        np.minimum.at(least, y, label[x])
         least = np.minimum(least, least[least])
         if (least == label).all():
             break
         label = least
-    for i in np.flatnonzero(counts):
-        out.append((int(reps[i]), int(counts[i]), int(reps[label[i]])))
-    return out
+    steps, pairs = np.unique((shared[x, y] / union[x, y] * STEPS).astype(np.int64), return_counts=True)
+    return [(int(reps[i]), int(counts[i]), int(reps[label[i]]), None, None) for i in np.flatnonzero(counts)] + [(None, None, None, int(s), int(p)) for s, p in zip(steps, pairs, strict=True)]
 
 
-def _verified(members: DataFrame, threshold: float) -> DataFrame:
+def _verified(members: DataFrame, depth: int, forest: Forest) -> DataFrame:
     """Tiles stream through their tasks one after another, sorted by tile."""
 
     def check(batches: Iterator) -> Iterator[pa.RecordBatch]:
         out, held, now, tree = [], [], None, 0
-
-        def flush():
-            if len(held) > 1:
-                out.extend(verify(held, tree, threshold))
-
-        for tile, part, rep, copies, t, keys, data in rows(batches):
+        for tile, t, *member in rows(batches):
             if tile != now:
-                flush()
+                if len(held) > 1:
+                    out.extend(verify(held, tree, depth, forest))
                 held, now, tree = [], tile, t
                 if len(out) > 2000:
-                    yield _links(out)
+                    yield _found(out)
                     out = []
-            held.append((part, rep, copies, keys, data))
-        flush()
-        yield _links(out)
+            held.append(tuple(member))
+        if len(held) > 1:
+            out.extend(verify(held, tree, depth, forest))
+        yield _found(out)
 
-    def _links(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "tie"])
+    def _found(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rep", "links", "tie", "step", "pairs"])
 
     dealt = members.repartition("tile").sortWithinPartitions("tile", "part", "rep")
-    return dealt.mapInArrow(check, "rep long, links long, tie long")
+    return dealt.mapInArrow(check, FOUND)
+
+
+def _entries(classes: DataFrame, forest: Forest, depth: int) -> DataFrame:
+    """rep, tree, prefix, branch (the prefix one value longer) of each class that has shingles."""
+    size = 2 * forest.longest
+    cut = lambda n: F.expr(f"substring(signature, tree * {size} + 1, {2 * n})")
+    each = classes.where("shingles > 0").select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    return each.select("rep", "tree", cut(depth).alias("prefix"), cut(min(depth + 1, forest.longest)).alias("branch"))
+
+
+def _tiles(classes: DataFrame, forest: Forest, depth: int, tile: int) -> DataFrame:
+    """rep, tiles: where each class is compared at this depth. Nodes of the same members in several trees are compared in the first."""
+    entries = _entries(classes, forest, depth)
+    who = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("decimal(38,0)")
+    nodes = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), who.alias("who"), F.min("branch").alias("a"), F.max("branch").alias("b")).where("n > 1")
+    if depth < forest.longest:
+        nodes = nodes.where("a <> b")
+    once = nodes.groupBy("n", "least", "who").agg(F.min(F.struct("tree", "prefix")).alias("g")).select("g.tree", "g.prefix", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    placed = entries.join(once, ["tree", "prefix"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # a member of part p meets every other part once: tiles (p, q), and (p, p) alone
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    tiles = placed.select("rep", "tree", "prefix", "part", other)
+    tiles = tiles.select("rep", F.struct(F.xxhash64("tree", "prefix", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "tree", "part").alias("t"))
+    return tiles.groupBy("rep").agg(F.collect_list("t").alias("tiles"))
+
+
+def recall(pairs: dict[int, int], depth: int, trees: int) -> float:
+    """Estimated from verified pairs by similarity step: pairs found over the pairs that there are; 0 without any."""
+    there = sum(n / chance(step / STEPS, depth, trees) for step, n in pairs.items())
+    return sum(pairs.values()) / there if there else 0.0
+
+
+def linked(docs: DataFrame, classes: DataFrame, forest: Forest, tile: int = TILE) -> tuple[DataFrame, int, float]:
+    """rep, links, tie of the classes, the depth at which shortening ended and the recall estimated there."""
+    last = _entries(classes, forest, forest.shortest)
+    alike = last.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = last.join(alike, ["tree", "prefix"], "left_semi").select("rep").distinct()
+    near = materialize(classes.join(near, "rep", "left_semi"), "near-classes")
+    keyed = texts(docs).withColumn("text_key", F.xxhash64("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID)))
+    named = near.select("rep", "id", "rep_key")
+    content = keyed.join(named, (keyed["doc_id"] == named["id"]) & (keyed["text_key"] == named["rep_key"])).dropDuplicates(["rep"]).select("rep", "text")
+    content = materialize(content, "near-texts")
+    found, pairs, depth, reached = None, {}, forest.longest, 0.0
+    for depth in range(forest.longest, forest.shortest - 1, -1):
+        wanted = _tiles(near, forest, depth, tile).join(near.select("rep", "copies", "signature"), "rep")
+        level = materialize(_verified(_members(content, wanted, forest), depth, forest), "links")
+        found = level if found is None else found.unionByName(level)
+        for r in level.where("step is not null").groupBy("step").agg(F.sum("pairs").alias("n")).collect():  # at most a row for each step
+            pairs[r.step] = pairs.get(r.step, 0) + r.n
+        reached = recall(pairs, depth, forest.trees)
+        if reached >= forest.target:
+            break
+    discard(content)
+    return found.where("rep is not null").select("rep", "links", "tie"), depth, reached
 
 
 def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -189,21 +262,10 @@ def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFra
     forest = forest or Forest()
     signed = materialize(_sets(docs, forest), "signatures")
     ranked = F.struct(F.coalesce("doc_id", F.lit(MAX_ID)).alias("id"), F.col("text_key").alias("rep_key"))
-    same = signed.groupBy("set_1", "set_2").agg(F.min(ranked).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.max("shingles").alias("shingles"))
+    same = signed.groupBy("set_1", "set_2").agg(F.min(ranked).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.max("shingles").alias("shingles"))
     # numbered and written once, so the numbers stay
-    classes = materialize(same.select(F.monotonically_increasing_id().alias("rep"), "set_1", "set_2", "least.id", "least.rep_key", "copies", "shingles", "keys"), "shingle-classes")
-    entries = classes.where("shingles > 0").select("rep", F.posexplode("keys").alias("tree", "key"))
-    groups = entries.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("decimal(38,0)").alias("who")).where("n > 1")
-    once = groups.groupBy("n", "least", "who").agg(F.min(F.struct("tree", "key")).alias("g")).select("g.tree", "g.key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    placed = entries.join(once, ["tree", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # a member of part p meets every other part once: tiles (p, q), and (p, p) alone
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = placed.select("rep", "tree", "key", "part", other)
-    tiles = tiles.select("rep", F.struct(F.xxhash64("tree", "key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "part", "tree").alias("t"))
-    wanted = tiles.groupBy("rep").agg(F.collect_list("t").alias("tiles")).join(classes.select("rep", "id", "rep_key", "copies", "keys"), "rep")
-    wanted = materialize(wanted, "join-members")
-    links = materialize(_verified(_members(docs, wanted, forest), forest.threshold), "links")
-    discard(wanted)
+    classes = materialize(same.select(F.monotonically_increasing_id().alias("rep"), "set_1", "set_2", "least.id", "least.rep_key", "copies", "shingles", "signature"), "shingle-classes")
+    links, _, _ = linked(docs, classes, forest, tile)
     counts = links.groupBy("rep").agg(F.sum("links").alias("others"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("tie").alias("b")))
     classed = classes.join(counts, "rep", "left").join(roots, classes["rep"] == roots["node"], "left").select(

@@ -212,13 +212,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(after)
 
 
-def test_recall_of_prefix_depth():
-    assert ngram_join.prefix_depth(0.8, 20, 0.9995, 10) == 5
+def test_depths_and_recall():
+    assert ngram_join.least_depth(0.8, 20, 0.9995, 10) == 5
     assert 1 - (1 - 0.8**5) ** 20 >= 0.9995 > 1 - (1 - 0.8**6) ** 20
+    assert ngram_join.recall({}, 8, 20) == 0
+    assert math.isclose(ngram_join.recall({200: 10}, 8, 20), 1)
+    assert math.isclose(ngram_join.recall({160: 10}, 8, 20), 1 - (1 - 0.8**8) ** 20)
+
+
+def near_copies(n: int, seed: int) -> list[tuple]:
+    """Texts in groups whose members differ by a few words from a common one, so that similarities spread around the threshold."""
+    draw, out = np.random.default_rng(seed), []
+    for g in range(n):
+        base = [f"w{g}x{i}" for i in range(150)]
+        for _ in range(8):
+            words = list(base)
+            for at in draw.choice(150, int(draw.integers(0, 5)), replace=False):
+                words[at] = f"own{draw.integers(10**9)}"
+            out.append((len(out), " ".join(words)))
+    return out
+
+
+def test_the_forest_shortens_until_the_target_and_finds_the_pairs(spark):
+    """Recall measured against brute force; a lower target ends at longer prefixes, one that needs them goes on to the last depth."""
+    rows = near_copies(40, 1)
+    sets = [shingle_set(t) for _, t in rows]
+    links = sum(alike(sets[a], sets[b]) for a in range(len(rows)) for b in range(max(0, a - 8), a))
+    docs, ends = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    for target in (0.5, 0.99, 0.9995):
+        forest = ngram_join.Forest(target=target)
+        signed = ngram_join._sets(docs, forest)
+        got = sum(r.n_links for r in ngram_join.join_report(docs, forest).collect()) / 2
+        classes = signed.dropDuplicates(["set_1", "set_2"]).selectExpr("doc_id as rep", "doc_id as id", "text_key as rep_key", "1L as copies", "shingles", "signature")
+        _, ends[target], estimate = ngram_join.linked(docs, classes, forest)
+        assert got / links >= min(target, 0.999) - 0.02 and abs(estimate - got / links) < 0.05, (target, got, links, estimate)
+    assert ends[0.5] == 8 and ends[0.5] >= ends[0.99] >= ends[0.9995] >= 5 and ends[0.9995] < 8
 
 
 def test_large_group_of_near_copies(spark):
-    """A group over many tiles: every member links to every other, and rows stay linear."""
+    """A group over many tiles: every member links to every other."""
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:100] + [f"own{i}"] + base[101:])) for i in range(150)]
     got = ngram_join.join_report(spark.createDataFrame(rows, "doc_id long, text string"), tile=32).collect()
