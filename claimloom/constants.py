@@ -1,4 +1,4 @@
-"""Thresholds and defaults, a name for each use: some include their bound and some do not."""
+"""Thresholds and defaults, a name for each use: some include their bound and some do not."""
 
 BACKING_AT_MOST = 0.05  # squared residual, inclusive
 TENSION_ABOVE = 0.05  # squared residual, exclusive
@@ -12,7 +12,6 @@ SUSPECT_FROM_PAPERS = 2
 COHERENT_FROM_SHARED = 2
 
 LAMBDA_FLAT = 1.0
-LAMBDA_CONTEXT = 5.0
 LAMBDA_BASE = 1.0
 ALPHA = 8.0
 INCOMING_DISCOUNT = 0.3

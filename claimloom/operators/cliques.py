@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import settle
+
 CLIQUES = "clique string, members array<string>, size int"
 
 
@@ -40,13 +42,14 @@ def maximal_cliques(nodes: DataFrame, edges: DataFrame, most_neighbours: int = 2
     no component is gathered, only a node's neighbours and the edges among them. As the search can grow beyond measure
     with a node's degree, a node with more than `most_neighbours` unlike neighbours is an error, never cut short.
     """
-    whole = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    twins = nodes.select("node").distinct().join(_twins(whole), "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+    edges = settle(edges.select("a", "b"), "graph-edges")
+    whole = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    twins = settle(nodes.select("node").distinct().join(_twins(whole), "node", "left").select("node", F.coalesce("rep", "node").alias("rep")), "graph-twins")
     side = lambda s: twins.select(F.col("node").alias(s), F.col("rep").alias(f"rep_{s}"))
     both = whole.join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).where("a <> b").distinct()
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     fits = F.when(F.col("degree") <= most_neighbours, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("too many neighbours for cliques: "), "a")))
-    both = both.join(degree, "a").select(fits.alias("a"), "b")
+    both = settle(both.join(degree, "a").select(fits.alias("a"), "b"), "graph-pairs")
     among = both.alias("x").join(both.alias("y"), (F.col("x.b") == F.col("y.a"))).join(both.alias("z"), (F.col("x.a") == F.col("z.a")) & (F.col("y.b") == F.col("z.b")))
     triangles = among.select(F.col("x.a").alias("node"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     near = both.select(F.col("a").alias("node"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b"))
@@ -63,7 +66,7 @@ def maximal_cliques(nodes: DataFrame, edges: DataFrame, most_neighbours: int = 2
         found = [sorted(c) for c in _extend({node}, set(around) - less, less, around)]
         return pa.table([pa.array(["|".join(c) for c in found], pa.string()), pa.array(found, pa.list_(pa.string())), pa.array([len(c) for c in found], pa.int32())], ["clique", "members", "size"])
 
-    if nodes.isEmpty():
+    if twins.isEmpty():
         return nodes.sparkSession.createDataFrame([("", [], 0)], CLIQUES)
     found = rows.groupBy("node").applyInArrow(at, CLIQUES)
     spread = found.select("clique", F.explode("members").alias("rep")).join(twins, "rep").groupBy("clique").agg(F.sort_array(F.collect_list("node")).alias("members"))

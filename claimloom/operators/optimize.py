@@ -99,6 +99,7 @@ def compare(edges: DataFrame, claims: DataFrame, standing: DataFrame, incoming:
     return both.select("model", "prior_narrowing", "incoming_narrowing", "residual", verdict.alias("verdict"))
 
 
-def surviving_at(edges: DataFrame, evidence_id: str) -> DataFrame:
+def surviving_at(edges: DataFrame, evidence: DataFrame) -> DataFrame:
     """Claims whose base edge (not a propagated one) still misses at this evidence. edges: scored at the final state."""
-    return edges.where((F.col("evidence_id") == evidence_id) & ~F.col("is_semantic") & (F.col("residual_sq") > K.SURVIVES_ABOVE)).select("claim_id", "residual_sq")
+    missed = edges.where(~F.col("is_semantic") & (F.col("residual_sq") > K.SURVIVES_ABOVE))
+    return missed.join(evidence.select("evidence_id"), "evidence_id", "left_semi").select("evidence_id", "claim_id", "residual_sq")

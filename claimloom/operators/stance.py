@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom import constants as K
 from claimloom.operators.edges import home_predictions, targets
 from claimloom.sources.model import ClaimMap, first_dimensions
+from claimloom.sources.scratch import settle
 
 
 def present_members(m: ClaimMap) -> DataFrame:
@@ -35,9 +36,10 @@ def coherent(stance: DataFrame, key: str, least_shared: int = K.COHERENT_FROM_SH
     their pairs are spread to the members.
     """
     at = ["group_name", "evidence_id", "value"]
+    stance = settle(stance.select(key, *at), "stances")
     of = stance.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*at)).alias("h_1"), F.bit_xor(F.xxhash64(*reversed(at), F.lit("second"))).alias("h_2"))
     same = Window.partitionBy("n", "h_1", "h_2")
-    members = of.select(F.col(key).alias("member"), F.min(key).over(same).alias("class"), "n")
+    members = settle(of.select(F.col(key).alias("member"), F.min(key).over(same).alias("class"), "n"), "stance-classes")
     own = stance.join(members.where("member = class").select(F.col("member").alias(key)), key, "left_semi").withColumnRenamed(key, "class")
     a, b = own.alias("a"), own.alias("b")
     met = a.join(b, (F.col("a.group_name") == F.col("b.group_name")) & (F.col("a.evidence_id") == F.col("b.evidence_id")) & (F.col("a.class") < F.col("b.class")))
@@ -110,6 +112,13 @@ def clique_stance(cliques: DataFrame, stance: DataFrame, key: str) -> DataFrame:
     return at.groupBy("clique", "group_name", "evidence_id").agg(F.min_by("value", key).alias("value"))
 
 
+def clique_titles(cliques: DataFrame, m: ClaimMap) -> DataFrame:
+    """clique, title (the label of its first claim in input order), papers, keywords."""
+    at = cliques.select("clique", F.explode("members").alias("claim_id")).join(m.claims.select("claim_id", "claim_seq", "paper_id", "label", "keywords"), "claim_id")
+    return at.groupBy("clique").agg(
+        F.min_by("label", "claim_seq").alias("title"), F.array_sort(F.collect_set("paper_id")).alias("papers"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("keywords")))).alias("keywords"))
+
+
 def clique_residual(union: DataFrame, m: ClaimMap) -> DataFrame:
     """Squared misses of a clique's stance, summed."""
     at = union.join(first_dimensions(m.dimensions).select("evidence_id", F.col("value").alias("actual")), "evidence_id")

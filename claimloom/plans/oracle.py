@@ -105,12 +105,36 @@ hygiene AS (SELECT c.claim_id, coalesce(k.propagated, '') AS propagated, coalesc
 _STEPS = "(VALUES ('novel', 0, 'literature', TRUE), ('novel', 1, 'experiment', FALSE), ('novel', 2, 'simulation', FALSE), ('contested', 0, 'theory', FALSE), ('contested', 1, 'simulation', FALSE), ('contested', 2, 'literature', FALSE), ('established', 0, 'experiment', FALSE), ('established', 1, 'theory', FALSE), ('established', 2, 'simulation', FALSE)) AS r(status, step_seq, kind, needs)"
 
 
+#: Maximal cliques of a small graph: nodes with the same neighbours are one, and sets of the others grow in order of name.
+_CLIQUES = """,
+node AS ({nodes}), link AS ({pairs}),
+adjacent AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+near AS (SELECT n, string_agg(m, '|' ORDER BY m) AS closed FROM (SELECT n, n AS m FROM node UNION SELECT a, b FROM adjacent) x GROUP BY n),
+twin AS (SELECT n, min(n) OVER (PARTITION BY closed) AS rep FROM near),
+around AS (SELECT t.rep, coalesce(list(DISTINCT o.rep) FILTER (WHERE o.rep <> t.rep), []) AS others FROM (SELECT DISTINCT rep FROM twin) t LEFT JOIN adjacent a ON a.a = t.rep LEFT JOIN twin o ON o.n = a.b GROUP BY t.rep),
+grown AS (SELECT [rep] AS members, rep AS last, others AS common FROM around UNION ALL SELECT list_append(g.members, r.rep), r.rep, list_intersect(g.common, r.others) FROM grown g JOIN around r ON list_contains(g.common, r.rep) AND r.rep > g.last),
+clique AS (SELECT list_sort(list(t.n)) AS members FROM (SELECT members AS reps, unnest(members) AS rep FROM grown WHERE len(common) = 0) g JOIN twin t ON g.rep = t.rep GROUP BY g.reps)"""
+_CLAIM_CLIQUES = _CLIQUES.format(nodes="SELECT claim_id AS n FROM claim", pairs=PAIRS.format(k="claim_id", t="stance"))
+_PAPER_CLIQUES = _CLIQUES.format(nodes="SELECT DISTINCT paper_id AS n FROM claim", pairs=PAIRS.format(k="paper_id", t="paper_stance"))
+
+#: Suppliers' claims about parts: base and carried edges of the large map.
+_PARTS = """WITH part_stat AS (SELECT l_partkey, p_brand, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n, min(l_suppkey) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, p_brand),
+      ev AS (SELECT l_partkey, p_brand, s, CASE WHEN r * (SELECT count(*) FROM lineitem) >= (SELECT sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM lineitem) * n THEN 1.0 ELSE 0.0 END AS v FROM part_stat),
+      c AS (SELECT l_suppkey, p_brand, CAST((200 * sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) + count(*)) // (2 * count(*)) AS DOUBLE) / 100.0 AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand),
+      ship AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+      b AS (SELECT c.l_suppkey, c.p_brand, e.l_partkey, e.s, (c.p - e.v) * (c.p - e.v) AS sq FROM c JOIN ship x ON c.l_suppkey = x.l_suppkey JOIN ev e ON x.l_partkey = e.l_partkey AND e.p_brand = c.p_brand),
+      h AS (SELECT DISTINCT c.l_suppkey, c.p_brand, c.p FROM c JOIN ev e ON e.s = c.l_suppkey AND e.p_brand = c.p_brand),
+      m AS (SELECT h.l_suppkey, h.p_brand, e.l_partkey, e.s, (h.p - e.v) * (h.p - e.v) AS sq FROM h JOIN ev e ON e.p_brand = h.p_brand WHERE NOT EXISTS (SELECT 1 FROM ship x WHERE x.l_suppkey = h.l_suppkey AND x.l_partkey = e.l_partkey)),
+      every AS (SELECT *, s = l_suppkey AS own FROM b UNION ALL SELECT *, FALSE FROM m),
+      backed AS (SELECT l_suppkey, p_brand, count(DISTINCT s) AS stature FROM every WHERE sq <= 0.05 GROUP BY l_suppkey, p_brand)"""
+
+
 def _on_base(select: str, more: str = "") -> str:
     return f"WITH {BASE}{',' + more if more else ''} {select}"
 
 
-def _on_ideas(select: str) -> str:
-    return f"WITH {BASE}{IDEAS} {select}"
+def _on_ideas(select: str, more: str = "") -> str:
+    return f"WITH {'RECURSIVE ' if more else ''}{BASE}{IDEAS}{more} {select}"
 
 
 def _situated(select: str) -> str:
@@ -173,12 +197,26 @@ ORACLE_SQL: dict[str, str] = {
     "source_spans": r"""SELECT doc_id, trim(regexp_replace(CASE WHEN place >= 0 THEN substring(text, greatest(place - 120, 0) + 1, place + 360 - greatest(place - 120, 0)) ELSE left(text, 360) END, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS span
       FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'des'), 0), nullif(instr(lower(text), 'ung'), 0), nullif(instr(lower(text), 'que'), 0), 0) - 1 AS place FROM documents) d""",
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
-    "shipped_parts_residuals": """WITH part_stat AS (SELECT l_partkey, p_brand, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n, min(l_suppkey) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, p_brand),
-      ev AS (SELECT l_partkey, p_brand, s, CASE WHEN r * (SELECT count(*) FROM lineitem) >= (SELECT sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM lineitem) * n THEN 1.0 ELSE 0.0 END AS v FROM part_stat),
-      c AS (SELECT l_suppkey, p_brand, CAST((200 * sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) + count(*)) // (2 * count(*)) AS DOUBLE) / 100.0 AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand),
-      ship AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
-      b AS (SELECT c.l_suppkey, c.p_brand, e.l_partkey, (c.p - e.v) * (c.p - e.v) AS sq FROM c JOIN ship x ON c.l_suppkey = x.l_suppkey JOIN ev e ON x.l_partkey = e.l_partkey AND e.p_brand = c.p_brand),
-      h AS (SELECT DISTINCT c.l_suppkey, c.p_brand, c.p FROM c JOIN ev e ON e.s = c.l_suppkey AND e.p_brand = c.p_brand),
-      m AS (SELECT h.l_suppkey, h.p_brand, e.l_partkey, (h.p - e.v) * (h.p - e.v) AS sq FROM h JOIN ev e ON e.p_brand = h.p_brand WHERE NOT EXISTS (SELECT 1 FROM ship x WHERE x.l_suppkey = h.l_suppkey AND x.l_partkey = e.l_partkey))
-      SELECT FALSE AS is_semantic, count(*) AS edges, round(sum(sq), 2) AS residual, count(DISTINCT CAST(l_suppkey AS VARCHAR) || p_brand) AS claims FROM b UNION ALL SELECT TRUE, count(*), round(sum(sq), 2), count(DISTINCT CAST(l_suppkey AS VARCHAR) || p_brand) FROM m""",
+    "shipped_parts_residuals": _PARTS + """ SELECT FALSE AS is_semantic, count(*) AS edges, round(sum(sq), 2) AS residual, count(DISTINCT CAST(l_suppkey AS VARCHAR) || p_brand) AS claims FROM b
+      UNION ALL SELECT TRUE, count(*), round(sum(sq), 2), count(DISTINCT CAST(l_suppkey AS VARCHAR) || p_brand) FROM m""",
+    "shipped_parts_stature": _PARTS + " SELECT stature, count(*) AS claims FROM backed GROUP BY stature",
+    "shipped_parts_rewrites": _PARTS + """, missed AS (SELECT l_suppkey, p_brand, sum(CASE WHEN own THEN sq ELSE 0.0 END) AS r_in, sum(CASE WHEN own THEN 0.0 ELSE sq END) AS r_out FROM every GROUP BY l_suppkey, p_brand),
+      tried AS (SELECT m.*, s.s, row_number() OVER (PARTITION BY m.l_suppkey, m.p_brand ORDER BY round(m.r_in + s.s * s.s * m.r_out + (1.0 + 8.0 * coalesce(k.stature, 0)) * (s.s - 1.0) * (s.s - 1.0), 9), s.s DESC) AS rn
+        FROM missed m LEFT JOIN backed k ON m.l_suppkey = k.l_suppkey AND m.p_brand = k.p_brand, (VALUES (1.0), (0.8), (0.6), (0.4), (0.2), (0.0)) AS s(s))
+      SELECT CAST(s AS DOUBLE) AS to_out, count(*) AS claims, round(sum(r_in + s * s * r_out), 2) AS final_residual FROM tried WHERE rn = 1 GROUP BY s""",
+    "maximal_cliques": _on_ideas("SELECT array_to_string(members, '|') AS clique, CAST(len(members) AS BIGINT) AS size, row_number() OVER (ORDER BY len(members) DESC, members) AS rank FROM clique", _CLAIM_CLIQUES),
+    "paper_cliques": _on_ideas("SELECT array_to_string(members, '|') AS clique, CAST(len(members) AS BIGINT) AS size, row_number() OVER (ORDER BY len(members) DESC, members) AS rank FROM clique", _PAPER_CLIQUES),
+    "clique_residuals": _on_ideas("""SELECT u.clique, round(sum((u.value - d.value) * (u.value - d.value)), 6) AS residual_sq FROM (SELECT array_to_string(c.members, '|') AS clique, s.group_name, s.evidence_id, min_by(s.value, s.claim_id) AS value
+      FROM (SELECT members, unnest(members) AS claim_id FROM clique) c JOIN stance s ON c.claim_id = s.claim_id GROUP BY c.members, s.group_name, s.evidence_id) u JOIN dimension d ON u.evidence_id = d.evidence_id AND d.dim_seq = 0 GROUP BY u.clique""", _CLAIM_CLIQUES),
+    "clique_titles": _on_ideas("""SELECT array_to_string(c.members, '|') AS clique, min_by(k.paper_id || ' in ' || k.lang, k.claim_seq) AS title, string_agg(DISTINCT k.paper_id, ',' ORDER BY k.paper_id) AS papers, string_agg(DISTINCT k.keyword, ',' ORDER BY k.keyword) AS keywords
+      FROM (SELECT members, unnest(members) AS claim_id FROM clique) c JOIN claim k ON c.claim_id = k.claim_id GROUP BY c.members""", _CLAIM_CLIQUES),
+    "hygiene_counts": _on_base("SELECT status, count(*) AS claims FROM hygiene GROUP BY status", _HYGIENE),
+    "claim_view": _on_base("""SELECT c.claim_id, c.paper_id, coalesce(s.stature, 0) AS stature, h.status AS hygiene, c.paper_id IN ('src3', 'src7') AS incoming, c.paper_id || ' in ' || c.lang || CASE WHEN r.to_out < 1.0 THEN ' (outside its regime at ' || printf('%.1f', r.to_out) || ')' ELSE '' END AS scoped_label
+      FROM claim c LEFT JOIN stature s ON c.claim_id = s.claim_id JOIN hygiene h ON c.claim_id = h.claim_id LEFT JOIN rewrite r ON c.claim_id = r.claim_id AND r.model = 'stature'""", _HYGIENE),
+    "evidence_view": _on_base("""SELECT e.evidence_id, e.paper_id, d.value, coalesce(f.edges, 0) AS edges, coalesce(f.tensions, 0) AS tensions FROM evidence e JOIN dimension d ON e.evidence_id = d.evidence_id AND d.dim_seq = 0
+      LEFT JOIN (SELECT evidence_id, count(*) AS edges, count(*) FILTER (WHERE final_sq > 0.05) AS tensions FROM final GROUP BY evidence_id) f ON e.evidence_id = f.evidence_id"""),
+    "paper_labels": _on_base("SELECT paper_id, upper(left(paper_id, 1)) || lower(substring(paper_id, 2)) AS label, paper_id IN ('src3', 'src7') AS incoming FROM (SELECT paper_id FROM claim UNION SELECT paper_id FROM evidence) p"),
+    "surviving_edges": _on_base("SELECT evidence_id, claim_id, round(final_sq, 6) AS residual_sq FROM final WHERE NOT is_semantic AND final_sq > 0.0001 AND ev_paper IN ('src3', 'src7')"),
+    "ungrouped_without_incoming": _on_ideas("""SELECT 'subject_' || lpad(CAST((SELECT count(*) FROM subject) + 1 AS VARCHAR), 2, '0') || '_ungrouped' AS subject_id, 'evidence' AS kind, evidence_id AS id FROM evidence e
+      WHERE NOT EXISTS (SELECT 1 FROM explicit x JOIN claim c ON x.claim_id = c.claim_id WHERE x.evidence_id = e.evidence_id AND c.paper_id NOT IN ('src3', 'src7'))"""),
 }

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import constants as K
 from claimloom.functions import text as T
-from claimloom.operators import cliques, edges, optimize, residuals, situate, stance, state, subjects
+from claimloom.operators import cliques, edges, optimize, residuals, situate, stance, state, subjects, views
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
 
@@ -110,6 +111,27 @@ def _edge_view(r: Run) -> DataFrame:
     return rows.select("edge_id", "claim_paper", "ev_paper", "regime_tag", "is_semantic", F.coalesce("stature", F.lit(0)).cast("long").alias("stature"), F.col("status").alias("hygiene"), "colour", *r6("residual_sq"))
 
 
+def _papers(r: Run) -> DataFrame:
+    return views.papers(r.map, r.incoming)
+
+
+def _paper_cliques(r: Run) -> DataFrame:
+    pairs = stance.coherent(stance.paper_stances(r.map), "paper_id")
+    return cliques.maximal_cliques(r.map.claims.select(F.col("paper_id").alias("node")).distinct(), pairs)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return stance.ranked_cliques(found).select("clique", F.col("size").cast("long").alias("size"), F.col("rank").cast("long").alias("rank"))
+
+
+def _without_incoming(r: Run) -> DataFrame:
+    """What no claim of the other papers touches: all evidence stays, the claims of incoming papers go."""
+    prior = r.map.of_papers(r.incoming, keep=False)
+    m = replace(r.map, claims=prior.claims, predictions=prior.predictions)
+    found = subjects.ideas(m)
+    return subjects.ungrouped(m, subjects.subjects(m, subjects.with_status(found, subjects.relations(found), [])))
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", T.source_span(F.col("text"), NEEDLES).alias("span"))
@@ -178,7 +200,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paper_coherence": _view(lambda r: stance.coherent(stance.paper_stances(r.map), "paper_id")),
     "direction_buckets": _view(lambda r: stance.direction_buckets(r.map).select("group_name", "direction", F.col("n_papers").cast("long").alias("n_papers"), *joined("papers", "keywords", "supporting", "contesting"))),
     "assertions": _view(lambda r: stance.assertions(stance.direction_buckets(r.map)).select("group_name", "in_tension", *joined("papers_yes", "papers_no", "shared_keywords", "shared_papers"))),
-    "maximal_cliques": _view(lambda r: stance.ranked_cliques(_cliques(r)).select("clique", F.col("size").cast("long").alias("size"), F.col("rank").cast("long").alias("rank"))),
+    "maximal_cliques": _view(lambda r: _ranked(_cliques(r))),
+    "paper_cliques": _view(lambda r: _ranked(_paper_cliques(r))),
+    "clique_titles": _view(lambda r: stance.clique_titles(_cliques(r), r.map).select("clique", "title", *joined("papers", "keywords"))),
+    "hygiene_counts": _view(lambda r: state.hygiene(r.map, r.full).groupBy("status").agg(F.count(F.lit(1)).alias("claims"))),
+    "claim_view": _view(lambda r: views.claims(r.map, r.stature, state.hygiene(r.map, r.full), r.best, r.incoming).select("claim_id", "paper_id", "stature", "hygiene", "incoming", "scoped_label")),
+    "evidence_view": _view(lambda r: views.evidence(r.map, r.final)),
+    "paper_labels": _view(_papers),
+    "surviving_edges": _view(lambda r: optimize.surviving_at(r.final, r.map.evidence.where(F.col("paper_id").isin(r.incoming))).select("evidence_id", "claim_id", *r6("residual_sq"))),
+    "ungrouped_without_incoming": _view(_without_incoming),
     "clique_residuals": _view(lambda r: stance.clique_residual(stance.clique_stance(_cliques(r), stance.stances(r.map), "claim_id"), r.map).select("clique", *r6("residual_sq"))),
     "contradictors": _view(lambda r: situate.contradictors(*_situated(r)).select("evidence_id", "claim_id", "claim_paper", "residual")),
     "finding_verdicts": _view(lambda r: situate.verdicts(*_situated(r)).select("evidence_id", F.col("independent_papers").cast("long").alias("independent_papers"), "verdict", *joined("leans_on"))),

@@ -68,6 +68,3 @@ def shipped_parts(spark: SparkSession, sf_dir: str) -> ClaimMap:
     predictions = shipped.select(claim_id.alias("claim_id"), F.lit(0).alias("pred_seq"), F.col("p_brand").alias("observable"), hundredths(F.col("r"), F.col("n")).alias("value"), scale, F.transform("own", lambda p: F.concat(F.lit("part_"), p.cast("string"))).alias("evidence_ids"), F.lit(None).cast("string").alias("regime_tag"))
     return ClaimMap(claims, predictions, evidence, dimensions, members)
 
-
-def papers(m: ClaimMap) -> DataFrame:
-    return m.claims.select("paper_id").unionByName(m.evidence.select("paper_id")).distinct()

@@ -74,7 +74,7 @@ def test_costly_claims_stay(spark):
     done = residuals.scored(optimize.apply(wired, best), "final_in", "final_out")
     assert [r.claim_id for r in optimize.operations(best).collect()] == ["n"]
     assert [(r.edge_id, r.residual_sq) for r in state.remaining_tensions(done).collect()] == [("c__e", 1.0)]
-    assert optimize.surviving_at(done, "e").count() == 2
+    assert optimize.surviving_at(done, m.evidence.where("evidence_id = 'e'")).count() == 2
 
 
 def test_thresholds(spark):
