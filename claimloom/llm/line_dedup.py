@@ -125,9 +125,10 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 class LineIndex:
     """Segments and filters as tables; insert() and delete() return a new index and leave the old one valid."""
 
-    def __init__(self, spark: SparkSession, shards: int = 64, segments: tuple[DataFrame, ...] = (), filters: DataFrame | None = None, least_chars: int = 10, room: float = 2.0):
+    def __init__(self, spark: SparkSession, shards: int = 64, segments: tuple[DataFrame, ...] = (), filters: DataFrame | None = None, least_chars: int = 10, room: float = 2.0, deleted: bool = False):
         self.spark, self.shards, self.segments, self.least_chars, self.room = spark, shards, segments, least_chars, room
         self.filters = spark.createDataFrame([], FILTERS) if filters is None else filters
+        self.deleted = deleted  # whether any segment takes references out
         self.lost = None  # after insert(): the lines that the batch's documents lose
 
     def references(self, docs: DataFrame) -> DataFrame:
@@ -143,6 +144,8 @@ class LineIndex:
         rows = self.segments[0]
         for segment in self.segments[1:]:
             rows = rows.unionByName(segment)
+        if not self.deleted:  # an insertion never repeats a reference, so there is nothing to add up
+            return rows.drop("change")
         return rows.groupBy("shard", "key", "doc_id").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -159,7 +162,7 @@ class LineIndex:
         if self.segments:
             asked = materialize(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "shard int, key binary"), "line-asked")
             known = materialize(self.refs().join(asked, ["shard", "key"], "left_semi"), "line-known")
-            new, fresh = keys.join(known, ["shard", "key"], "left_anti"), batch.join(known, ["shard", "key", "doc_id"], "left_anti")
+            new, fresh = keys.join(known.select("shard", "key").distinct(), ["shard", "key"], "left_anti"), batch.join(known, ["shard", "key", "doc_id"], "left_anti")
             fresh = materialize(fresh.withColumn("change", F.lit(1)), "line-refs")
             discard(asked)
         else:
@@ -190,13 +193,14 @@ class LineIndex:
         gone = refs.join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("shard", "key", "doc_id")
         gone = materialize(gone.withColumn("change", F.lit(-1)), "line-gone")
         after = self._with(gone)
+        after.deleted = True
         touched = gone.select("shard", "key").distinct()
         lost = touched.join(after.refs().join(touched, ["shard", "key"], "left_semi"), ["shard", "key"], "left_anti")
         after.filters = after._filtered(lost.withColumn("add", F.lit(False)))
         return after
 
     def _with(self, segment: DataFrame) -> LineIndex:
-        return LineIndex(self.spark, self.shards, (*self.segments, segment), self.filters, self.least_chars, self.room)
+        return LineIndex(self.spark, self.shards, (*self.segments, segment), self.filters, self.least_chars, self.room, self.deleted)
 
     def _filtered(self, changes: DataFrame) -> DataFrame:
         """The filters after the changes (shard, key, add); a shard whose filter has no room is built anew from its exact keys."""
