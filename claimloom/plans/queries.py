@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimloom import constants as K
 from claimloom.functions import text as T
 from claimloom.operators import cliques, edges, optimize, residuals, situate, stance, state, subjects, views
+from claimloom.plans.run_state import Run
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
 
@@ -19,52 +20,6 @@ INCOMING = ["src3", "src7"]
 NEEDLES = ["license", "the", "des", "ung", "que"]
 
 
-class Run:
-    """A map and what is derived from it, each made when asked for; the wired edges are kept, as most others read them."""
-
-    def __init__(self, m: ClaimMap, incoming: list[str] = INCOMING):
-        self.map, self.incoming = m, incoming
-        self.base = edges.prediction_edges(m)
-        self.wired = residuals.wired(m, edges.all_edges(m)).persist()
-        self.full = residuals.scored(self.wired)
-
-    def release(self) -> None:
-        """Give up the kept edges; what still reads them makes them again."""
-        self.wired.unpersist()
-
-    @property
-    def stature(self) -> DataFrame:
-        return optimize.stature(self.full)
-
-    @property
-    def costs(self) -> DataFrame:
-        return optimize.costs(self.map.claims, self.stature, self.incoming)
-
-    @property
-    def best(self) -> DataFrame:
-        return optimize.rewrites(self.wired, self.costs)
-
-    @property
-    def final(self) -> DataFrame:
-        return residuals.scored(optimize.apply(self.wired, self.best), "final_in", "final_out")
-
-    @property
-    def ideas(self) -> DataFrame:
-        return subjects.ideas(self.map)
-
-    @property
-    def relations(self) -> DataFrame:
-        return subjects.relations(self.ideas)
-
-    @property
-    def status(self) -> DataFrame:
-        return subjects.with_status(self.ideas, self.relations, self.incoming)
-
-    @property
-    def subjects(self) -> DataFrame:
-        return subjects.subjects(self.map, self.status)
-
-
 def joined(*names: str) -> list:
     return [F.array_join(n, ",").alias(n) for n in names]
 
@@ -155,7 +110,7 @@ def _view(f: Callable[[Run], DataFrame], bind=bindings.labelled_documents) -> Ca
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         while _LAST:
             _LAST.pop().release()
-        _LAST.append(Run(bind(spark, sf_dir)))
+        _LAST.append(Run(bind(spark, sf_dir), INCOMING))
         return f(_LAST[-1])
 
     return query

@@ -10,3 +10,12 @@ def write_tables(tables: dict[str, DataFrame], folder: str, force: bool = False,
     for name, df in tables.items():
         writer = df.write.mode("overwrite" if force else "errorifexists")
         (writer.json if as_json else writer.parquet)(f"{folder}/{name}")
+
+
+def write_run(tables: dict[str, DataFrame], folder: str, force: bool = False, as_json: bool = False) -> None:
+    """All tables of a run in one folder: an existing folder is an error unless force, before anything is written."""
+    spark = next(iter(tables.values())).sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not force and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileExistsError(folder)
+    write_tables(tables, folder, force, as_json)
