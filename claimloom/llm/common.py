@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import shared_dir
+
 #: Wraps at 2**64; odd, so multiplication is a bijection.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -20,16 +21,6 @@ MAX_ID = 2**63 - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none and runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        found = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") + "/claimloom"
-
-
 @contextlib.contextmanager
 def _released_shuffles(spark: SparkSession):
     """Within it, Spark deletes a query's shuffle files once the query has ended; its result is in a table by then."""

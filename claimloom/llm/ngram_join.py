@@ -243,18 +243,23 @@ def linked(docs: DataFrame, classes: DataFrame, forest: Forest, tile: int = TILE
     named = near.select("rep", "id", "rep_key")
     content = keyed.join(named, (keyed["doc_id"] == named["id"]) & (keyed["text_key"] == named["rep_key"])).dropDuplicates(["rep"]).select("rep", "text")
     content = materialize(content, "near-texts")
-    found, pairs, depth, reached = None, {}, forest.longest, 0.0
+    levels, pairs, depth, reached = [], {}, forest.longest, 0.0
     for depth in range(forest.longest, forest.shortest - 1, -1):
         wanted = _tiles(near, forest, depth, tile).join(near.select("rep", "copies", "signature"), "rep")
         level = materialize(_verified(_members(content, wanted, forest), depth, forest), "links")
-        found = level if found is None else found.unionByName(level)
+        levels.append(level)
         for r in level.where("step is not null").groupBy("step").agg(F.sum("pairs").alias("n")).collect():  # at most a row for each step
             pairs[r.step] = pairs.get(r.step, 0) + r.n
         reached = recall(pairs, depth, forest.trees)
         if reached >= forest.target:
             break
-    discard(content)
-    return found.where("rep is not null").select("rep", "links", "tie"), depth, reached
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    found = materialize(found.where("rep is not null").select("rep", "links", "tie"), "forest-links")
+    for table in (content, near, *levels):
+        discard(table)
+    return found, depth, reached
 
 
 def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +275,10 @@ def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFra
     roots = components(links.select(F.col("rep").alias("a"), F.col("tie").alias("b")))
     classed = classes.join(counts, "rep", "left").join(roots, classes["rep"] == roots["node"], "left").select(
         "set_1", "set_2", "id", "rep_key", F.coalesce("root", "rep").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed, materialize(classed, "classed")
+    classed = materialize(classed, "classed")
+    for table in (classes, links):
+        discard(table)
+    return signed, classed
 
 
 def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE) -> DataFrame:

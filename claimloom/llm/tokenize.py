@@ -17,6 +17,12 @@ SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The pre-tokenizer patterns of the two kinds of file, restricted to the plain characters.
 WORD_PIECES = re.compile(f"{SHORT}|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
 BYTE_PIECES = re.compile(f"{SHORT}| ?[{LATIN}]+| ?[0-9]+| ?[^\\s{LATIN}0-9]+|\\s+(?!\\S)|\\s+")
+#: What such files say of their normalizer and pre-tokenizer; a file of any other kind is left to the whole tokenizer.
+SPLIT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT_WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+BYTE_KIND = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
 PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*")
 #: Spaces for Python but not for the tokenizers.
 ODD = re.compile("[\x1c-\x1f]")
@@ -39,13 +45,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         shape = json.loads(open(path).read())
-        self.drops_space = shape["normalizer"] is not None
+        kind = (shape["normalizer"], shape["pre_tokenizer"])
+        self.known, self.drops_space = kind in (WORD_KIND, BYTE_KIND), kind == WORD_KIND
         self.special = [t["content"] for t in shape["added_tokens"]]
         self.split = WORD_PIECES.findall if self.drops_space else BYTE_PIECES.findall
         self.pieces, self.parts = _Pieces(self.tokenizer, keep), _Parts(self, keep // 4)
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special) or (not self.drops_space and ODD.search(text)):
+        if not self.known or any(s in text for s in self.special) or (not self.drops_space and ODD.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if PLAIN.fullmatch(text):
             return np.frombuffer(self.plain(text), "<u4")

@@ -140,6 +140,20 @@ def test_bit_packed_ids(spark):
     assert bitpack.read_packed(bitpack.write_packed(awkward.empty(spark), path, 1)).count() == 0
 
 
+def test_files_of_another_kind_go_through_the_whole_tokenizer(tmp_path):
+    import json
+
+    from claimloom.llm.tokenize import Encoder
+
+    shape = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    assert Encoder(public_tokenizers.path("byte_bpe_50k.json")).known and Encoder(public_tokenizers.path("word_bpe_49k.json")).known
+    shape["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(shape))
+    made = Encoder(str(tmp_path / "other.json"))
+    text = "Some Text of ANY kind, 12 lines"
+    assert not made.known and list(made.encode(text)) == Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+
+
 def shingle_set(text: str) -> frozenset:
     words = text.lower().encode().split()
     n = min(5, len(words))
