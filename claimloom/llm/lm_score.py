@@ -66,8 +66,10 @@ def grams(docs: DataFrame, order: int, part: int = 0, parts: int = 1) -> DataFra
 
 def counted(docs: DataFrame, order: int, leave_out: bool, part: int, parts: int) -> DataFrame:
     """row_key, at, times: for each text the n-grams that the corpus (less the text) holds, and how often, as two lists."""
-    rows = grams(docs, order, part, parts).repartition("gram")
-    table = rows.groupBy("gram").agg(F.sum("own").alias("times"))
+    rows = grams(docs, order, part, parts)
+    # added up before the shuffle as well; a gram of one text alone has nothing to tell it
+    table = rows.groupBy("gram").agg(F.sum("own").alias("times"), F.count(F.lit(1)).alias("texts"))
+    table = (table.where("texts > 1") if leave_out else table).select("gram", "times")
     found = rows.join(table, "gram").select("row_key", "at", (F.col("times") - (F.col("own") if leave_out else 0)).alias("times")).where("times > 0")
     return found.groupBy("row_key").agg(F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
 
