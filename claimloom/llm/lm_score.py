@@ -8,7 +8,8 @@ own (`leave_out`); with leave_out=False they include it, and then no n-gram of t
 Documents are exploded to rows, one for each distinct n-gram of a text with the number of its occurrences there. Rows are
 partitioned by the n-gram's hash: grouped, they are the count tables; joined back to these, they bring each text the
 counts that others give it; collected by text, they are summed to its score. A text sends an n-gram once, however often
-it has it, so the most common word has one row for each document at most; its rows stream through the join.
+it has it, so the most common word has one row for each document at most. Its rows go to one task, where they stream
+through the sum and the join and are never held.
 
 The corpus is done in `passes`, each over all documents and one part of the hash space, and texts are scored in as many
 parts: scratch space falls with their number and texts are read as often, results are the same. Words are 64-bit hashes
@@ -66,10 +67,11 @@ def grams(docs: DataFrame, order: int, part: int = 0, parts: int = 1) -> DataFra
 
 def counted(docs: DataFrame, order: int, leave_out: bool, part: int, parts: int) -> DataFrame:
     """row_key, at, times: for each text the n-grams that the corpus (less the text) holds, and how often, as two lists."""
-    rows = grams(docs, order, part, parts)
-    # added up before the shuffle as well; a gram of one text alone has nothing to tell it
-    table = rows.groupBy("gram").agg(F.sum("own").alias("times"), F.count(F.lit(1)).alias("texts"))
-    table = (table.where("texts > 1") if leave_out else table).select("gram", "times")
+    # one shuffle, read twice: the count table's columns and filters are those of the rows, so that Spark finds it is the same
+    rows = grams(docs, order, part, parts).where("gram is not null and own is not null").repartition("gram")
+    table = rows.groupBy("gram").agg(F.sum("own").alias("times"), F.count("row_key").alias("texts"), F.count("at").alias("places"))
+    # a gram of one text alone has nothing to tell it
+    table = table.where(f"texts >= {2 if leave_out else 1} and places >= 1").select("gram", "times")
     found = rows.join(table, "gram").select("row_key", "at", (F.col("times") - (F.col("own") if leave_out else 0)).alias("times")).where("times > 0")
     return found.groupBy("row_key").agg(F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
 
@@ -100,7 +102,7 @@ def log_score(text: str, codes: np.ndarray, times: np.ndarray, order: int, alpha
     return len(words), float((score + (top - used) * np.log(alpha)).sum())
 
 
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool = True, passes: int = 4) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool = True, passes: int = 8) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of each row."""
     found = [materialize(counted(docs, order, leave_out, i, passes), f"lm-counts-{i}") for i in range(passes)]
     told = found[0]
