@@ -110,18 +110,6 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fingerprint (hex) of each row; nothing is shuffled."""
-    make = OrderMinHash()
-
-    def sign(batches):
-        for batch in batches:
-            signs = [make.sign(t).astype(">u4").tobytes().hex() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(signs, pa.string())], ["doc_id", "text", "fingerprint"])
-
-    return texts(docs).mapInArrow(sign, "doc_id long, text string, fingerprint string")
-
-
 def edit_likeness(docs: DataFrame, make: OrderMinHash | None = None) -> DataFrame:
     """Each document against its edited text and against the next document in descending order of doc_id.
 

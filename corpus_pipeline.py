@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 writes each stage's result as Parquet into the shared folder and reads it back as the next one's docs.
+
+Defined cases: a null or empty text, or one without a letter, has no language and goes in the first stage; a row without
+a doc_id keeps its lines, can be a near duplicate and is mixed and packed like others; repeated rows of one text are near
+duplicates of one another, so one stays; ties of deadlines in the mix go to the lesser weight; other columns are kept until
+packing; an empty table gives no piece.
 """
 
 from __future__ import annotations

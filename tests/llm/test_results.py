@@ -226,6 +226,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(after)
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    awkward.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() == 0
+
+
 def test_depths_and_recall():
     assert ngram_join.least_depth(0.8, 20, 0.9995, 10) == 5
     assert 1 - (1 - 0.8**5) ** 20 >= 0.9995 > 1 - (1 - 0.8**6) ** 20
