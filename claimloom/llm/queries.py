@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bitpack, fingerprints, langid, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
+from claimloom.llm import bitpack, divergence, fingerprints, langid, line_dedup, line_quality, lm_score, merkle, mixing, ngram_join, packing, substring, vector_neighbours
 from claimloom.llm.common import documents
 from claimloom.llm.oracle import ORACLE_SQL
 
@@ -54,5 +54,17 @@ def op10_winnowed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op12_p_stable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neighbours.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op3_lsh_forest_join, op4_cuckoo_line_dedup, op5_residual_packing, op6_pfair_mix, op7_stupid_backoff, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_bit_packed_ids, op3_lsh_forest_join, op4_cuckoo_line_dedup, op5_residual_packing, op6_pfair_mix, op7_stupid_backoff, op8_word_first_language, op9_host_line_frequency, op10_winnowed_repeats, op11_slot_pivot_manifest, op12_p_stable_neighbours, op13_source_divergence)}
