@@ -7,9 +7,9 @@ runs over languages. The vectors of a (language, source) group are summed as a s
 entries become rows, added up before the shuffle. Pairs of sources are evaluated sparsely too: only terms that both have
 meet in a join; terms that one of them has are grouped by frequency, and all others differ alike.
 
-A vocabulary goes to the driver and to every executor. Before the fit the distinct tokens are therefore estimated; beyond
-`most_terms` (a bound on memory, some 100 bytes a term) the same counts are made by joins instead. Both ways give the same
-rows, as a test holds.
+A vocabulary goes to the driver and to every executor. Before the fit the distinct tokens, of which it is a part, are
+therefore estimated, and the terms are dealt by hash to as many fits as keep each below `most_terms` (a bound on memory,
+some 100 bytes a term); each fit reads its own words only. The rows are the same with any number, as a test holds.
 
 Frequencies are whole numbers, p = 1 + floor(10^9 (count + 1) / (N + V)); the divergence of one term is
 floor((p - q)² / q). Output: part `pair` (item: another source of the language; value: the sum over all terms of the
@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
@@ -52,19 +53,13 @@ def tokens(docs: DataFrame) -> DataFrame:
                 real = pc.greater(pc.binary_length(flat), 0)
                 flat, owner = flat.filter(real), owner.filter(real)
                 named = pc.binary_join_element_wise(part["lang"].take(owner), flat, UNIT)
-                ends = pa.array([0, *_ends(owner, part.num_rows)], pa.int32())
+                ends = pa.array(np.searchsorted(owner.to_numpy(), np.arange(part.num_rows + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([part["lang"], part["source"], pa.ListArray.from_arrays(ends, named)], ["lang", "source", "words"])
 
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return plain.mapInArrow(split, "lang string, source string, words array<string>")
 
 
-def _ends(owner: pa.Array, n: int) -> list[int]:
-    import numpy as np
-
-    return np.searchsorted(owner.to_numpy(), np.arange(n), "right").tolist()
-
-
 def _term(name: Column) -> Column:
     return F.substring_index(name, UNIT, -1)
 
@@ -85,17 +80,19 @@ def counts_by_vectors(words: DataFrame, least: int = 3) -> DataFrame:
     return sums.join(listed, "index").select("lang", "source", _term(F.col("name")).alias("term"), "count")
 
 
-def counts_by_joins(words: DataFrame, least: int = 3) -> DataFrame:
-    """The same, for vocabularies that no single machine should hold."""
-    known = words.select(F.explode(F.array_distinct("words")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least).select("name")
-    sums = words.select("lang", "source", F.explode("words").alias("name")).groupBy("lang", "source", "name").agg(F.count(F.lit(1)).alias("count"))
-    return sums.join(known, "name").select("lang", "source", _term(F.col("name")).alias("term"), "count")
-
-
-def term_counts(words: DataFrame, least: int = 3, most_terms: int = 1_000_000) -> DataFrame:
+def term_counts(words: DataFrame, least: int = 3, most_terms: int = 4_000_000) -> DataFrame:
+    """The counts of all terms, by as many fits as keep each vocabulary under most_terms: a term's hash names its fit."""
     about = words.select(F.explode("words").alias("name")).agg(F.approx_count_distinct("name", 0.02)).first()[0]
-    # the estimate is within a few hundredths
-    return counts_by_vectors(words, least) if about < 0.9 * most_terms else counts_by_joins(words, least)
+    parts = -(-int(1.1 * about) // most_terms)  # the estimate is within a few hundredths, and not all terms are kept
+    if parts <= 1:
+        return counts_by_vectors(words, least)
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    dealt = words.select("lang", "source", "words", each).select("lang", "source", "part", F.expr(f"filter(words, w -> pmod(xxhash64(w), {parts}) = part)").alias("words"))
+    dealt = materialize(dealt.where(F.size("words") > 0), "divergence-parts", partition_by="part")
+    out = counts_by_vectors(dealt.where("part = 0"), least)
+    for part in range(1, parts):
+        out = out.unionByName(counts_by_vectors(dealt.where(F.col("part") == part), least))
+    return out
 
 
 def frequency(count: Column, total: Column, terms: Column) -> Column:
@@ -108,7 +105,7 @@ def difference(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def audit(docs: DataFrame, least: int = 3, top: int = 200, most_terms: int = 1_000_000) -> DataFrame:
+def audit(docs: DataFrame, least: int = 3, top: int = 200, most_terms: int = 4_000_000) -> DataFrame:
     """lang, source, part, item, value, rank."""
     words = materialize(tokens(docs), "divergence-words")
     groups = words.select("lang", "source").distinct()
