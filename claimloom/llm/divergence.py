@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,26 +39,37 @@ from claimloom.llm.common import materialize, shared_dir, slices
 GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 NO_LIMIT = 2**31 - 1
+#: A thousandth of all 64-bit hashes.
+SAMPLED = np.uint64(2**64 // 1000)
+#: Entries of vectors that a task sums at a time.
+ENTRIES = 1 << 22
 #: Between language and term; no term holds it.
 UNIT = "\x1f"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """lang, source, words (language, separator and term of each word of the text)."""
+    """lang, source, words (language, separator and term of each word of the text), sample (see distinct_words())."""
 
     def split(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", most_bytes=1 << 22, most_rows=4096):
                 words = pc.split_pattern_regex(pc.ascii_lower(part["text"]), GAPS)
                 flat, owner = words.flatten(), pc.list_parent_indices(words)
                 real = pc.greater(pc.binary_length(flat), 0)
                 flat, owner = flat.filter(real), owner.filter(real)
                 named = pc.binary_join_element_wise(part["lang"].take(owner), flat, UNIT)
                 ends = pa.array(np.searchsorted(owner.to_numpy(), np.arange(part.num_rows + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([part["lang"], part["source"], pa.ListArray.from_arrays(ends, named)], ["lang", "source", "words"])
+                hashes = hash_array(np.asarray(named.unique().to_pylist(), object), categorize=False)
+                sample = [hashes[hashes < SAMPLED].view(np.int64).tolist(), *[None] * (part.num_rows - 1)]
+                yield pa.RecordBatch.from_arrays([part["lang"], part["source"], pa.ListArray.from_arrays(ends, named), pa.array(sample, pa.list_(pa.int64()))], ["lang", "source", "words", "sample"])
 
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return plain.mapInArrow(split, "lang string, source string, words array<string>")
+    return plain.mapInArrow(split, "lang string, source string, words array<string>, sample array<long>")
+
+
+def distinct_words(words: DataFrame) -> int:
+    """About how many: words whose hash lies in the lowest thousandth of all are gathered while the text is split, and counted here."""
+    return 1000 * words.select(F.explode("sample").alias("h")).agg(F.countDistinct("h")).first()[0]
 
 
 def _term(name: Column) -> Column:
@@ -69,21 +81,50 @@ def counts_by_vectors(words: DataFrame, least: int = 3) -> DataFrame:
     spark = words.sparkSession
     vectorizer = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(least), vocabSize=NO_LIMIT)
     # a fit without any term is an error; two terms of no language keep it whole and are never counted
-    nothing = spark.range(least).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(UNIT)).alias("words"))
-    model = vectorizer.fit(words.unionByName(nothing))
+    nothing = spark.range(least).select(F.array(F.lit(UNIT)).alias("words"))
+    model = vectorizer.fit(words.select("words").unionByName(nothing))
     path = f"{shared_dir(spark)}/divergence-vocabulary-{uuid.uuid4().hex}"
     model.write().save(path)
     listed = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "name"))
-    vectors = model.transform(words).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-    entries = vectors.select("lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("count"))).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.count").cast("long")).alias("count"))
+    sums = group_sums(model.transform(words).select("lang", "source", F.unwrap_udt("vector").alias("v")))
     return sums.join(listed, "index").select("lang", "source", _term(F.col("name")).alias("term"), "count")
 
 
+def group_sums(vectors: DataFrame) -> DataFrame:
+    """lang, source, index, count: the sum of each group's sparse vectors v, added up in each task, ENTRIES at a time, before the shuffle."""
+
+    def add(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        numbers: dict[tuple, int] = {}
+        held, entries = [], 0
+        for lang, source, index, value in ((b["lang"].to_pylist(), b["source"].to_pylist(), b["index"], b["value"]) for b in batches):
+            sizes = index.value_lengths().to_numpy()
+            of = np.array([numbers.setdefault(g, len(numbers)) for g in zip(lang, source, strict=True)], np.int64)
+            held.append(((np.repeat(of, sizes) << 32) | index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(np.int64)))
+            entries += len(held[-1][0])
+            if entries >= ENTRIES:
+                yield summed(held, list(numbers))
+                numbers, held, entries = {}, [], 0
+        if held:
+            yield summed(held, list(numbers))
+
+    def summed(held: list[tuple], groups: list[tuple]) -> pa.RecordBatch:
+        keys, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        total = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+        group = keys[first] >> 32
+        lang, source = (pa.array([g[i] for g in groups], pa.string()).take(pa.array(group)) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, pa.array((keys[first] & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["lang", "source", "index", "count"])
+
+    flat = vectors.select("lang", "source", F.col("v.indices").alias("index"), F.col("v.values").alias("value"))
+    parts = flat.mapInArrow(add, "lang string, source string, index int, count long")
+    return parts.groupBy("lang", "source", "index").agg(F.sum("count").alias("count"))
+
+
 def term_counts(words: DataFrame, least: int = 3, most_terms: int = 4_000_000) -> DataFrame:
     """The counts of all terms, by as many fits as keep each vocabulary under most_terms: a term's hash names its fit."""
-    about = words.select(F.explode("words").alias("name")).agg(F.approx_count_distinct("name", 0.02)).first()[0]
-    parts = -(-int(1.1 * about) // most_terms)  # the estimate is within a few hundredths, and not all terms are kept
+    parts = -(-int(1.1 * distinct_words(words)) // most_terms)  # near the bound the estimate is within a few hundredths, and not all terms are kept
     if parts <= 1:
         return counts_by_vectors(words, least)
     each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")

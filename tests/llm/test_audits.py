@@ -206,9 +206,11 @@ def plain_audit(rows: list[tuple], top: int = 200) -> list[tuple]:
 AUDIT = ["lang", "source", "part", "item", "value", "rank"]
 
 
-@pytest.mark.parametrize(("top", "most"), [(200, 1_000_000), (5, 1_000_000), (200, 1200)])
-def test_audit(spark, top, most):
-    """Also with terms dealt to several fits."""
+@pytest.mark.parametrize(("top", "most", "entries"), [(200, 1_000_000, 1 << 22), (5, 1000, 50)])
+def test_audit(spark, monkeypatch, top, most, entries):
+    """Also with terms dealt to several fits, and vectors summed in many rounds."""
+    monkeypatch.setattr(divergence, "distinct_words", lambda words: 2500)
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
     rows = [(r[2] or "", r[3] or "", r[1] or "") for r in awkward.rows()]
     rows += [("xx", s, t) for s in ("a", "b", "c") for t in ("Naïve naïve NAÏVE É é", "naïve É token \x1f a_b")] + [("x\x1fx", "a", "one two"), ("yy", "a", ""), ("yy", "b", "12 34")]
     docs = spark.createDataFrame([(i, s or None, t or None, lang or None, "x", "x") for i, (lang, s, t) in enumerate(rows)], "doc_id long, source string, text string, lang string, words string, term string").repartition(3)
