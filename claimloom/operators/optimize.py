@@ -34,6 +34,11 @@ def rewrites(edges: DataFrame, cost: DataFrame, keys: tuple[str, ...] = ()) -> D
     inside = F.col("regime_tag") == "in_regime"
     sums = edges.groupBy("claim_id", "init_in", "init_out", "final_in", "final_out").agg(
         F.sum(F.when(inside, miss).otherwise(0.0)).alias("r_in"), F.sum(F.when(inside, 0.0).otherwise(miss)).alias("r_out"))
+    return cheapest(sums, cost, keys)
+
+
+def cheapest(sums: DataFrame, cost: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As rewrites(), from the sums of each claim's edges: claim_id, its states, r_in, r_out."""
     rows = sums.join(cost.select("claim_id", "lambda", *keys), "claim_id")
 
     def residual(i: Column, o: Column) -> Column:

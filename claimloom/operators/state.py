@@ -50,6 +50,16 @@ def hygiene(m: ClaimMap, full: DataFrame, compat: bool = False) -> DataFrame:
     return rows.withColumn("status", status)
 
 
+def hygiene_of_sums(m: ClaimMap, sums: DataFrame) -> DataFrame:
+    """claim_id, status of every claim as hygiene() has it, from propagation.propagated(): counts, no lists."""
+    touched = targets(m).select("claim_id", "evidence_id").distinct().join(m.members.select("evidence_id").distinct(), "evidence_id", "left_semi").select("claim_id").distinct().withColumn("touches", F.lit(True))
+    rows = m.claims.select("claim_id").join(sums.select("claim_id", "carried", "contradicting", "kept"), "claim_id", "left").join(touched, "claim_id", "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("carried", "contradicting", "kept")}
+    status = (F.when((n["contradicting"] > 0) & (n["contradicting"] > n["kept"]), "implicit_headline").when(n["carried"] > 0, "consensus_aligned")
+              .when(F.col("touches"), "scoped_explicit").otherwise("not_applicable"))
+    return rows.select("claim_id", status.alias("status"))
+
+
 def summary(m: ClaimMap, initial: DataFrame, final: DataFrame, changed: DataFrame) -> DataFrame:
     """One row: counts, residuals, rewriting. Each part is an aggregate of its own."""
     parts = [

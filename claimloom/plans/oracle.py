@@ -197,6 +197,12 @@ ORACLE_SQL: dict[str, str] = {
     "source_spans": r"""SELECT doc_id, trim(regexp_replace(CASE WHEN place >= 0 THEN substring(text, greatest(place - 120, 0) + 1, place + 360 - greatest(place - 120, 0)) ELSE left(text, 360) END, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS span
       FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'des'), 0), nullif(instr(lower(text), 'ung'), 0), nullif(instr(lower(text), 'que'), 0), 0) - 1 AS place FROM documents) d""",
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
+    "propagated_sums": _on_base("""SELECT e.claim_id, count(*) FILTER (WHERE NOT is_semantic) AS base_edges, count(*) FILTER (WHERE is_semantic) AS carried, count(*) FILTER (WHERE is_semantic AND residual_sq > 0.05) AS contradicting,
+      count(DISTINCT ev_paper) FILTER (WHERE residual_sq <= 0.05) AS stature, round(coalesce(sum(residual_sq) FILTER (WHERE is_semantic), 0.0), 6) AS carried_sq FROM scored e GROUP BY e.claim_id"""),
+    "summed_rewrites": _on_base(OPS.format("stature")),
+    "summed_hygiene": _on_base("SELECT claim_id, status FROM hygiene", _HYGIENE),
+    "shipped_parts_hygiene": _PARTS + """, per AS (SELECT l_suppkey, p_brand, count(*) AS n, count(*) FILTER (WHERE sq > 0.05) AS wrong FROM m GROUP BY l_suppkey, p_brand)
+      SELECT CASE WHEN wrong > 0 AND wrong > n - wrong THEN 'implicit_headline' WHEN n > 0 THEN 'consensus_aligned' ELSE 'scoped_explicit' END AS status, count(*) AS claims FROM c LEFT JOIN per p ON c.l_suppkey = p.l_suppkey AND c.p_brand = p.p_brand GROUP BY 1""",
     "shipped_parts_residuals": _PARTS + """ SELECT FALSE AS is_semantic, count(*) AS edges, round(sum(sq), 2) AS residual, count(DISTINCT CAST(l_suppkey AS VARCHAR) || p_brand) AS claims FROM b
       UNION ALL SELECT TRUE, count(*), round(sum(sq), 2), count(DISTINCT CAST(l_suppkey AS VARCHAR) || p_brand) FROM m""",
     "shipped_parts_stature": _PARTS + " SELECT stature, count(*) AS claims FROM backed GROUP BY stature",

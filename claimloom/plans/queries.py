@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimloom import constants as K
 from claimloom.functions import text as T
 from claimloom.operators import cliques, edges, optimize, residuals, situate, stance, state, subjects, views
-from claimloom.plans.run_state import Run
+from claimloom.plans.run_state import Run, SummedRun
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
 
@@ -97,8 +97,12 @@ def _slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", T.slug(F.concat_ws(" / ", "p_name", "p_brand", "p_type")).alias("slug"))
 
 
-def _scale(r: Run) -> DataFrame:
-    return r.full.groupBy("is_semantic").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("residual_sq"), 2).alias("residual"), F.countDistinct("claim_id").alias("claims"))
+def _scale(r: SummedRun) -> DataFrame:
+    """Edges, residual and claims with an edge: of base edges, and of those that claims would propagate."""
+    base = residuals.scored(r.base).agg(F.count(F.lit(1)).alias("edges"), F.sum("residual_sq").alias("residual"), F.countDistinct("claim_id").alias("claims"))
+    carried = r.sums.where("carried > 0").agg(F.sum("carried").alias("edges"), F.sum("carried_sq").alias("residual"), F.count(F.lit(1)).alias("claims"))
+    both = base.withColumn("is_semantic", F.lit(False)).unionByName(carried.withColumn("is_semantic", F.lit(True)))
+    return both.where("edges > 0").select("is_semantic", "edges", F.round("residual", 2).alias("residual"), "claims")
 
 
 _LAST: list[Run] = []
@@ -116,6 +120,10 @@ def _view(f: Callable[[Run], DataFrame], bind=bindings.labelled_documents) -> Ca
     return query
 
 
+def _summed(f: Callable[[SummedRun], DataFrame], bind=bindings.labelled_documents) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(SummedRun(bind(spark, sf_dir), INCOMING))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": _view(_summary),
     "observable_groups": _view(lambda r: edges.observable_groups(r.map.dimensions).select("observable", *joined("evidence_ids"))),
@@ -170,7 +178,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accommodated_tensions": _view(lambda r: situate.accommodation(_situated(r)[0])[1].select("edge_id", *r6("residual_sq"))),
     "source_spans": _spans,
     "slugs": _slugs,
-    "shipped_parts_residuals": _view(_scale, bindings.shipped_parts),
-    "shipped_parts_stature": _view(lambda r: r.stature.groupBy("stature").agg(F.count(F.lit(1)).alias("claims")), bindings.shipped_parts),
-    "shipped_parts_rewrites": _view(lambda r: r.best.groupBy(F.round("to_out", 1).alias("to_out")).agg(F.count(F.lit(1)).alias("claims"), F.round(F.sum("final_residual"), 2).alias("final_residual")), bindings.shipped_parts),
+    "propagated_sums": _summed(lambda r: r.sums.select("claim_id", *[F.col(c).cast("long").alias(c) for c in ("base_edges", "carried", "contradicting", "stature")], *r6("carried_sq"))),
+    "summed_rewrites": _summed(lambda r: _ops(r.best)),
+    "summed_hygiene": _summed(lambda r: r.hygiene),
+    "shipped_parts_residuals": _summed(_scale, bindings.shipped_parts),
+    "shipped_parts_stature": _summed(lambda r: r.stature.groupBy("stature").agg(F.count(F.lit(1)).alias("claims")), bindings.shipped_parts),
+    "shipped_parts_rewrites": _summed(lambda r: r.best.groupBy(F.round("to_out", 1).alias("to_out")).agg(F.count(F.lit(1)).alias("claims"), F.round(F.sum("final_residual"), 2).alias("final_residual")), bindings.shipped_parts),
+    "shipped_parts_hygiene": _summed(lambda r: r.hygiene.groupBy("status").agg(F.count(F.lit(1)).alias("claims")), bindings.shipped_parts),
 }

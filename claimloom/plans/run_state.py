@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from claimloom import constants as K
-from claimloom.operators import edges, optimize, residuals, state, subjects, views
+from claimloom.operators import edges, optimize, propagation, residuals, state, subjects, views
 from claimloom.sources.model import ClaimMap
+from claimloom.sources.scratch import settle
 
 
 class Run:
@@ -55,6 +56,33 @@ class Run:
         return subjects.subjects(self.map, self.status)
 
 
+class SummedRun:
+    """What claims add up to, for maps whose propagated edges are too many to make: no property has a row for such an edge."""
+
+    def __init__(self, m: ClaimMap, incoming: list[str]):
+        self.map, self.incoming = m, incoming
+        # read by several steps: written once
+        self.base = settle(residuals.wired(m, edges.prediction_edges(m)), "base-edges")
+        self.sums = settle(propagation.propagated(m, self.base), "claim-sums")
+
+    @property
+    def stature(self) -> DataFrame:
+        return self.sums.where("stature > 0").select("claim_id", "stature")
+
+    @property
+    def costs(self) -> DataFrame:
+        return optimize.costs(self.map.claims, self.stature, self.incoming)
+
+    @property
+    def best(self) -> DataFrame:
+        states = self.map.claims.select("claim_id", "init_in", "init_out", "final_in", "final_out")
+        return optimize.cheapest(self.sums.select("claim_id", "r_in", "r_out").join(states, "claim_id"), self.costs)
+
+    @property
+    def hygiene(self) -> DataFrame:
+        return state.hygiene_of_sums(self.map, self.sums)
+
+
 def state_tables(r: Run) -> dict[str, DataFrame]:
     """What a run leaves behind, a table each."""
     hygiene = state.hygiene(r.map, r.full)
