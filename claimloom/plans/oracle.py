@@ -133,6 +133,23 @@ def _on_base(select: str, more: str = "") -> str:
     return f"WITH {BASE}{',' + more if more else ''} {select}"
 
 
+def _changes() -> str:
+    """The ideas of both versions, each from the same tables: the prior one without the documents of incoming papers."""
+    whole, start = f"{BASE}{IDEAS}", "seen AS ("
+    cut = BASE.index("),", BASE.index(start)) + 2
+    seen = BASE[:cut].replace(start, "all_seen AS (") + " seen AS (SELECT * FROM all_seen WHERE source NOT IN ('src3', 'src7')),"
+    prior = (seen + BASE[cut:] + IDEAS).replace("AS evidence_id FROM seen GROUP BY lang)", "AS evidence_id FROM all_seen GROUP BY lang)")
+    pairs = "SELECT r.group_name, a.paper_id AS paper_a, a.claim_ids AS claims_a, b.paper_id AS paper_b, b.claim_ids AS claims_b, r.kind FROM relation r JOIN idea a ON r.idea_a = a.idea_id JOIN idea b ON r.idea_b = b.idea_id WHERE (a.paper_id, a.claim_ids) < (b.paper_id, b.claim_ids)"
+    said = "SELECT group_name, paper_id, claim_ids AS claims, status FROM status"
+    return f"""WITH old_idea AS (WITH {prior} {said}), new_idea AS (WITH {whole} {said}), old_pair AS (WITH {prior} {pairs}), new_pair AS (WITH {whole} {pairs})
+    SELECT CASE WHEN o.status IS NULL THEN 'idea_added' WHEN n.status IS NULL THEN 'idea_removed' ELSE 'status_changed' END AS change, coalesce(n.group_name, o.group_name) AS group_name, coalesce(n.paper_id, o.paper_id) AS paper_id, coalesce(n.claims, o.claims) AS claims,
+      CAST(NULL AS VARCHAR) AS other_paper, CAST(NULL AS VARCHAR) AS other_claims, o.status AS before, n.status AS after
+    FROM old_idea o FULL JOIN new_idea n ON o.group_name = n.group_name AND o.paper_id = n.paper_id AND o.claims = n.claims WHERE o.status IS DISTINCT FROM n.status
+    UNION ALL SELECT CASE WHEN n.kind = 'contests' THEN 'contest_introduced' WHEN n.kind = 'supports' THEN 'support_introduced' WHEN o.kind = 'contests' THEN 'contest_gone' ELSE 'support_gone' END,
+      coalesce(n.group_name, o.group_name), coalesce(n.paper_a, o.paper_a), coalesce(n.claims_a, o.claims_a), coalesce(n.paper_b, o.paper_b), coalesce(n.claims_b, o.claims_b), o.kind, n.kind
+    FROM old_pair o FULL JOIN new_pair n ON o.group_name = n.group_name AND o.paper_a = n.paper_a AND o.claims_a = n.claims_a AND o.paper_b = n.paper_b AND o.claims_b = n.claims_b WHERE o.kind IS DISTINCT FROM n.kind"""
+
+
 def _on_ideas(select: str, more: str = "") -> str:
     return f"WITH {'RECURSIVE ' if more else ''}{BASE}{IDEAS}{more} {select}"
 
@@ -199,6 +216,9 @@ ORACLE_SQL: dict[str, str] = {
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
     "propagated_sums": _on_base("""SELECT e.claim_id, count(*) FILTER (WHERE NOT is_semantic) AS base_edges, count(*) FILTER (WHERE is_semantic) AS carried, count(*) FILTER (WHERE is_semantic AND residual_sq > 0.05) AS contradicting,
       count(DISTINCT ev_paper) FILTER (WHERE residual_sq <= 0.05) AS stature, round(coalesce(sum(residual_sq) FILTER (WHERE is_semantic), 0.0), 6) AS carried_sq FROM scored e GROUP BY e.claim_id"""),
+    "map_changes": _changes(),
+    "living_status": _on_ideas("SELECT idea_id, status FROM status"),
+    "living_relations": _on_ideas("SELECT idea_a, idea_b, kind, shared_at FROM relation"),
     "summed_rewrites": _on_base(OPS.format("stature")),
     "summed_hygiene": _on_base("SELECT claim_id, status FROM hygiene", _HYGIENE),
     "shipped_parts_hygiene": _PARTS + """, per AS (SELECT l_suppkey, p_brand, count(*) AS n, count(*) FILTER (WHERE sq > 0.05) AS wrong FROM m GROUP BY l_suppkey, p_brand)
@@ -226,3 +246,4 @@ ORACLE_SQL: dict[str, str] = {
     "ungrouped_without_incoming": _on_ideas("""SELECT 'subject_' || lpad(CAST((SELECT count(*) FROM subject) + 1 AS VARCHAR), 2, '0') || '_ungrouped' AS subject_id, 'evidence' AS kind, evidence_id AS id FROM evidence e
       WHERE NOT EXISTS (SELECT 1 FROM explicit x JOIN claim c ON x.claim_id = c.claim_id WHERE x.evidence_id = e.evidence_id AND c.paper_id NOT IN ('src3', 'src7'))"""),
 }
+ORACLE_SQL["living_sums"] = ORACLE_SQL["propagated_sums"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from claimloom import constants as K
 from claimloom.functions import text as T
-from claimloom.operators import cliques, edges, optimize, residuals, situate, stance, state, subjects, views
+from claimloom.operators import cliques, diff, edges, optimize, residuals, situate, stance, state, subjects, views
+from claimloom.plans.living_map import LivingMap
 from claimloom.plans.run_state import Run, SummedRun
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
+from claimloom.sources.scratch import shared_dir
 
 #: The papers that count as incoming, and the needles of the span query.
 INCOMING = ["src3", "src7"]
@@ -124,6 +127,26 @@ def _summed(f: Callable[[SummedRun], DataFrame], bind=bindings.labelled_document
     return lambda spark, sf_dir: f(SummedRun(bind(spark, sf_dir), INCOMING))
 
 
+def _changes(r: Run) -> DataFrame:
+    """From the map without the incoming papers to the whole one."""
+    prior = subjects.ideas(r.map.of_papers(r.incoming, keep=False))
+    related = subjects.relations(prior)
+    return diff.map_changes((subjects.with_status(prior, related, []), related), (r.status, r.relations))
+
+
+def _living(f: Callable[[LivingMap], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A store that has seen the map without the incoming papers, then the whole one."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = bindings.labelled_documents(spark, sf_dir)
+        living = LivingMap(spark, f"{shared_dir(spark)}/living-{uuid.uuid4().hex}")
+        living.update(m.of_papers(INCOMING, keep=False), [])
+        living.update(m, INCOMING)
+        return f(living)
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": _view(_summary),
     "observable_groups": _view(lambda r: edges.observable_groups(r.map.dimensions).select("observable", *joined("evidence_ids"))),
@@ -181,6 +204,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "propagated_sums": _summed(lambda r: r.sums.select("claim_id", *[F.col(c).cast("long").alias(c) for c in ("base_edges", "carried", "contradicting", "stature")], *r6("carried_sq"))),
     "summed_rewrites": _summed(lambda r: _ops(r.best)),
     "summed_hygiene": _summed(lambda r: r.hygiene),
+    "map_changes": _view(_changes),
+    "living_status": _living(lambda s: s.groups.read("status").select("idea_id", "status")),
+    "living_relations": _living(lambda s: s.groups.read("relations").select("idea_a", "idea_b", "kind", F.array_join("at", ",").alias("shared_at"))),
+    "living_sums": _living(lambda s: s.claims.read("sums").select("claim_id", *[F.col(c).cast("long").alias(c) for c in ("base_edges", "carried", "contradicting", "stature")], *r6("carried_sq"))),
     "shipped_parts_residuals": _summed(_scale, bindings.shipped_parts),
     "shipped_parts_stature": _summed(lambda r: r.stature.groupBy("stature").agg(F.count(F.lit(1)).alias("claims")), bindings.shipped_parts),
     "shipped_parts_rewrites": _summed(lambda r: r.best.groupBy(F.round("to_out", 1).alias("to_out")).agg(F.count(F.lit(1)).alias("claims"), F.round(F.sum("final_residual"), 2).alias("final_residual")), bindings.shipped_parts),
