@@ -13,9 +13,18 @@ def write_tables(tables: dict[str, DataFrame], folder: str, force: bool = False,
 
 
 def write_run(tables: dict[str, DataFrame], folder: str, force: bool = False, as_json: bool = False) -> None:
-    """All tables of a run in one folder: an existing folder is an error unless force, before anything is written."""
+    """All tables of a run in one folder: an existing folder is an error unless force, before anything is written.
+
+    With force, tables of an earlier run that this one does not have go; what Spark has not written stays.
+    """
     spark = next(iter(tables.values())).sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not force and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(path)
+    if there and not force:
         raise FileExistsError(folder)
     write_tables(tables, folder, force, as_json)
+    for status in fs.listStatus(path) if there else ():
+        table = status.getPath()
+        if table.getName() not in tables and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(table, "_SUCCESS")):
+            fs.delete(table, True)

@@ -88,5 +88,7 @@ def test_the_state_of_a_run_is_written_once(run, spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/operations").count() == 4
     with pytest.raises(FileExistsError):
         sinks.write_run(tables, f"{tmp_path}/out")
-    sinks.write_run(tables, f"{tmp_path}/out", force=True)
+    (tmp_path / "out/notes").mkdir()
+    sinks.write_run({n: tables[n] for n in ("summary", "operations")}, f"{tmp_path}/out", force=True)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"summary", "operations", "notes"}  # what Spark has not written stays
     assert {"edges", "tensions", "claims", "evidence", "papers", "hygiene", "subjects", "ideas", "relations", "next_steps", "open_questions"} <= set(state_tables(run))
