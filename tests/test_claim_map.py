@@ -151,8 +151,7 @@ def test_cliques(spark):
     assert sorted(r.clique for r in cliques.maximal_cliques(nodes, pairs).collect()) == ["a|b|c", "c|d", "z"]
     assert [r["size"] for r in cliques.maximal_cliques(nodes.limit(0), pairs.limit(0)).collect()] == [0]
     hub = spark.createDataFrame([("a", x) for x in "bcd"], "a string, b string")
-    with pytest.raises(Exception, match="too many neighbours"):
-        cliques.maximal_cliques(nodes, hub, most_neighbours=2).collect()
+    assert sorted(r.clique for r in cliques.maximal_cliques(nodes, hub).collect()) == ["a|b", "a|c", "a|d", "z"]
 
 
 def test_cliques_of_random_graphs(spark):
