@@ -29,11 +29,12 @@ def stances(m: ClaimMap) -> DataFrame:
     return said.unionByName(carried.select("claim_id", "group_name", "evidence_id", "value", F.lit(False).alias("explicit")))
 
 
-def coherent(stance: DataFrame, key: str, least_shared: int = K.COHERENT_FROM_SHARED) -> DataFrame:
-    """a, b, shared: pairs that share enough positions and agree at all of them.
+def coherent_classes(stance: DataFrame, key: str, least_shared: int = K.COHERENT_FROM_SHARED) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (class_a, class_b, shared) that share enough positions and agree at all of them, and members (member, class, n).
 
-    Holders of equal stances are one class, known by a hash of 128 bits; only the classes meet, joined on positions, and
-    their pairs are spread to the members.
+    Holders of equal stances are one class, known by a hash of 128 bits. Positions stand in one order, rare ones first; two
+    classes that share k positions share one even if each leaves out its k - 1 commonest. So classes meet on the others
+    only, where they must agree, and what all hold is not joined on; the pairs found are then checked at all positions.
     """
     at = ["group_name", "evidence_id", "value"]
     stance = settle(stance.select(key, *at), "stances")
@@ -41,10 +42,23 @@ def coherent(stance: DataFrame, key: str, least_shared: int = K.COHERENT_FROM_SH
     same = Window.partitionBy("n", "h_1", "h_2")
     members = settle(of.select(F.col(key).alias("member"), F.min(key).over(same).alias("class"), "n"), "stance-classes")
     own = stance.join(members.where("member = class").select(F.col("member").alias(key)), key, "left_semi").withColumnRenamed(key, "class")
-    a, b = own.alias("a"), own.alias("b")
-    met = a.join(b, (F.col("a.group_name") == F.col("b.group_name")) & (F.col("a.evidence_id") == F.col("b.evidence_id")) & (F.col("a.class") < F.col("b.class")))
-    pairs = met.groupBy(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.abs(F.col("a.value") - F.col("b.value"))).alias("gap"))
+    place = ["group_name", "evidence_id"]
+    common = own.groupBy(*place).agg(F.count(F.lit(1)).alias("held"))
+    commonest = Window.partitionBy("class").orderBy(F.desc("held"), *place)
+    own = settle(own.join(common, place).withColumn("from_commonest", F.row_number().over(commonest)), "class-stances")
+    side = lambda df, s: df.select(*place, F.col("class").alias(f"class_{s}"), F.col("value").alias(f"value_{s}"))
+    rare = own.where(F.col("from_commonest") >= least_shared).where("held > 1")
+    gap = F.abs(F.col("value_a") - F.col("value_b"))
+    met = side(rare, "a").join(side(rare, "b"), place).where((F.col("class_a") < F.col("class_b")) & (gap < K.AGREE_BELOW)).select("class_a", "class_b").distinct()
+    both = met.join(side(own, "a"), "class_a").join(side(own, "b"), ["class_b", *place])
+    pairs = both.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("shared"), F.max(gap).alias("gap"))
     pairs = pairs.where((F.col("shared") >= least_shared) & (F.col("gap") < K.AGREE_BELOW)).select("class_a", "class_b", "shared")
+    return pairs, members
+
+
+def coherent(stance: DataFrame, key: str, least_shared: int = K.COHERENT_FROM_SHARED) -> DataFrame:
+    """a, b, shared: the same for the members, pair by pair."""
+    pairs, members = coherent_classes(stance, key, least_shared)
     within = members.where((F.col("member") == F.col("class")) & (F.col("n") >= least_shared)).select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.col("n").alias("shared"))
     side = lambda s: members.select(F.col("class").alias(f"class_{s}"), F.col("member").alias(s))
     spread = pairs.unionByName(within).join(side("a"), "class_a").join(side("b"), "class_b")

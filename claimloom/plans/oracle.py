@@ -216,7 +216,14 @@ ORACLE_SQL: dict[str, str] = {
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
     "propagated_sums": _on_base("""SELECT e.claim_id, count(*) FILTER (WHERE NOT is_semantic) AS base_edges, count(*) FILTER (WHERE is_semantic) AS carried, count(*) FILTER (WHERE is_semantic AND residual_sq > 0.05) AS contradicting,
       count(DISTINCT ev_paper) FILTER (WHERE residual_sq <= 0.05) AS stature, round(coalesce(sum(residual_sq) FILTER (WHERE is_semantic), 0.0), 6) AS carried_sq FROM scored e GROUP BY e.claim_id"""),
+    "stream_totals": _on_base("""SELECT claim_id, count(*) AS edges, count(DISTINCT ev_paper) FILTER (WHERE residual_sq <= 0.05) AS stature, round(sum(CASE WHEN regime_tag = 'in_regime' THEN residual_sq ELSE 0.0 END), 6) AS r_in, round(sum(CASE WHEN regime_tag = 'in_regime' THEN 0.0 ELSE residual_sq END), 6) AS r_out
+      FROM scored WHERE NOT is_semantic GROUP BY claim_id"""),
     "map_changes": _changes(),
+    "coherent_classes": _on_ideas(f"""SELECT c.claim_id, c.class, count(DISTINCT o.class) AS coherent_classes FROM (SELECT claim_id, min(claim_id) OVER (PARTITION BY v) AS class FROM (SELECT claim_id, string_agg(group_name || '/' || evidence_id || '=' || CAST(value AS VARCHAR), ',' ORDER BY group_name, evidence_id) AS v FROM stance GROUP BY claim_id) x) c
+      LEFT JOIN ({PAIRS.format(k='claim_id', t='stance')}) p ON c.class IN (p.a, p.b)
+      LEFT JOIN (SELECT claim_id, min(claim_id) OVER (PARTITION BY v) AS class FROM (SELECT claim_id, string_agg(group_name || '/' || evidence_id || '=' || CAST(value AS VARCHAR), ',' ORDER BY group_name, evidence_id) AS v FROM stance GROUP BY claim_id) y) o ON o.claim_id = CASE WHEN c.class = p.a THEN p.b ELSE p.a END AND o.class <> c.class GROUP BY c.claim_id, c.class"""),
+    "map_cube": _on_base("""SELECT c.paper_id, h.status AS hygiene, c.paper_id IN ('src3', 'src7') AS incoming, GROUPING(c.paper_id, h.status, c.paper_id IN ('src3', 'src7')) AS level, count(*) AS claims, CAST(sum(coalesce(s.stature, 0)) AS BIGINT) AS stature, count(DISTINCT c.lang) AS groups
+      FROM claim c LEFT JOIN stature s ON c.claim_id = s.claim_id JOIN hygiene h ON c.claim_id = h.claim_id GROUP BY CUBE (c.paper_id, h.status, c.paper_id IN ('src3', 'src7'))""", _HYGIENE),
     "living_status": _on_ideas("SELECT idea_id, status FROM status"),
     "living_relations": _on_ideas("SELECT idea_a, idea_b, kind, shared_at FROM relation"),
     "summed_rewrites": _on_base(OPS.format("stature")),

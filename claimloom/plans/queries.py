@@ -17,6 +17,7 @@ from claimloom.plans.run_state import Run, SummedRun
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
 from claimloom.sources.scratch import shared_dir
+from claimloom.streaming import totals
 
 #: The papers that count as incoming, and the needles of the span query.
 INCOMING = ["src3", "src7"]
@@ -147,6 +148,29 @@ def _living(f: Callable[[LivingMap], DataFrame]) -> Callable[[SparkSession, str]
     return query
 
 
+def _coherent_classes(r: Run) -> DataFrame:
+    """Claims with their class of equal stances and how many other classes it is coherent with; no pair of claims is made."""
+    pairs, members = stance.coherent_classes(stance.stances(r.map), "claim_id")
+    with_others = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("coherent_classes"))
+    return members.join(with_others, "class", "left").select(F.col("member").alias("claim_id"), "class", F.coalesce("coherent_classes", F.lit(0)).cast("long").alias("coherent_classes"))
+
+
+def _map_cube(r: Run) -> DataFrame:
+    """Claims, and papers behind them, by paper, hygiene and whether the paper is incoming, in all combinations; level says which were summed over."""
+    rows = views.claims(r.map, r.stature, state.hygiene(r.map, r.full), r.best, r.incoming)
+    by = rows.cube("paper_id", "hygiene", "incoming").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("claims"), F.sum("stature").alias("stature"), F.countDistinct("system").alias("groups"))
+    return by.select("paper_id", "hygiene", "incoming", F.col("level").cast("long").alias("level"), "claims", "stature", "groups")
+
+
+def _stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map's evidence as findings that arrive in several batches, one made each second from the year 2000 on."""
+    m = bindings.labelled_documents(spark, sf_dir)
+    top = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    totals.findings(m, F.timestamp_seconds(F.col("ev_seq") + 946_684_800)).repartitionByRange(4, "at").write.parquet(f"{top}/findings")
+    arriving = spark.readStream.schema(totals.FINDING).option("maxFilesPerTrigger", 2).parquet(f"{top}/findings")
+    return totals.follow(arriving, m, f"{top}/totals", f"{top}/checkpoint", delay="3650 days").select("claim_id", "edges", "stature", *r6("r_in", "r_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": _view(_summary),
     "observable_groups": _view(lambda r: edges.observable_groups(r.map.dimensions).select("observable", *joined("evidence_ids"))),
@@ -205,6 +229,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summed_rewrites": _summed(lambda r: _ops(r.best)),
     "summed_hygiene": _summed(lambda r: r.hygiene),
     "map_changes": _view(_changes),
+    "coherent_classes": _view(_coherent_classes),
+    "map_cube": _view(_map_cube),
+    "stream_totals": _stream_totals,
     "living_status": _living(lambda s: s.groups.read("status").select("idea_id", "status")),
     "living_relations": _living(lambda s: s.groups.read("relations").select("idea_a", "idea_b", "kind", F.array_join("at", ",").alias("shared_at"))),
     "living_sums": _living(lambda s: s.claims.read("sums").select("claim_id", *[F.col(c).cast("long").alias(c) for c in ("base_edges", "carried", "contradicting", "stature")], *r6("carried_sq"))),
