@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none and runs in one process."""
+    """The folder that driver and executors share; a local one only if the session names none and runs in one process.
+
+    On a cluster without spark.checkpoint.dir the warehouse serves, unless it is on local disks too: that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
         local = spark.sparkContext.master.split("[")[0] == "local"
-        found = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not local and (":/" not in warehouse or warehouse.startswith("file:")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-") if local else f"{warehouse}/scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") + "/claimloom"
 
