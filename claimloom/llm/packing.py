@@ -137,7 +137,7 @@ def pack(parts: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
         joined = placed.join(merged, placed["bin"] == merged["item"], "left").select(
             placed["item"], F.coalesce("into", "bin").alias("bin"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"), F.coalesce("filled", "fill").alias("fill"), F.coalesce("first", "place").alias("place"))
         placed = materialize(joined, f"packed-{level}")
-        if groups == 1 or left > 0.999 * count:
+        if groups == 1 or left == count:
             break
     if not ordered:
         return parts.join(placed.select("item", F.col("bin").alias("sequence_id"), "offset"), "item")
