@@ -213,6 +213,18 @@ ORACLE_SQL: dict[str, str] = {
     "accommodated_tensions": _situated("SELECT edge_id, round(sq, 6) AS residual_sq FROM (SELECT s.edge_id, CASE WHEN s.regime_tag = 'in_regime' THEN 1.0 ELSE n.s * n.s END * s.residual * s.residual AS sq FROM spliced s JOIN narrowed n ON s.claim_id = n.claim_id) x WHERE sq > 0.05"),
     "source_spans": r"""SELECT doc_id, trim(regexp_replace(CASE WHEN place >= 0 THEN substring(text, greatest(place - 120, 0) + 1, place + 360 - greatest(place - 120, 0)) ELSE left(text, 360) END, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS span
       FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'des'), 0), nullif(instr(lower(text), 'ung'), 0), nullif(instr(lower(text), 'que'), 0), 0) - 1 AS place FROM documents) d""",
+    "asked_as_of": """WITH s AS (SELECT user_id, ts, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
+      SELECT q.event_id, q.user_id, s.event_id AS state_event_id, round(s.value, 6) AS state_value FROM (SELECT * FROM events WHERE event_type = 'error') q ASOF LEFT JOIN s ON q.user_id = s.user_id AND q.ts >= s.ts""",
+    "event_changes": """SELECT event_id, user_id, event_type, was AS was_event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) e
+      WHERE was IS NULL OR was <> event_type""",
+    "located_goals": r"""WITH goal AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS goal, unnest(regexp_extract_all(lower(text), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM conversations WHERE role = 'user'),
+      used AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM documents) w WHERE word IN (SELECT word FROM goal) GROUP BY doc_id, word),
+      rarity AS (SELECT word, count(*) AS docs FROM used GROUP BY word),
+      posting AS (SELECT u.doc_id, u.word, CAST(round(1000 * ln((SELECT count(DISTINCT doc_id) FROM documents) / CAST(r.docs AS DOUBLE))) AS BIGINT) * n // (n + 1) AS weight FROM used u JOIN rarity r ON u.word = r.word),
+      scored AS (SELECT g.goal, p.doc_id, CAST(sum(p.weight) AS BIGINT) AS score, string_agg(p.word, ',' ORDER BY p.word) AS scope_words FROM goal g JOIN posting p ON g.word = p.word WHERE p.weight > 0 GROUP BY g.goal, p.doc_id)
+      SELECT * FROM (SELECT goal, doc_id, score, row_number() OVER (PARTITION BY goal ORDER BY score DESC, doc_id) AS rank, scope_words FROM scored) r WHERE rank <= 3""",
+    "needle_hits": """SELECT d.doc_id, b.needle, instr(d.text, b.needle) - 1 AS at FROM (SELECT doc_id, lower(text) AS text FROM documents) d
+      JOIN (SELECT DISTINCT needle FROM (SELECT unnest(string_split(lower(text), chr(10))) AS needle FROM benchmark) l WHERE length(needle) >= 20) b ON contains(d.text, b.needle)""",
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
     "propagated_sums": _on_base("""SELECT e.claim_id, count(*) FILTER (WHERE NOT is_semantic) AS base_edges, count(*) FILTER (WHERE is_semantic) AS carried, count(*) FILTER (WHERE is_semantic AND residual_sq > 0.05) AS contradicting,
       count(DISTINCT ev_paper) FILTER (WHERE residual_sq <= 0.05) AS stature, round(coalesce(sum(residual_sq) FILTER (WHERE is_semantic), 0.0), 6) AS carried_sq FROM scored e GROUP BY e.claim_id"""),

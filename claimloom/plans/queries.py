@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import constants as K
+from claimloom.functions import needles
 from claimloom.functions import text as T
-from claimloom.operators import cliques, diff, edges, optimize, residuals, situate, stance, state, subjects, views
+from claimloom.operators import cliques, diff, edges, history, locate, optimize, residuals, situate, stance, state, subjects, views
 from claimloom.plans.living_map import LivingMap
 from claimloom.plans.run_state import Run, SummedRun
 from claimloom.sources import bindings
@@ -22,6 +23,8 @@ from claimloom.streaming import totals
 #: The papers that count as incoming, and the needles of the span query.
 INCOMING = ["src3", "src7"]
 NEEDLES = ["license", "the", "des", "ung", "que"]
+#: Documents that a goal is shown; the feature is a top-k report.
+LOCATED = 3
 
 
 def joined(*names: str) -> list:
@@ -171,6 +174,36 @@ def _stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.follow(arriving, m, f"{top}/totals", f"{top}/checkpoint", delay="3650 days").select("claim_id", "edges", "stature", *r6("r_in", "r_out"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase states a user's claim anew; each error asks what stood when it happened."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
+    log, questions = events.where("event_type = 'purchase'"), events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return history.as_of(log, questions, "user_id", "ts", "event_id", ["event_id", "value"]).select("event_id", "user_id", "state_event_id", *r6("state_value"))
+
+
+def _event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    return history.changes(events, "user_id", "ts", "event_id", ["event_type"]).select("event_id", "user_id", "event_type", "was_event_type")
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents nearest to what a user says in a turn; blocks are documents of one language, by hash."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    asked = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").withColumn("goal", F.concat_ws("/", "conv_id", "turn"))
+    goals = locate.words(asked, "text", "goal")
+    block = F.concat_ws("/", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    scopes = locate.words(docs.select("text", F.col("doc_id").alias("subject"), block.alias("block")), "text", "subject", "block")
+    index = locate.postings(scopes, docs.select("doc_id").distinct().count(), goals)
+    return locate.locate(goals, index, LOCATED).select("goal", F.col("subject").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"), *joined("scope_words"))
+
+
+def _needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents hold lines of the benchmark, whatever the case."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).where(F.length("line") >= 20)
+    return needles.hits(docs, "doc_id", "text", lines, "line").select("doc_id", "needle", "at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": _view(_summary),
     "observable_groups": _view(lambda r: edges.observable_groups(r.map.dimensions).select("observable", *joined("evidence_ids"))),
@@ -223,6 +256,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contradictors": _view(lambda r: situate.contradictors(*_situated(r)).select("evidence_id", "claim_id", "claim_paper", "residual")),
     "finding_verdicts": _view(lambda r: situate.verdicts(*_situated(r)).select("evidence_id", F.col("independent_papers").cast("long").alias("independent_papers"), "verdict", *joined("leans_on"))),
     "accommodated_tensions": _view(lambda r: situate.accommodation(_situated(r)[0])[1].select("edge_id", *r6("residual_sq"))),
+    "asked_as_of": _asked,
+    "event_changes": _event_changes,
+    "located_goals": _located,
+    "needle_hits": _needle_hits,
     "source_spans": _spans,
     "slugs": _slugs,
     "propagated_sums": _summed(lambda r: r.sums.select("claim_id", *[F.col(c).cast("long").alias(c) for c in ("base_edges", "carried", "contradicting", "stature")], *r6("carried_sq"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.needles import hits
 from claimloom.sources.model import ClaimMap
 
 PROVENANCE = "struct<extractor:string, confidence:double, review_status:string, source_span:string>"
@@ -77,11 +78,13 @@ def scan_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFra
 def extract(stems: DataFrame, seeds: ClaimMap, rules: DataFrame) -> DataFrame:
     """stem, paper_id, claim_id, confidence: the seeded claims of each document, or one bare claim for an unknown one.
 
-    rules: pattern, paper_id, priority. An exact stem comes before a substring, then the least priority.
+    rules: pattern, paper_id, priority. An exact stem comes before a substring, then the least priority. An empty pattern
+    matches nothing. All patterns are looked for in one reading of a stem.
     """
-    hit = stems.join(F.broadcast(rules), F.contains(F.col("stem"), F.lower("pattern")), "left")  # rules are a table written by hand
+    patterns = rules.withColumn("needle", F.lower("pattern"))
+    hit = hits(stems.select("stem").distinct(), "stem", "stem", patterns, "needle").join(patterns, "needle")
     rank = F.struct((F.col("stem") != F.col("pattern")).alias("inexact"), "priority", "paper_id")
-    chosen = hit.groupBy("stem").agg(F.min(F.when(F.col("paper_id").isNotNull(), rank)).alias("r")).select("stem", "r.paper_id")
+    chosen = hit.where("paper_id is not null").groupBy("stem").agg(F.min(rank).alias("r")).select("stem", "r.paper_id")
     known = chosen.join(seeds.claims.select("paper_id", "claim_id", "confidence"), "paper_id").select("stem", "paper_id", "claim_id", "confidence")
     unknown = stems.join(known.select("stem").distinct(), "stem", "left_anti").select("stem", F.col("stem").alias("paper_id"), F.concat("stem", F.lit("_C01")).alias("claim_id"), F.lit(0.25).alias("confidence"))
     return known.unionByName(unknown)
