@@ -11,7 +11,7 @@ depth d with chance 1 - (1 - s^d)^trees, so the pairs found, each over its chanc
 ends when the estimate reaches the target, at the latest at the depth that reaches it for pairs at the threshold itself.
 
 Verification is exact, on the shingle sets: in each node the intersections of all members are products of their incidence
-matrix with itself, in tiles of bounded size. Only a document's number of links, a few ties that hold linked documents
+matrix with itself, in tiles of bounded size, one range of shingle hashes after another. Only a document's number of links, a few ties that hold linked documents
 together and counts by similarity leave a tile, never pairs.
 
 Results: class_id is the least doc_id of the documents tied by links, copy_id the least with the same shingles, n_links
@@ -25,7 +25,9 @@ none). An empty table gives an empty table. Other columns are kept by keep_class
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from claimloom.llm.components import components
 
 BASE = 0x9E3779B97F4A7C55
 TILE = 1024
+#: Bytes of shingles that a tile holds at a time: it goes through ranges of hashes, as many as it needs for that.
+PIECE = 8 << 20
 #: Similarities are counted in so many steps up to 1.
 STEPS = 200
 
@@ -100,41 +104,42 @@ def _sets(docs: DataFrame, forest: Forest) -> DataFrame:
     return keyed.select("doc_id", "text_key", "text").mapInArrow(sign, "doc_id long, text_key long, set_1 long, set_2 long, shingles int, signature binary")
 
 
-MEMBERS = "tile long, tree int, part int, rep long, copies long, signature binary, set binary"
+MEMBERS = "node long, tree int, low int, high int, piece int, part int, rep long, copies long, signature binary, set binary"
 FOUND = "rep long, links long, tie long, step int, pairs long"
+#: What tells tiles apart: a node's least member and tree, and the two parts of it that meet.
+TILE_KEY = ["node", "tree", "low", "high"]
 
 
 def _members(content: DataFrame, wanted: DataFrame, forest: Forest) -> DataFrame:
-    """content: rep, text; wanted: rep, copies, signature, tiles (array of tile, tree, part). A row with the shingle set for each tile."""
+    """content: rep, text; wanted: rep, copies, signature, tiles. A row for each piece of the shingle set in each tile; the signature goes with the first."""
 
     def make(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for rep, copies, signature, tiles, text in rows(batches):
-            data = shingle_sets([text], forest.width)[0].tobytes()
-            for at in range(0, len(tiles), 32):
-                some = tiles[at : at + 32]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t["tile"] for t in some], pa.int64()), pa.array([t["tree"] for t in some], pa.int32()), pa.array([t["part"] for t in some], pa.int32()), pa.array([rep] * n, pa.int64()),
-                     pa.array([copies] * n, pa.int64()), pa.array([signature] * n, pa.binary()), pa.array([data] * n, pa.binary())],
-                    ["tile", "tree", "part", "rep", "copies", "signature", "set"])
+            values, out, held = shingle_sets([text], forest.width)[0], [], 0
+            for t in tiles:
+                cuts = np.searchsorted(values, [np.uint64(2**64 * i // t["pieces"]) for i in range(t["pieces"])]).tolist() + [len(values)]
+                for piece in range(t["pieces"]):
+                    data = values[cuts[piece] : cuts[piece + 1]].tobytes()
+                    out.append((*(t[k] for k in TILE_KEY), piece, t["part"], rep, copies, None if piece else signature, data))
+                    held += len(data)
+                    if held > 1 << 20 or len(out) >= 512:
+                        yield _table(out)
+                        out, held = [], 0
+            if out:
+                yield _table(out)
+
+    def _table(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*TILE_KEY, "piece", "part", "rep", "copies", "signature", "set"])
 
     return content.join(wanted, "rep").select("rep", "copies", "signature", "tiles", "text").mapInArrow(make, MEMBERS)
 
 
-def verify(members: list[tuple], tree: int, depth: int, forest: Forest) -> list[tuple]:
-    """members: (part, rep, copies, signature, set). Rows of FOUND: a member's linked rows and tie, and pairs by similarity.
-
-    Counts pairs that share no longer prefix in any tree and none of this depth in an earlier one. A tile of one part
-    compares all its members; one of two parts compares across them.
-    """
-    n = len(members)
-    part = np.array([m[0] for m in members])
-    reps = np.array([m[1] for m in members], np.int64)
-    copies = np.array([m[2] for m in members], np.int64)
-    sets = [np.frombuffer(m[4], np.uint64) for m in members]
-    sizes = np.array([len(s) for s in sets], np.float32)
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share."""
+    n, sizes = len(sets), [len(s) for s in sets]
     shared = np.zeros((n, n), np.float32)
-    owner, (_, column, uses) = np.repeat(np.arange(n), sizes.astype(np.int64)), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, (_, column, uses) = np.repeat(np.arange(n), sizes), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     useful = uses[column] > 1
     owner, column = owner[useful], (np.cumsum(uses > 1) - 1)[column[useful]]
     order = np.argsort(column, kind="stable")
@@ -144,6 +149,24 @@ def verify(members: list[tuple], tree: int, depth: int, forest: Forest) -> list[
         block = np.zeros((n, width), np.float32)
         block[owner[a:b], column[a:b] - lo] = 1
         shared += block @ block.T
+    return shared
+
+
+def verify(members: list[tuple], pieces: Iterable[list[np.ndarray]], tree: int, depth: int, forest: Forest) -> list[tuple]:
+    """Rows of FOUND: a member's linked rows and tie, and pairs by similarity. members: (part, rep, copies, signature).
+
+    pieces: for each range of shingles the members' values in it, one range in memory at a time. Counts pairs that share no
+    longer prefix in any tree and none of this depth in an earlier one. A tile of one part compares all its members; one of
+    two parts compares across them.
+    """
+    n = len(members)
+    part = np.array([m[0] for m in members])
+    reps = np.array([m[1] for m in members], np.int64)
+    copies = np.array([m[2] for m in members], np.int64)
+    sizes, shared = np.zeros(n, np.float32), np.zeros((n, n), np.float32)
+    for sets in pieces:
+        sizes += np.array([len(s) for s in sets], np.float32)
+        shared += common(sets)
     union = sizes[:, None] + sizes[None, :] - shared
     about = np.triu(shared >= np.float32(forest.threshold * 0.999) * union, 1)
     if len(set(part)) > 1:
@@ -180,50 +203,59 @@ def _verified(members: DataFrame, depth: int, forest: Forest) -> DataFrame:
     """Tiles stream through their tasks one after another, sorted by tile."""
 
     def check(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        out, held, now, tree = [], [], None, 0
-        for tile, t, *member in rows(batches):
-            if tile != now:
-                if len(held) > 1:
-                    out.extend(verify(held, tree, depth, forest))
-                held, now, tree = [], tile, t
-                if len(out) > 2000:
-                    yield _found(out)
-                    out = []
-            held.append(tuple(member))
-        if len(held) > 1:
-            out.extend(verify(held, tree, depth, forest))
+        out = []
+        for (_, tree, _, _), tile in groupby(rows(batches), itemgetter(0, 1, 2, 3)):
+            pieces = groupby(tile, itemgetter(4))
+            first = list(next(pieces)[1])
+            if len(first) > 1:
+                members = [m[5:9] for m in first]
+                sets = [[np.frombuffer(m[9], np.uint64) for m in first]]
+                later = ([np.frombuffer(m[9], np.uint64) for m in piece] for _, piece in pieces)
+                del first
+                out.extend(verify(members, _each(sets, later), tree, depth, forest))
+            if len(out) > 2000:
+                yield _found(out)
+                out = []
         yield _found(out)
 
+    def _each(first: list, later: Iterator) -> Iterator:
+        yield first.pop()  # not held while the others come
+        yield from later
+
     def _found(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 5
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rep", "links", "tie", "step", "pairs"])
 
-    dealt = members.repartition("tile").sortWithinPartitions("tile", "part", "rep")
+    dealt = members.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "piece", "part", "rep")  # each piece has all members, in one order
     return dealt.mapInArrow(check, FOUND)
 
 
 def _entries(classes: DataFrame, forest: Forest, depth: int) -> DataFrame:
-    """rep, tree, prefix, branch (the prefix one value longer) of each class that has shingles."""
+    """rep, tree, shingles, prefix, branch (the prefix one value longer) of each class that has shingles."""
     size = 2 * forest.longest
     cut = lambda n: F.expr(f"substring(signature, tree * {size} + 1, {2 * n})")
-    each = classes.where("shingles > 0").select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
-    return each.select("rep", "tree", cut(depth).alias("prefix"), cut(min(depth + 1, forest.longest)).alias("branch"))
+    each = classes.where("shingles > 0").select("rep", "signature", "shingles", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    return each.select("rep", "tree", "shingles", cut(depth).alias("prefix"), cut(min(depth + 1, forest.longest)).alias("branch"))
 
 
-def _tiles(classes: DataFrame, forest: Forest, depth: int, tile: int) -> DataFrame:
-    """rep, tiles: where each class is compared at this depth. Nodes of the same members in several trees are compared in the first."""
+def _tiles(classes: DataFrame, forest: Forest, depth: int, tile: int, piece: int) -> DataFrame:
+    """rep, tiles: where each class is compared at this depth, and in how many pieces. Nodes of the same members in several trees are compared in the first."""
     entries = _entries(classes, forest, depth)
     who = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("decimal(38,0)")
-    nodes = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), who.alias("who"), F.min("branch").alias("a"), F.max("branch").alias("b")).where("n > 1")
+    nodes = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("values"), F.min("rep").alias("least"), who.alias("who"), F.min("branch").alias("a"), F.max("branch").alias("b")).where("n > 1")
     if depth < forest.longest:
         nodes = nodes.where("a <> b")
-    once = nodes.groupBy("n", "least", "who").agg(F.min(F.struct("tree", "prefix")).alias("g")).select("g.tree", "g.prefix", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    once = nodes.groupBy("n", "values", "least", "who").agg(F.min(F.struct("tree", "prefix")).alias("g")).select("g.tree", "g.prefix", F.col("least").alias("node"), "values", parts.alias("parts"))
+    # shingles are spread evenly, and so are members over parts; a tile holds two parts of its node
+    held = 8 * F.col("values") * F.least(F.lit(1.0), 2 / F.col("parts"))
+    once = once.withColumn("pieces", F.ceil(held / piece).cast("int")).drop("values")
     placed = entries.join(once, ["tree", "prefix"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a member of part p meets every other part once: tiles (p, q), and (p, p) alone
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = placed.select("rep", "tree", "prefix", "part", other)
-    tiles = tiles.select("rep", F.struct(F.xxhash64("tree", "prefix", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "tree", "part").alias("t"))
+    tiles = placed.select("rep", "tree", "node", "pieces", "part", other)
+    tiles = tiles.select("rep", F.struct("node", "tree", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "pieces").alias("t"))
     return tiles.groupBy("rep").agg(F.collect_list("t").alias("tiles"))
 
 
@@ -233,7 +265,7 @@ def recall(pairs: dict[int, int], depth: int, trees: int) -> float:
     return sum(pairs.values()) / there if there else 0.0
 
 
-def linked(docs: DataFrame, classes: DataFrame, forest: Forest, tile: int = TILE) -> tuple[DataFrame, int, float]:
+def linked(docs: DataFrame, classes: DataFrame, forest: Forest, tile: int = TILE, piece: int = PIECE) -> tuple[DataFrame, int, float]:
     """rep, links, tie of the classes, the depth at which shortening ended and the recall estimated there."""
     last = _entries(classes, forest, forest.shortest)
     alike = last.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -245,7 +277,7 @@ def linked(docs: DataFrame, classes: DataFrame, forest: Forest, tile: int = TILE
     content = materialize(content, "near-texts")
     levels, pairs, depth, reached = [], {}, forest.longest, 0.0
     for depth in range(forest.longest, forest.shortest - 1, -1):
-        wanted = _tiles(near, forest, depth, tile).join(near.select("rep", "copies", "signature"), "rep")
+        wanted = _tiles(near, forest, depth, tile, piece).join(near.select("rep", "copies", "signature"), "rep")
         level = materialize(_verified(_members(content, wanted, forest), depth, forest), "links")
         levels.append(level)
         for r in level.where("step is not null").groupBy("step").agg(F.sum("pairs").alias("n")).collect():  # at most a row for each step
@@ -262,7 +294,7 @@ def linked(docs: DataFrame, classes: DataFrame, forest: Forest, tile: int = TILE
     return found, depth, reached
 
 
-def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFrame, DataFrame]:
+def _classed(docs: DataFrame, forest: Forest | None, tile: int = TILE, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """The signed rows; and of each shingle set: set_1, set_2, id (least doc_id, or MAX_ID), rep_key, n_links, root (the number of its class)."""
     forest = forest or Forest()
     signed = materialize(_sets(docs, forest), "signatures")
@@ -270,7 +302,7 @@ def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFra
     same = signed.groupBy("set_1", "set_2").agg(F.min(ranked).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.max("shingles").alias("shingles"))
     # numbered and written once, so the numbers stay
     classes = materialize(same.select(F.monotonically_increasing_id().alias("rep"), "set_1", "set_2", "least.id", "least.rep_key", "copies", "shingles", "signature"), "shingle-classes")
-    links, _, _ = linked(docs, classes, forest, tile)
+    links, _, _ = linked(docs, classes, forest, tile, piece)
     counts = links.groupBy("rep").agg(F.sum("links").alias("others"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("tie").alias("b")))
     classed = classes.join(counts, "rep", "left").join(roots, classes["rep"] == roots["node"], "left").select(
@@ -281,9 +313,9 @@ def _classed(docs: DataFrame, forest: Forest | None, tile: int) -> tuple[DataFra
     return signed, classed
 
 
-def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE) -> DataFrame:
+def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE, piece: int = PIECE) -> DataFrame:
     """doc_id, text_key, copy_id, class_id, n_links of each row."""
-    signed, classed = _classed(docs, forest, tile)
+    signed, classed = _classed(docs, forest, tile, piece)
     named = lambda c, name: F.when(F.col(c) < MAX_ID, F.col(c)).alias(name)
     ids = classed.join(classed.groupBy("root").agg(F.min("id").alias("class")), "root")
     return signed.join(ids, ["set_1", "set_2"]).select("doc_id", "text_key", named("id", "copy_id"), named("class", "class_id"), "n_links")
@@ -291,7 +323,7 @@ def join_report(docs: DataFrame, forest: Forest | None = None, tile: int = TILE)
 
 def keep_classes(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """docs with their columns: of each class one row, the first by doc_id (null last) and text_key, also where two classes have one name."""
-    _, classed = _classed(docs, forest, TILE)
+    _, classed = _classed(docs, forest)
     kept = classed.groupBy("root").agg(F.min(F.struct("id", "rep_key")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.rep_key").alias("__key"))
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     one = keyed.join(kept, (F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)) == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")

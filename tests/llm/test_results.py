@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from claimloom.llm import bitpack, fingerprints, line_dedup, line_quality, lm_score, mixing, ngram_join, packing, substring
+from claimloom.llm.common import mix
 from claimloom.llm.components import components
 from tests.llm import awkward
 
@@ -275,8 +277,43 @@ def test_large_group_of_near_copies(spark):
     """A group over many tiles: every member links to every other."""
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:100] + [f"own{i}"] + base[101:])) for i in range(150)]
-    got = ngram_join.join_report(spark.createDataFrame(rows, "doc_id long, text string"), tile=32).collect()
-    assert {(r.class_id, r.n_links) for r in got} == {(0, 149)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece in (ngram_join.PIECE, 5000):  # in one piece, and in many
+        got = ngram_join.join_report(docs, tile=32, piece=piece).collect()
+        assert {(r.class_id, r.n_links) for r in got} == {(0, 149)}
+
+
+def test_pieces_of_a_tile_give_what_whole_sets_give():
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 2**64, 300, np.uint64)
+    sets = [np.unique(np.concatenate([base[draw.random(300) < keep], draw.integers(0, 2**64, 5, np.uint64)])) for keep in draw.uniform(0.85, 1, 40)] + [base[:0], base[:1]]
+    forest = ngram_join.Forest()
+    members = [(i % 2, i, 1 + i % 3, forest.sign(s)) for i, s in enumerate(sets)]
+    bounds = [0, *(2**64 * i // 7 for i in range(1, 7)), 2**64]
+    pieces = [[np.array([v for v in s if lo <= int(v) < hi], np.uint64) for s in sets] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    whole = ngram_join.verify(members, [sets], 0, forest.longest, forest)
+    assert whole and ngram_join.verify(members, pieces, 0, forest.longest, forest) == whole
+
+
+def test_memory_of_a_tile_of_long_texts():
+    """1,024 near copies of 20,000 shingles, 160 MB of sets, in the pieces that a join makes of them: under 200 MB."""
+    base = mix(np.arange(20_000, dtype=np.uint64))
+    forest, n = ngram_join.Forest(), 1024
+    signature = forest.sign(base)
+    count = -(-8 * len(base) * n // ngram_join.PIECE)
+    part = np.sort(base) // np.uint64(2**64 // count + 1)
+    ordered = np.sort(base)
+
+    def pieces():
+        for k in range(count):
+            mine = ordered[part == k]
+            yield [np.concatenate([mine, mix(np.arange(i, i + 1, dtype=np.uint64) + np.uint64(10**6 * (k + 1)))]) for i in range(n)]
+
+    tracemalloc.start()
+    found = ngram_join.verify([(0, i, 1, signature) for i in range(n)], pieces(), 0, forest.longest, forest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r[1] for r in found if r[0] is not None} == {n - 1} and peak < 200 << 20, peak
 
 
 def line_key(line: str) -> str:
