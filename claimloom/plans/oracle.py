@@ -225,6 +225,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT * FROM (SELECT goal, doc_id, score, row_number() OVER (PARTITION BY goal ORDER BY score DESC, doc_id) AS rank, scope_words FROM scored) r WHERE rank <= 3""",
     "needle_hits": """SELECT d.doc_id, b.needle, instr(d.text, b.needle) - 1 AS at FROM (SELECT doc_id, lower(text) AS text FROM documents) d
       JOIN (SELECT DISTINCT needle FROM (SELECT unnest(string_split(lower(text), chr(10))) AS needle FROM benchmark) l WHERE length(needle) >= 20) b ON contains(d.text, b.needle)""",
+    "record_files": """SELECT doc_id, lang, length(text) AS text_chars, md5(text) AS text_md5, NULL AS problem, NULL AS rejected FROM documents
+      UNION ALL SELECT NULL, NULL, NULL, NULL, 'no JSON', line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) b WHERE trim(line) <> ''""",
     "slugs": "SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug FROM part",
     "propagated_sums": _on_base("""SELECT e.claim_id, count(*) FILTER (WHERE NOT is_semantic) AS base_edges, count(*) FILTER (WHERE is_semantic) AS carried, count(*) FILTER (WHERE is_semantic AND residual_sq > 0.05) AS contradicting,
       count(DISTINCT ev_paper) FILTER (WHERE residual_sq <= 0.05) AS stature, round(coalesce(sum(residual_sq) FILTER (WHERE is_semantic), 0.0), 6) AS carried_sq FROM scored e GROUP BY e.claim_id"""),

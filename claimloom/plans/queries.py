@@ -17,6 +17,7 @@ from claimloom.plans.living_map import LivingMap
 from claimloom.plans.run_state import Run, SummedRun
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
+from claimloom.sources.record_files import read_records
 from claimloom.sources.scratch import shared_dir
 from claimloom.streaming import totals
 
@@ -204,6 +205,15 @@ def _needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needles.hits(docs, "doc_id", "text", lines, "line").select("doc_id", "needle", "at")
 
 
+def _record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as record files and read back in ranges; lines of the benchmark lie among them and are no records."""
+    top = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").write.json(f"{top}/documents")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").where("text is not null").write.text(f"{top}/benchmark")
+    read = read_records(spark, top, "doc_id long, lang string, text string", size=4 << 20)
+    return read.select("doc_id", "lang", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"), "problem", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": _view(_summary),
     "observable_groups": _view(lambda r: edges.observable_groups(r.map.dimensions).select("observable", *joined("evidence_ids"))),
@@ -260,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_changes": _event_changes,
     "located_goals": _located,
     "needle_hits": _needle_hits,
+    "record_files": _record_files,
     "source_spans": _spans,
     "slugs": _slugs,
     "propagated_sums": _summed(lambda r: r.sums.select("claim_id", *[F.col(c).cast("long").alias(c) for c in ("base_edges", "carried", "contradicting", "stature")], *r6("carried_sq"))),
