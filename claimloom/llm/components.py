@@ -14,6 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: each neighbour that is greater than the node is tied to the least node
     around it, then each lesser one. A node's neighbours are never gathered, only their minimum; the edges are the state,
     written to the shared folder after each round.
+
+    Defined cases: edges without either end, and from a node to itself, are none; repeated and reversed edges are one; no
+    edges give no rows. Other columns are not read.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _mark(now)

@@ -2,7 +2,8 @@
 
 Learning counts, with Spark, the words of labelled documents by language and the character n-grams of those words. Each
 language keeps its own `n_words` most frequent words and `n_grams` most frequent n-grams of each length, so one with few
-documents keeps its share; a key that any language keeps has a log frequency in each. A known word scores by them. An
+documents keeps its share (None keeps all that the sample has); a key that any language keeps has a log frequency in
+each. A known word scores by them. An
 unseen word is scored by its n-grams of the greatest length; each one that is unknown falls back to the mean of the two
 next shorter ones inside it, down to single letters; what is unknown at every length does not count. A run of more than
 64 letters, as texts without spaces have, is no word: all its n-grams count, and it weighs as much as its length over 64
@@ -180,7 +181,7 @@ def _run_at(start: Column) -> Column:
     return F.substring(F.col("run"), start, F.col("length"))
 
 
-def learn(docs: DataFrame, sample: int = 4000, n_words: int = 10_000, n_grams: int = 10_000, longest: int = 4) -> Model:
+def learn(docs: DataFrame, sample: int = 4000, n_words: int | None = 10_000, n_grams: int | None = 10_000, longest: int = 4) -> Model:
     """docs: labelled documents (doc_id, text, lang). Only the bounded tables of the model reach the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -192,8 +193,13 @@ def learn(docs: DataFrame, sample: int = 4000, n_words: int = 10_000, n_grams: i
     every = materialize(counts(drawn, longest), "language-counts")
     totals = {(r.length, r.lang): r.n for r in every.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("length", "lang").orderBy(F.desc("n"), "key"))
-    best = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, n_words).otherwise(n_grams)).select("length", "key").distinct()
-    found = every.join(best, ["length", "key"], "left_semi").select("length", "key", "lang", "n").toArrow()
+    if n_words is not None or n_grams is not None:
+        most = F.when(F.col("length") == 0, F.lit(n_words).cast("long")).otherwise(F.lit(n_grams).cast("long"))
+        best = every.withColumn("rank", rank).where(most.isNull() | (F.col("rank") <= most)).select("length", "key").distinct()
+        kept = every.join(best, ["length", "key"], "left_semi")
+    else:
+        kept = every
+    found = kept.select("length", "key", "lang", "n").toArrow()
     discard(every)
     place = {k: i for i, k in enumerate(languages)}
     lengths, keys, langs, n = (found[c] for c in ("length", "key", "lang", "n"))

@@ -132,3 +132,15 @@ def test_long_runs_count_whole(spark):
     model = langid.Model.of(["x", "y"], {}, [{"a": v(-1, -9), "b": v(-9, -1)}])
     docs = spark.createDataFrame([(1, "a" * 64 + "b" * 3000), (2, "b" * 64 + "a" * 3000), (3, "aaa " * 5 + "b" * 3000)], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {1: "y", 2: "x", 3: "y"}
+
+
+def test_all_keys_of_the_sample_are_kept_on_request(spark):
+    """None keeps every key, as a number beyond all of them does; ten leave some out."""
+    rows = [(i, " ".join(f"{a}{b}{'xyz'[i % 3]}" for a in "abcdefg" for b in "hijkl"), "one" if i % 2 else "two") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every, many, few = (langid.learn(docs, n_words=n, n_grams=n) for n in (None, 10**6, 10))
+    for a, b, c in zip([every.words, *every.grams], [many.words, *many.grams], [few.words, *few.grams], strict=True):
+        assert (np.sort(a.hashes) == np.sort(b.hashes)).all() and len(c.hashes) <= len(a.hashes)
+    assert len(every.words.hashes) == 105 > len(few.words.hashes)
+    mixed = langid.learn(docs, n_words=None, n_grams=10)
+    assert len(mixed.words.hashes) == 105 and len(mixed.grams[1].hashes) < len(every.grams[1].hashes)

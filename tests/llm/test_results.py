@@ -645,3 +645,13 @@ def test_winnowed_repeats(spark, window, gram):
         expected.append((doc_id, len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest()))
     same(substring.remove_repeats(awkward.table(spark), window, gram).collect(), expected)
     assert substring.remove_repeats(awkward.empty(spark)).count() == 0
+
+
+def test_components_of_no_edges_and_of_edges_without_ends(spark):
+    edge = "a long, b long, root long"
+    assert components(spark.createDataFrame([], edge)).count() == 0
+    rows = [(None, 1, 0), (2, None, 0), (None, None, 0), (3, 3, 0)]
+    assert components(spark.createDataFrame(rows, edge)).count() == 0
+    rows += [(5, 4, 0), (4, 5, 0), (5, 4, 1), (5, 9, 0), (-7, 8, 0)]
+    got = components(spark.createDataFrame(rows, edge)).select("node", "root").collect()
+    assert sorted(map(tuple, got)) == [(-7, -7), (4, 4), (5, 4), (8, -7), (9, 4)]
