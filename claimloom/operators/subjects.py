@@ -79,6 +79,23 @@ def with_status(found: DataFrame, related: DataFrame, incoming: list[str]) -> Da
     return rows.withColumn("status", status).withColumn("status_rank", F.when(status == "novel", 0).when(status == "contested", 1).otherwise(2)).drop("alike", "contested")
 
 
+def in_order(status: DataFrame) -> DataFrame:
+    """group_name, place (from 1), idea_id, status: the ideas of each group as they are told, by status, then id.
+
+    Ranked inside each status, after those of the statuses before it (three rows at most for each group).
+    """
+    ahead = Window.partitionBy("group_name").orderBy("status_rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = status.groupBy("group_name", "status_rank").agg(F.count(F.lit(1)).alias("n")).select("group_name", "status_rank", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("group_name", "status_rank").orderBy("idea_id"))
+    placed = status.withColumn("inside", inside).join(before, ["group_name", "status_rank"])
+    return placed.select("group_name", (F.col("inside") + F.col("before")).alias("place"), "idea_id", "status")
+
+
+def scope(found: DataFrame) -> DataFrame:
+    """Where each subject holds: its systems, frameworks and regimes, sorted and joined; empty if no idea of it names any."""
+    return found.select("subject_id", "system", "framework", "regime")
+
+
 def tensions(status: DataFrame, related: DataFrame) -> DataFrame:
     """Contesting pairs once, named from the one that comes first by status, then id."""
     rank = status.select("idea_id", "status_rank", "paper_id")

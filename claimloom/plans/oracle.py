@@ -133,12 +133,34 @@ def _on_base(select: str, more: str = "") -> str:
     return f"WITH {BASE}{',' + more if more else ''} {select}"
 
 
-def _changes() -> str:
-    """The ideas of both versions, each from the same tables: the prior one without the documents of incoming papers."""
-    whole, start = f"{BASE}{IDEAS}", "seen AS ("
+def _prior() -> str:
+    """BASE without the documents of incoming papers; what claims aim at stays."""
+    start = "seen AS ("
     cut = BASE.index("),", BASE.index(start)) + 2
     seen = BASE[:cut].replace(start, "all_seen AS (") + " seen AS (SELECT * FROM all_seen WHERE source NOT IN ('src3', 'src7')),"
-    prior = (seen + BASE[cut:] + IDEAS).replace("AS evidence_id FROM seen GROUP BY lang)", "AS evidence_id FROM all_seen GROUP BY lang)")
+    return (seen + BASE[cut:]).replace("AS evidence_id FROM seen GROUP BY lang)", "AS evidence_id FROM all_seen GROUP BY lang)")
+
+
+#: Files of documents, the paper each is of, and the bare claims of those that are of none.
+_FILES = """,
+file AS (SELECT lower(concat_ws('_', source, lang, CAST(doc_id AS VARCHAR))) AS stem, min(doc_id) AS file_seq FROM documents GROUP BY ALL),
+rule AS (SELECT DISTINCT source FROM documents WHERE source NOT IN ('src3', 'src7')),
+named AS (SELECT stem, min(source) AS paper_id FROM file JOIN rule ON contains(stem, lower(source || '_')) GROUP BY stem),
+of_paper AS (SELECT stem, paper_id FROM named WHERE paper_id IN (SELECT paper_id FROM claim))"""
+
+
+def _claim_history() -> str:
+    """States of claims in both versions, and where they are not those of the version before."""
+    said = "SELECT claim_id, to_out, final_residual, \"lambda\" FROM rewrite WHERE model = 'stature'"
+    return f"""WITH old AS (WITH {_prior()} {said}), new AS (WITH {BASE} {said}),
+      log AS (SELECT claim_id, 0 AS version, 1.0 AS to_out, NULL AS final_residual, NULL AS "lambda" FROM (SELECT DISTINCT source || '_' || lang AS claim_id FROM documents JOIN labels USING (doc_id)) c UNION ALL SELECT claim_id, 1, to_out, final_residual, "lambda" FROM old UNION ALL SELECT claim_id, 2, to_out, final_residual, "lambda" FROM new),
+      told AS (SELECT *, lag(to_out) OVER (PARTITION BY claim_id ORDER BY version) AS from_out FROM log)
+    SELECT claim_id, CAST(version AS BIGINT) AS version, round(CAST(from_out AS DOUBLE), 6) AS from_out, round(CAST(to_out AS DOUBLE), 6) AS to_out, round(CAST(final_residual AS DOUBLE), 6) AS final_residual, round(CAST("lambda" AS DOUBLE), 6) AS "lambda" FROM told WHERE version > 0 AND to_out <> from_out"""
+
+
+def _changes() -> str:
+    """The ideas of both versions, each from the same tables: the prior one without the documents of incoming papers."""
+    whole, prior = f"{BASE}{IDEAS}", f"{_prior()}{IDEAS}"
     pairs = "SELECT r.group_name, a.paper_id AS paper_a, a.claim_ids AS claims_a, b.paper_id AS paper_b, b.claim_ids AS claims_b, r.kind FROM relation r JOIN idea a ON r.idea_a = a.idea_id JOIN idea b ON r.idea_b = b.idea_id WHERE (a.paper_id, a.claim_ids) < (b.paper_id, b.claim_ids)"
     said = "SELECT group_name, paper_id, claim_ids AS claims, status FROM status"
     return f"""WITH old_idea AS (WITH {prior} {said}), new_idea AS (WITH {whole} {said}), old_pair AS (WITH {prior} {pairs}), new_pair AS (WITH {whole} {pairs})
@@ -213,6 +235,14 @@ ORACLE_SQL: dict[str, str] = {
     "accommodated_tensions": _situated("SELECT edge_id, round(sq, 6) AS residual_sq FROM (SELECT s.edge_id, CASE WHEN s.regime_tag = 'in_regime' THEN 1.0 ELSE n.s * n.s END * s.residual * s.residual AS sq FROM spliced s JOIN narrowed n ON s.claim_id = n.claim_id) x WHERE sq > 0.05"),
     "source_spans": r"""SELECT doc_id, trim(regexp_replace(CASE WHEN place >= 0 THEN substring(text, greatest(place - 120, 0) + 1, place + 360 - greatest(place - 120, 0)) ELSE left(text, 360) END, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS span
       FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'des'), 0), nullif(instr(lower(text), 'ung'), 0), nullif(instr(lower(text), 'que'), 0), 0) - 1 AS place FROM documents) d""",
+    "subject_scope": _on_ideas("SELECT s.subject_id, coalesce(string_agg(DISTINCT i.systems, '; ' ORDER BY i.systems), '') AS system, CASE WHEN count(i.idea_id) > 0 THEN 'text' ELSE '' END AS framework, coalesce(min(s.regime), '') AS regime FROM subject s LEFT JOIN idea i ON s.group_name = i.group_name GROUP BY s.subject_id"),
+    "idea_order": _on_ideas("SELECT group_name, row_number() OVER (PARTITION BY group_name ORDER BY CASE status WHEN 'novel' THEN 0 WHEN 'contested' THEN 1 ELSE 2 END, idea_id) AS place, idea_id, status FROM status"),
+    "claim_history": _claim_history(),
+    "seeded_predictions": f"""WITH {_prior()}{_FILES}
+      SELECT c.claim_id, c.paper_id, CAST(p.pred_seq AS BIGINT) AS pred_seq, p.observable, CAST(CASE WHEN p.claim_id IS NULL THEN NULL ELSE (SELECT count(*) FROM target t WHERE t.claim_id = p.claim_id AND t.pred_seq = p.pred_seq) END AS BIGINT) AS targets, round(p.value, 6) AS value, round(c.confidence, 6) AS confidence
+      FROM claim c LEFT JOIN prediction p ON c.claim_id = p.claim_id WHERE c.paper_id IN (SELECT paper_id FROM of_paper)
+      UNION ALL SELECT stem || '_C01', stem, NULL, NULL, NULL, NULL, 0.25 FROM file WHERE stem NOT IN (SELECT stem FROM of_paper)""",
+    "seeded_edges": f"WITH {_prior()}{_FILES} SELECT edge_id, claim_id, evidence_id, observable, regime_tag, round(pred_value, 6) AS pred_value, round(confidence, 6) AS confidence FROM base WHERE claim_paper IN (SELECT paper_id FROM of_paper) AND ev_paper IN (SELECT paper_id FROM of_paper)",
     "asked_as_of": """WITH s AS (SELECT user_id, ts, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
       SELECT q.event_id, q.user_id, s.event_id AS state_event_id, round(s.value, 6) AS state_value FROM (SELECT * FROM events WHERE event_type = 'error') q ASOF LEFT JOIN s ON q.user_id = s.user_id AND q.ts >= s.ts""",
     "event_changes": """SELECT event_id, user_id, event_type, was AS was_event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) e

@@ -14,10 +14,11 @@ from claimloom.functions import needles
 from claimloom.functions import text as T
 from claimloom.operators import cliques, diff, edges, history, locate, optimize, residuals, situate, stance, state, subjects, views
 from claimloom.plans.living_map import LivingMap
-from claimloom.plans.run_state import Run, SummedRun
+from claimloom.plans.run_state import Run, SummedRun, claim_history
 from claimloom.sources import bindings
 from claimloom.sources.model import ClaimMap
 from claimloom.sources.record_files import read_records
+from claimloom.sources.records import extract_map
 from claimloom.sources.scratch import shared_dir
 from claimloom.streaming import totals
 
@@ -214,6 +215,30 @@ def _record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "lang", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"), "problem", "rejected")
 
 
+def _claim_history(r: Run) -> DataFrame:
+    """Two versions of the map: without the incoming papers, then whole."""
+    _LAST.append(Run(r.map.of_papers(r.incoming, keep=False), r.incoming))
+    return claim_history([_LAST[-1], r]).select("claim_id", F.col("version").cast("long").alias("version"), *r6("from_out", "to_out", "final_residual", "lambda"))
+
+
+def _seeded(f: Callable[[ClaimMap], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """All documents as files, named by source, language and number; the papers that are not incoming are seeded."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
+        files = docs.select(F.lower(F.concat_ws("_", "source", "lang", "doc_id")).alias("stem"), F.col("doc_id").alias("file_seq"))
+        rules = docs.where(~F.col("source").isin(INCOMING)).select("source").distinct().select(F.concat("source", F.lit("_")).alias("pattern"), F.col("source").alias("paper_id"), F.lit(0).alias("priority"))
+        return f(extract_map(files, bindings.labelled_documents(spark, sf_dir).of_papers(INCOMING, keep=False), rules))
+
+    return query
+
+
+def _seeded_predictions(m: ClaimMap) -> DataFrame:
+    said = m.predictions.select("claim_id", F.col("pred_seq").cast("long").alias("pred_seq"), "observable", "value", F.greatest(F.coalesce(F.size("evidence_ids"), F.lit(0)), F.lit(0)).cast("long").alias("targets"))
+    rows = m.claims.join(said, "claim_id", "left")
+    return rows.select("claim_id", "paper_id", "pred_seq", "observable", "targets", *r6("value", "confidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": _view(_summary),
     "observable_groups": _view(lambda r: edges.observable_groups(r.map.dimensions).select("observable", *joined("evidence_ids"))),
@@ -266,6 +291,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contradictors": _view(lambda r: situate.contradictors(*_situated(r)).select("evidence_id", "claim_id", "claim_paper", "residual")),
     "finding_verdicts": _view(lambda r: situate.verdicts(*_situated(r)).select("evidence_id", F.col("independent_papers").cast("long").alias("independent_papers"), "verdict", *joined("leans_on"))),
     "accommodated_tensions": _view(lambda r: situate.accommodation(_situated(r)[0])[1].select("edge_id", *r6("residual_sq"))),
+    "subject_scope": _view(lambda r: subjects.scope(r.subjects)),
+    "idea_order": _view(lambda r: subjects.in_order(r.status).select("group_name", F.col("place").cast("long").alias("place"), "idea_id", "status")),
+    "claim_history": _view(_claim_history),
+    "seeded_predictions": _seeded(_seeded_predictions),
+    "seeded_edges": _seeded(lambda m: edges.prediction_edges(m).select("edge_id", "claim_id", "evidence_id", "observable", "regime_tag", *r6("pred_value", "confidence"))),
     "asked_as_of": _asked,
     "event_changes": _event_changes,
     "located_goals": _located,

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from claimloom import constants as K
-from claimloom.operators import edges, optimize, propagation, residuals, state, subjects, views
+from claimloom.operators import edges, history, optimize, propagation, residuals, state, subjects, views
 from claimloom.sources.model import ClaimMap
 from claimloom.sources.scratch import settle
 
@@ -83,6 +84,23 @@ class SummedRun:
         return state.hygiene_of_sums(self.map, self.sums)
 
 
+def claim_history(versions: list[Run]) -> DataFrame:
+    """claim_id, version (from 1), from_in, from_out, to_in, to_out, final_residual, lambda: how claims' states changed from version to version.
+
+    versions: a map as it changed. Claims start from the initial states of their first version; a version that has no edge of a claim, or leaves its
+    state, has no row for it.
+    """
+    begun = told = None
+    for n, run in enumerate(versions, 1):
+        claims = run.map.claims.select("claim_id", F.struct(F.lit(n).alias("version"), "init_in", "init_out").alias("init"))
+        states = run.best.select("claim_id", F.lit(n).alias("version"), "to_in", "to_out", "final_residual", "lambda")
+        begun, told = (claims, states) if begun is None else (begun.unionByName(claims), told.unionByName(states))
+    start = begun.groupBy("claim_id").agg(F.min("init").alias("init")).select("claim_id", F.lit(0).alias("version"), F.col("init.init_in").alias("to_in"), F.col("init.init_out").alias("to_out"))
+    log = start.unionByName(told, allowMissingColumns=True)
+    changed = history.changes(log, "claim_id", "version", "version", ["to_in", "to_out"]).where("version > 0")
+    return changed.select("claim_id", "version", F.col("was_to_in").alias("from_in"), F.col("was_to_out").alias("from_out"), "to_in", "to_out", "final_residual", "lambda")
+
+
 def state_tables(r: Run) -> dict[str, DataFrame]:
     """What a run leaves behind, a table each."""
     hygiene = state.hygiene(r.map, r.full)
@@ -90,6 +108,7 @@ def state_tables(r: Run) -> dict[str, DataFrame]:
     return {
         "summary": state.summary(r.map, r.full, r.final, optimize.operations(r.best)),
         "objective": r.map.claims.sparkSession.createDataFrame(settings, "lambda_claim double, lambda_base double, alpha double, incoming_discount double, context_fill_distance double, incoming string"),
+        "claim_vertices": r.map.claims.select("claim_id", "claim_seq"), "evidence_vertices": r.map.evidence.select("evidence_id", "ev_seq"), "idea_order": subjects.in_order(r.status),
         "observable_groups": edges.observable_groups(r.map.dimensions),
         "edges": r.final, "initial_residuals": r.full.select("edge_id", "group_name", "strength", "predicted", "residual", "residual_sq"),
         "operations": optimize.operations(r.best), "tensions": state.remaining_tensions(r.final),

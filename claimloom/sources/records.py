@@ -75,16 +75,40 @@ def scan_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFra
     return files.select("path", F.replace(F.lower(stem), F.lit(" "), F.lit("_")).alias("stem"), (F.row_number().over(Window.orderBy("path")) - 1).alias("file_seq"))
 
 
+def _named(stems: DataFrame, rules: DataFrame) -> DataFrame:
+    """stem, paper_id: the paper that the rules give to each stem, if any."""
+    patterns = rules.withColumn("needle", F.lower("pattern"))
+    hit = hits(stems.select("stem").distinct(), "stem", "stem", patterns, "needle").join(patterns, "needle")
+    rank = F.struct((F.col("stem") != F.col("pattern")).alias("inexact"), "priority", "paper_id")
+    return hit.where("paper_id is not null").groupBy("stem").agg(F.min(rank).alias("r")).select("stem", "r.paper_id")
+
+
 def extract(stems: DataFrame, seeds: ClaimMap, rules: DataFrame) -> DataFrame:
     """stem, paper_id, claim_id, confidence: the seeded claims of each document, or one bare claim for an unknown one.
 
     rules: pattern, paper_id, priority. An exact stem comes before a substring, then the least priority. An empty pattern
     matches nothing. All patterns are looked for in one reading of a stem.
     """
-    patterns = rules.withColumn("needle", F.lower("pattern"))
-    hit = hits(stems.select("stem").distinct(), "stem", "stem", patterns, "needle").join(patterns, "needle")
-    rank = F.struct((F.col("stem") != F.col("pattern")).alias("inexact"), "priority", "paper_id")
-    chosen = hit.where("paper_id is not null").groupBy("stem").agg(F.min(rank).alias("r")).select("stem", "r.paper_id")
-    known = chosen.join(seeds.claims.select("paper_id", "claim_id", "confidence"), "paper_id").select("stem", "paper_id", "claim_id", "confidence")
+    known = _named(stems, rules).join(seeds.claims.select("paper_id", "claim_id", "confidence"), "paper_id").select("stem", "paper_id", "claim_id", "confidence")
     unknown = stems.join(known.select("stem").distinct(), "stem", "left_anti").select("stem", F.col("stem").alias("paper_id"), F.concat("stem", F.lit("_C01")).alias("claim_id"), F.lit(0.25).alias("confidence"))
     return known.unionByName(unknown)
+
+
+def extract_map(files: DataFrame, seeds: ClaimMap, rules: DataFrame) -> ClaimMap:
+    """The map that files tell (stem, file_seq): all seeded records of the papers that they are of, and a bare claim for each other stem.
+
+    Papers are found as in extract(). A paper with several files comes once, with its claims, predictions and evidence; one
+    without seeded claims counts as unknown. A bare claim has its stem as paper and label, no scope, no predictions, a
+    confidence of 0.25, and comes after all seeded claims, by the stem's first file. Files without a stem tell nothing.
+    """
+    first = files.where("stem <> ''").groupBy("stem").agg(F.min("file_seq").alias("file_seq"))
+    known = _named(first, rules).join(seeds.claims.select("paper_id").distinct(), "paper_id", "left_semi")
+    papers = known.select("paper_id").distinct()
+    told, observed = (df.join(papers, "paper_id", "left_semi") for df in (seeds.claims, seeds.evidence))
+    after = seeds.claims.agg(F.coalesce(F.max("claim_seq") + 1, F.lit(0)).alias("__after"))  # one row
+    bare = first.join(known, "stem", "left_anti").crossJoin(F.broadcast(after)).select(
+        F.concat("stem", F.lit("_C01")).alias("claim_id"), F.col("stem").alias("paper_id"), F.col("stem").alias("label"), (F.col("__after") + F.col("file_seq")).alias("claim_seq"), F.lit("").alias("system"), F.lit("").alias("framework"),
+        F.array().cast("array<string>").alias("keywords"), *[F.lit(1.0).alias(c) for c in ("init_in", "init_out", "final_in", "final_out")], F.lit(0.25).alias("confidence"))
+    return ClaimMap(
+        told.select(*bare.columns).unionByName(bare), seeds.predictions.join(told.select("claim_id"), "claim_id", "left_semi"), observed,
+        seeds.dimensions.join(observed.select("evidence_id"), "evidence_id", "left_semi"), seeds.members)

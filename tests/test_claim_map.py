@@ -241,6 +241,21 @@ def test_extract_and_scan(spark, tmp_path):
     assert got == {("known_paper", "k1", 0.9), ("known_paper", "k2", 0.9), ("other_eigen", "other_eigen_C01", 0.25)}
 
 
+def test_seeded_records_of_files(spark):
+    seeds = make(spark, [("a1", "A", ["x"]), ("b1", "B", []), ("b2", "B", [])], [("a1", "o", 1, ["e1"], "in_regime"), ("b2", "o", 0, ["e2"], None)], [("e1", "A", "o", 1), ("e2", "B", "o", 0), ("e3", "C", "o", 0)], [("g", "e1")])
+    rules = spark.createDataFrame([("alpha", "A", 1), ("beta", "B", 1), ("gamma", "C", 1)], "pattern string, paper_id string, priority int")
+    files = spark.createDataFrame([("beta_one", 0), ("new", 5), ("beta_two", 2), ("new", 3), ("gamma", 4), (None, 6), ("", 7)], "stem string, file_seq int")
+    m = records.extract_map(files, seeds, rules)
+    got = sorted((r.claim_id, r.paper_id, r.claim_seq, r.confidence, r.keywords) for r in m.claims.collect())
+    assert got == [("b1", "B", 1, 0.9, []), ("b2", "B", 2, 0.9, []), ("gamma_C01", "gamma", 7, 0.25, []), ("new_C01", "new", 6, 0.25, [])]
+    assert [r.claim_id for r in m.predictions.collect()] == ["b2"] and [r.evidence_id for r in m.evidence.collect()] == ["e2"]
+    assert [r.edge_id for r in edges.prediction_edges(m).collect()] == ["b2__e2"]
+    none = records.extract_map(files.limit(0), seeds, rules)
+    assert none.claims.count() == none.evidence.count() == 0
+    alone = records.extract_map(files, make(spark), rules.limit(0))
+    assert sorted((r.claim_id, r.claim_seq) for r in alone.claims.collect()) == [("beta_one_C01", 0), ("beta_two_C01", 2), ("gamma_C01", 4), ("new_C01", 3)]
+
+
 def test_result_does_not_depend_on_row_order(spark):
     args = ([("a", "p", []), ("b", "q", [])], [("a", "x", 1, ["e", "f"], None), ("b", "x", 0, ["f"], None), ("a", "x", 0.4, ["f"], None)], [("e", "p", "x", 1), ("f", "q", "x", 0)], [("g", "e"), ("g", "f")])
     m = make(spark, *args)

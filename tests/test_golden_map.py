@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import edges, optimize, residuals, state, subjects
-from claimloom.plans.run_state import Run, state_tables
+from claimloom.plans.run_state import Run, claim_history, state_tables
 from claimloom.sources import records, sinks
 
 #: Paper and observed value of each evidence; paper and predictions (evidence, value, in its regime) of each claim; groups.
@@ -75,6 +75,26 @@ def test_the_map_without_the_new_paper(run):
     assert {r.group_name: r.established for r in prior.subjects.collect()}["m1"] == 7
 
 
+def test_history_of_claims_over_two_versions(run):
+    """Nothing is rewritten before the new paper comes; a third version that is the second again changes nothing."""
+    prior = Run(run.map.of_papers([NEW], keep=False), [])
+    got = {(r.claim_id, r.version, r.from_out, r.to_out, r.final_residual) for r in claim_history([prior, run, run]).collect()}
+    assert got == {(c, 2, 1.0, 0.0, 0.0) for c in ("c03", "c06", "c08", "c09")}
+    back = {(r.claim_id, r.version, r.from_out, r.to_out) for r in claim_history([run, prior]).collect()}
+    assert back == {(c, 1, 1.0, 0.0) for c in ("c03", "c06", "c08", "c09")}
+    prior.release()
+
+
+def test_ideas_in_order_and_scope(run):
+    status = run.status.persist()
+    told = sorted(subjects.in_order(status).collect(), key=lambda r: (r.group_name, r.place))
+    want = sorted(status.collect(), key=lambda r: (r.group_name, r.status_rank, r.idea_id))
+    assert [r.idea_id for r in told] == [r.idea_id for r in want]
+    assert {g: max(r.place for r in told if r.group_name == g) for g in GROUPS} == {g: sum(r.group_name == g for r in want) for g in GROUPS}
+    status.unpersist()
+    assert {(r.system, r.framework, r.regime) for r in subjects.scope(run.subjects).collect()} == {("s", "", "")}
+
+
 def test_flat_costs_on_base_edges(run):
     base = residuals.wired(run.map, edges.prediction_edges(run.map))
     assert round(residuals.total(residuals.scored(base)).collect()[0].residual_total, 9) == 3.0
@@ -91,4 +111,4 @@ def test_the_state_of_a_run_is_written_once(run, spark, tmp_path):
     (tmp_path / "out/notes").mkdir()
     sinks.write_run({n: tables[n] for n in ("summary", "operations")}, f"{tmp_path}/out", force=True)
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"summary", "operations", "notes"}  # what Spark has not written stays
-    assert {"edges", "tensions", "claims", "evidence", "papers", "hygiene", "subjects", "ideas", "relations", "next_steps", "open_questions"} <= set(state_tables(run))
+    assert {"claim_vertices", "evidence_vertices", "idea_order", "edges", "tensions", "claims", "evidence", "papers", "hygiene", "subjects", "ideas", "relations", "next_steps", "open_questions"} <= set(state_tables(run))
