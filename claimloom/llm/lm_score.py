@@ -7,13 +7,19 @@ own (`leave_out`); with leave_out=False they include it, and then no n-gram of t
 
 Documents are exploded to rows, one for each distinct n-gram of a text with the number of its occurrences there. Rows are
 partitioned by the n-gram's hash: grouped, they are the count tables; joined back to these, they bring each text the
-counts that others give it; collected by text, they are summed to its score. A text sends an n-gram once, however often
-it has it, so the most common word has one row for each document at most. Its rows go to one task, where they stream
-through the sum and the join and are never held.
+counts that others give it. A text sends an n-gram once, however often it has it, so the most common word has one row for
+each document at most. Its rows go to one task, where they stream through the sum and the join and are never held.
 
-The corpus is done in `passes`, each over all documents and one part of the hash space, and texts are scored in as many
+The sum is a sum of rows. If others hold an n-gram they hold its parts, so a score telescopes: each n-gram found replaces
+the shorter one that ends with it, which gives, for every occurrence,
+    log count(whole) - log count(without its last word) - log count(without its first) + log count(without both),
+where the count of no word at all is the number of words. A row therefore adds its occurrences to its own n-gram, takes
+them from its two parts and gives them to its middle; rows know these by their first places in the text. Added up by text
+and n-gram these are the weights of the n-grams' logarithms, and added up by text the score. No list of a text is made.
+
+The corpus is done in `passes`, each over all documents and one part of the hash space, and texts are summed in as many
 parts: scratch space falls with their number and texts are read as often, results are the same. Words are 64-bit hashes
-of their bytes, between ASCII white space.
+of their bytes, between ASCII white space. Rows of a text go by its doc_id and the hash of the text.
 
 Defined cases: a null text has no word; a text without words has n_words 0 and scores 0.0; repeated rows, also of the
 same doc_id, count and are scored each; a null doc_id is kept. An empty table gives an empty table. Other columns are not
@@ -22,115 +28,117 @@ read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import discard, materialize, mix, rolling, slices, texts, word_hashes
+from claimloom.llm.common import MAX_ID, discard, materialize, mix, rolling, slices, texts, word_hashes
 
 BASE = 0x9E3779B97F4A7C55
-GRAMS = "row_key long, gram long, at int, own int"
-SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
+KEY = ["order_id", "text_key"]
+GRAMS = "order_id long, text_key long, gram long, at int, own int, head int, tail int, middle int"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(MAX_ID)).alias("order_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def first_places(gram: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each n-gram within its text's, and the first place of each number. text: that of each place."""
+    number, kinds = pd.factorize(mix(gram + mix(text.astype(np.uint64))))
+    first = np.empty(len(kinds), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)  # the first place is written last
+    return number, first
 
 
 def grams(docs: DataFrame, order: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """row_key, gram, at, own: the distinct n-grams of each text up to the order, in one part of the hash space.
+    """The distinct n-grams of each text up to the order, in one part of the hash space; own is how often the text has it.
 
-    at tells the n-gram by its first place and order, as place * order + (n - 1); own is how often the text has it.
+    at tells an n-gram by its first place and order, as place * order + (n - 1). head, tail and middle tell in the same way
+    those without the last word, without the first and without both, or are -1 where no word is left.
     """
 
     def explode(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
                 words, text = word_hashes(some["text"].to_pylist())
-                first = np.searchsorted(text, np.arange(some.num_rows))
-                out = []
+                start = np.searchsorted(text, np.arange(some.num_rows))
+                out, known = [], []
+
+                def code(n: int, place: np.ndarray, of: np.ndarray, known: list = known, start: np.ndarray = start) -> np.ndarray:
+                    if n < 1:
+                        return np.full(len(place), -1)
+                    return (known[n - 1][place] - start[of]) * order + n - 1
+
                 for n in range(1, order + 1):
                     gram = rolling(words, n, BASE + n - 1)
                     where = np.flatnonzero((text[: len(gram)] == text[n - 1 :]) & ((gram >> np.uint64(33)) % np.uint64(parts) == np.uint64(part)))
-                    gram, of = gram[where], text[where]
-                    _, at, times = np.unique(mix(gram + mix(of.astype(np.uint64))), return_index=True, return_counts=True)
-                    out.append((of[at], gram[at], (where[at] - first[of[at]]) * order + n - 1, times))
-                of, gram, at, times = (np.concatenate(c) for c in zip(*out, strict=True))
-                keys = some["row_key"].to_numpy()[of]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(gram.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(times.astype(np.int32))], ["row_key", "gram", "at", "own"])
+                    number, first = first_places(gram[where], text[where])
+                    place = where[first]  # in the part, the first of its kind is the first of all
+                    of = text[place]
+                    out.append((of, gram[place], (place - start[of]) * order + n - 1, np.bincount(number, minlength=len(first)), code(n - 1, place, of), code(n - 1, place + 1, of), code(n - 2, place + 1, of)))
+                    if n < order:
+                        number, first = first_places(gram, text[: len(gram)])
+                        known.append(first[number])
+                of, gram, *numbers = (np.concatenate(c) for c in zip(*out, strict=True))
+                keys = [pa.array(some[k].to_numpy()[of]) for k in KEY]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(gram.view(np.int64)), *(pa.array(c.astype(np.int32)) for c in numbers)], [f.split()[0] for f in GRAMS.split(", ")])
 
-    return _keyed(docs).select("row_key", "text").mapInArrow(explode, GRAMS)
+    return _keyed(docs).select(*KEY, "text").mapInArrow(explode, GRAMS)
 
 
 def counted(docs: DataFrame, order: int, leave_out: bool, part: int, parts: int) -> DataFrame:
-    """row_key, at, times: for each text the n-grams that the corpus (less the text) holds, and how often, as two lists."""
+    """The rows of grams() that the corpus (less the text) holds, and how often: times in place of gram."""
     # one shuffle, read twice: the count table's columns and filters are those of the rows, so that Spark finds it is the same
     rows = grams(docs, order, part, parts).where("gram is not null and own is not null").repartition("gram")
-    table = rows.groupBy("gram").agg(F.sum("own").alias("times"), F.count("row_key").alias("texts"), F.count("at").alias("places"))
+    used = [F.count(c) for c in (*KEY, "at", "head", "tail", "middle")]
+    table = rows.groupBy("gram").agg(F.sum("own").alias("times"), F.least(*used).alias("texts"))
     # a gram of one text alone has nothing to tell it
-    table = table.where(f"texts >= {2 if leave_out else 1} and places >= 1").select("gram", "times")
-    found = rows.join(table, "gram").select("row_key", "at", (F.col("times") - (F.col("own") if leave_out else 0)).alias("times")).where("times > 0")
-    return found.groupBy("row_key").agg(F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
-
-
-def log_score(text: str, codes: np.ndarray, times: np.ndarray, order: int, alpha: float, total: int, leave_out: bool) -> tuple[int, float]:
-    """Number of words and sum of their log scores. codes, times: what the corpus has of the text's n-grams."""
-    words, _ = word_hashes([text])
-    if not len(words):
-        return 0, 0.0
-    by_code = np.argsort(codes)
-    codes, times = codes[by_code], times[by_code]
-    counts = []
-    for n in range(1, order + 1):
-        _, at, inverse = np.unique(rolling(words, n, BASE + n - 1), return_index=True, return_inverse=True)
-        code = at * order + n - 1
-        place = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-        found = np.where(codes[place] == code, times[place], 0) if len(codes) else np.zeros(len(code), np.int64)
-        ends = np.zeros(len(words), np.int64)  # of the n-gram that ends at each word
-        ends[n - 1 :] = found[inverse]
-        counts.append(ends)
-    score = np.log(np.maximum(counts[0], 1) / max(total - (len(words) if leave_out else 0), 1))
-    used = np.ones(len(words), np.int64)
-    for n in range(2, order + 1):
-        seen = np.flatnonzero(counts[n - 1])
-        score[seen] = np.log(counts[n - 1][seen] / counts[n - 2][seen - 1])
-        used[seen] = n
-    top = np.minimum(np.arange(len(words)) + 1, order)
-    return len(words), float((score + (top - used) * np.log(alpha)).sum())
+    table = table.where(f"texts >= {2 if leave_out else 1}").select("gram", "times")
+    found = rows.join(table, "gram").withColumn("times", F.col("times") - (F.col("own") if leave_out else 0))
+    return found.where("times > 0").select(*KEY, "at", "own", "times", "head", "tail", "middle")
+
+
+def summed(found: DataFrame, order: int) -> DataFrame:
+    """For each text: log_sum, the weighted logarithms of its n-grams' counts; twos and longer, its occurrences of found n-grams of two words, and of each further word.
+
+    Rows of texts that occur several times under one doc_id come several times, and count once.
+    """
+    n, none = F.pmod("at", F.lit(order)) + 1, F.lit(0)
+    own, null = F.col("own").cast("long"), F.lit(None).cast("long")
+    whole = F.struct(F.col("at").alias("at"), own.alias("weight"), F.col("times").cast("long").alias("times"), F.lit(1).alias("rows"), F.when(n == 2, own).otherwise(none).alias("twos"), F.when(n >= 2, own).otherwise(none).alias("longer"))
+    parts = [F.struct(F.col(c).alias("at"), w.alias("weight"), null.alias("times"), none.alias("rows"), none.cast("long").alias("twos"), none.cast("long").alias("longer")) for c, w in (("head", -own), ("tail", -own), ("middle", own))]
+    sent = found.repartition(*KEY).select(*KEY, F.inline(F.array(whole, *parts))).where("at >= 0")
+    each = sent.groupBy(*KEY, "at").agg(F.sum("weight").alias("weight"), F.max("times").alias("times"), F.sum("rows").alias("rows"), F.sum("twos").alias("twos"), F.sum("longer").alias("longer"))
+    return each.groupBy(*KEY).agg(
+        F.sum(F.col("weight") / F.col("rows") * F.log("times")).alias("log_sum"), F.sum(F.col("twos") / F.col("rows")).alias("twos"), F.sum(F.col("longer") / F.col("rows")).alias("longer"))
 
 
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool = True, passes: int = 8) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of each row."""
-    found = [materialize(counted(docs, order, leave_out, i, passes), f"lm-counts-{i}") for i in range(passes)]
+    lengths = materialize(_keyed(docs).select("doc_id", *KEY, F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words")), "lm-lengths")
+    total = lengths.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    found = [materialize(counted(docs, order, leave_out, i, passes).withColumn("slice", F.pmod("text_key", F.lit(passes)).cast("int")), f"lm-counts-{i}", "slice") for i in range(passes)]
     told = found[0]
     for more in found[1:]:
         told = told.unionByName(more)
-    gap = r"[^\x20\x09-\x0D]+"
-    total = texts(docs).agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(gap))), F.lit(0))).first()[0]
-
-    def finish(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.int64)
-        for batch in batches:
-            for some in slices(batch, "text"):
-                sums = []
-                for text, at, times in zip(some["text"].to_pylist(), some["at"], some["times"], strict=True):
-                    lists = (np.concatenate([x.values.to_numpy() for x in c]) if c.is_valid else none for c in (at, times))
-                    sums.append(log_score(text, *lists, order, alpha, total, leave_out))
-                n, s = np.array([x[0] for x in sums], np.int64), np.array([x[1] for x in sums])
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
-
-    done = []
-    for i in range(passes):
-        own = F.pmod("row_key", F.lit(passes)) == i
-        lists = told.where(own).groupBy("row_key").agg(F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
-        joined = _keyed(docs).where(own).join(lists, "row_key", "left").select("doc_id", "text", "at", "times")
-        done.append(materialize(joined.mapInArrow(finish, SCORES), f"lm-scores-{i}"))
+    sums = [materialize(summed(told.where(F.col("slice") == i), order), f"lm-sums-{i}") for i in range(passes)]
     for table in found:
         discard(table)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    by_text = sums[0]
+    for more in sums[1:]:
+        by_text = by_text.unionByName(more)
+
+    rows = lengths.join(by_text, KEY, "left").fillna(0.0, ["log_sum", "twos", "longer"])
+    words = F.col("n_words")
+    near = F.least(words, F.lit(order - 1))  # words with fewer than order - 1 before them
+    given_up = near * (near + 1) / 2 + order * (words - near) - words - F.col("longer")
+    others = F.greatest(F.lit(total) - (words if leave_out else F.lit(0)), F.lit(1))
+    log_score = F.col("log_sum") - (words - F.col("twos")) * F.log(others) + F.lit(math.log(alpha)) * given_up
+    return rows.select("doc_id", "n_words", log_score.alias("log_score")).withColumn("mean_log_score", F.col("log_score") / F.greatest("n_words", F.lit(1)))
