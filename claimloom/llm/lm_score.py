@@ -116,7 +116,8 @@ def summed(found: DataFrame, order: int) -> DataFrame:
     parts = [F.struct(F.col(c).alias("at"), w.alias("weight"), null.alias("times"), none.alias("rows"), none.cast("long").alias("twos"), none.cast("long").alias("longer")) for c, w in (("head", -own), ("tail", -own), ("middle", own))]
     sent = found.repartition(*KEY).select(*KEY, F.inline(F.array(whole, *parts))).where("at >= 0")
     each = sent.groupBy(*KEY, "at").agg(F.sum("weight").alias("weight"), F.max("times").alias("times"), F.sum("rows").alias("rows"), F.sum("twos").alias("twos"), F.sum("longer").alias("longer"))
-    return each.groupBy(*KEY).agg(
+    # without rows: a part of an n-gram found by mistake, as another's hash is the same; it counts as one occurrence
+    return each.where("rows > 0").groupBy(*KEY).agg(
         F.sum(F.col("weight") / F.col("rows") * F.log("times")).alias("log_sum"), F.sum(F.col("twos") / F.col("rows")).alias("twos"), F.sum(F.col("longer") / F.col("rows")).alias("longer"))
 
 

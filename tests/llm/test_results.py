@@ -592,6 +592,22 @@ def test_stupid_backoff(spark, order, leave_out):
     same([(r.doc_id, r.n_words, round(r.log_score, 5)) for r in got], plain_scores(order, leave_out))
 
 
+def test_stupid_backoff_rows(spark):
+    """Parts and first places against plain n-grams; repeated rows count once, and parts that are not found weigh nothing."""
+    text = "a b a b c a b"
+    docs = spark.createDataFrame([(1, text), (2, "a b"), (2, "a b")], "doc_id long, text string")
+    rows = [r for part in range(3) for r in lm_score.grams(docs, 3, part, 3).where("order_id = 1").collect()]
+    words, first, want = text.split(), {}, Counter()
+    for n in (1, 2, 3):
+        for i in range(len(words) - n + 1):
+            first.setdefault(tuple(words[i : i + n]), i * 3 + n - 1)
+            want[tuple(words[i : i + n])] += 1
+    same([(r.at, r.own, r.head, r.tail, r.middle) for r in rows], [(first[g], k, first.get(g[:-1], -1), first.get(g[1:], -1), first.get(g[1:-1], -1)) for g, k in want.items()])
+    found = spark.createDataFrame([(1, 7, 1, 2, 3, 0, 3, -1), (1, 7, 0, 3, 5, -1, -1, -1), (1, 7, 0, 3, 5, -1, -1, -1)], "order_id long, text_key long, at int, own int, times int, head int, tail int, middle int")
+    got = lm_score.summed(found, 3).collect()
+    same([(r.order_id, round(r.log_sum, 9), r.twos, r.longer) for r in got], [(1, round(2 * math.log(3) + (6 - 2) / 2 * math.log(5), 9), 2.0, 2.0)])
+
+
 def test_stupid_backoff_query(spark, tmp_path):
     from claimloom.llm.queries import QUERIES
 
