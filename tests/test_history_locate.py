@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from claimloom.functions.needles import hits
@@ -74,6 +75,29 @@ def test_pruned_index_gives_what_scoring_everything_gives(spark, probes):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_only_the_best_of_a_block_become_rows(spark):
+    """300 subjects of 3 blocks and 50 goals share three words: a goal gets k rows from each block, not one for each subject."""
+    index = spark.createDataFrame([(p, i, f"b{i % 3}", (7 * i + p) % 5 + 1) for i in range(300) for p in range(3)], "place long, subject long, block string, weight long")
+    chosen = spark.createDataFrame([(f"g{i}", f"b{b}", [*range(i % 3 + 1)]) for i in range(50) for b in range(3)], "goal string, block string, words array<long>")
+    got = locate._scores(index, chosen, 2).collect()
+    want = []
+    for i in range(50):
+        for b in range(3):
+            scores = {s: sum((7 * s + p) % 5 + 1 for p in range(i % 3 + 1)) for s in range(b, 300, 3)}
+            want += [(f"g{i}", s, -n) for n, s in sorted((-n, s) for s, n in scores.items())[:2]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize(("cells", "k"), [(1, 1), (9, 2), (1 << 20, 5)])
+def test_goals_meet_a_block_in_slices(monkeypatch, cells, k):
+    monkeypatch.setattr(locate._Block, "CELLS", cells)
+    postings = pa.RecordBatch.from_pylist([{"place": p, "subject": s, "weight": w} for p, s, w in [(4, 9, 2), (4, 3, 2), (6, 9, 1), (8, 5, 3), (6, 3, 1)]])
+    goals = pa.RecordBatch.from_pylist([{"words": w} for w in ([4], [8, 6], [4, 6, 8], [6])])
+    got = [(int(g), int(s), int(n)) for found in locate._Block([postings]).best(goals, k) for g, s, n in zip(*found, strict=True)]
+    want = [(0, 3, 2), (0, 9, 2), (1, 5, 3), (1, 3, 1), (1, 9, 1), (2, 3, 3), (2, 5, 3), (2, 9, 3), (3, 3, 1), (3, 9, 1)]
+    assert sorted(got) == sorted(r for g in range(4) for r in [r for r in want if r[0] == g][:k])
+
+
 def test_rarer_and_repeated_words_weigh_more(spark):
     scopes = spark.createDataFrame([(1, "b", "rare rare all"), (2, "b", "half all"), (3, "b", "half all"), (4, "b", "rare2 all")], "subject long, block string, text string")
     weights = {(r.word, r.subject): r.weight for r in locate.postings(locate.words(scopes, "text", "subject", "block"), 4).collect()}
