@@ -21,31 +21,44 @@ def regime(explicit: Column, same_paper: Column, keywords: Column, haystack: Col
     return F.coalesce(F.nullif(explicit, F.lit("")), F.when(same_paper | named, F.lit(IN)).otherwise(F.lit(OUT)))
 
 
-def prediction_edges(m: ClaimMap) -> DataFrame:
-    """Predictions joined to evidence by observable, restricted to explicit targets where there are any.
+BASE = ["edge_id", "claim_id", "evidence_id", "observable", "pred_value", "scale", "regime_tag", "confidence", "group_name", "home_evidence", "is_semantic", "claim_seq", "pred_seq", "ev_seq"]
 
-    Of several for one claim and evidence the first wins, by prediction, then evidence order.
+
+def wired_predictions(m: ClaimMap) -> DataFrame:
+    """prediction_edges() with the actual value, both papers and the claim's states, as residuals.wired() adds them.
+
+    Claims join their predictions before targets are exploded, and evidence its dimensions before these meet: edges
+    move twice, to their evidence and to the choice of the first.
     """
-    c, d, e = m.claims.alias("c"), m.dimensions.alias("d"), m.evidence.alias("e")
-    said = ["claim_id", "pred_seq", "observable", "value", "scale", "regime_tag"]
     open_ = F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0
+    claim = m.claims.select("claim_id", F.col("paper_id").alias("claim_paper"), "keywords", F.col("confidence").alias("c_confidence"), "claim_seq", "init_in", "init_out", "final_in", "final_out")
+    said = m.predictions.select("claim_id", "pred_seq", "observable", F.col("value").alias("pred_value"), "scale", F.col("regime_tag").alias("explicit"), "evidence_ids").join(claim, "claim_id")
+    haystack = F.lower(F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in ("paper_id", "label", "system", "framework", "regime")]))
+    evidence = m.evidence.select("evidence_id", F.col("paper_id").alias("ev_paper"), haystack.alias("haystack"), F.col("confidence").alias("e_confidence"), "ev_seq")
+    actual = m.dimensions.groupBy("evidence_id", "name").agg(F.min_by("value", "dim_seq").alias("actual"), F.min("dim_seq").alias("dim_seq"))
+    seen = actual.join(evidence, "evidence_id")
     # targets are rows: they meet their own evidence only, not all of their observable
-    aimed = m.predictions.where(~open_).select(*said, F.explode(F.array_distinct("evidence_ids")).alias("target"))
-    anywhere = m.predictions.where(open_).select(*said, F.lit(None).cast("string").alias("target"))
-    same = F.col("p.observable") == F.col("d.name")
-    seen = ["d.evidence_id", "d.dim_seq"]
-    met = aimed.alias("p").join(d, same & (F.col("p.target") == F.col("d.evidence_id"))).select("p.*", *seen).unionByName(anywhere.alias("p").join(d, same).select("p.*", *seen)).alias("p")
-    haystack = F.lower(F.concat_ws(" ", *[F.coalesce(f"e.{x}", F.lit("")) for x in ("paper_id", "label", "system", "framework", "regime")]))
-    joined = met.join(e, F.col("e.evidence_id") == F.col("p.evidence_id")).join(c, F.col("c.claim_id") == F.col("p.claim_id"))
-    rows = joined.select(
-        F.concat("c.claim_id", F.lit("__"), "e.evidence_id").alias("edge_id"), "c.claim_id", "e.evidence_id", F.col("p.observable").alias("observable"),
-        F.col("p.value").alias("pred_value"), F.coalesce("p.scale", F.lit("normalized_binary")).alias("scale"),
-        regime(F.col("p.regime_tag"), F.col("c.paper_id") == F.col("e.paper_id"), F.col("c.keywords"), haystack).alias("regime_tag"),
-        F.least(F.coalesce("c.confidence", F.lit(0.5)), F.coalesce("e.confidence", F.lit(0.5))).alias("confidence"),
-        F.lit(None).cast("string").alias("group_name"), F.lit(None).cast("string").alias("home_evidence"), F.lit(False).alias("is_semantic"),
-        "c.claim_seq", "p.pred_seq", "e.ev_seq", "p.dim_seq")
+    aimed = said.where(~open_).withColumn("target", F.explode(F.array_distinct("evidence_ids"))).drop("evidence_ids")
+    same = F.col("observable") == F.col("name")
+    met = aimed.join(seen, same & (F.col("target") == F.col("evidence_id"))).drop("target").unionByName(said.where(open_).drop("evidence_ids").join(seen, same))
+    rows = met.select(
+        "claim_id", "evidence_id", "observable", "pred_value", F.coalesce("scale", F.lit("normalized_binary")).alias("scale"),
+        regime(F.col("explicit"), F.col("claim_paper") == F.col("ev_paper"), F.col("keywords"), F.col("haystack")).alias("regime_tag"),
+        F.least(F.coalesce("c_confidence", F.lit(0.5)), F.coalesce("e_confidence", F.lit(0.5))).alias("confidence"),
+        "claim_seq", "pred_seq", "ev_seq", "dim_seq", "actual", "ev_paper", "claim_paper", "init_in", "init_out", "final_in", "final_out")
     first = Window.partitionBy("claim_id", "evidence_id").orderBy("pred_seq", "ev_seq", "dim_seq")
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "dim_seq")
+    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "dim_seq")
+    none = F.lit(None).cast("string")
+    named = kept.withColumns({"edge_id": F.concat("claim_id", F.lit("__"), "evidence_id"), "group_name": none, "home_evidence": none, "is_semantic": F.lit(False)})
+    return named.select(*BASE, "ev_paper", "claim_paper", "init_in", "init_out", "final_in", "final_out", "actual")
+
+
+def prediction_edges(m: ClaimMap) -> DataFrame:
+    """Predictions joined to evidence by observable, restricted to explicit targets where there are any.
+
+    Of several for one claim and evidence the first wins, by prediction, then evidence order.
+    """
+    return wired_predictions(m).select(*BASE)
 
 
 def targets(m: ClaimMap) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import edges, propagation, residuals, state, subjects
+from claimloom.operators import edges, propagation, state, subjects
 from claimloom.sources.model import ClaimMap
 from claimloom.sources.scratch import settle
 from claimloom.sources.snapshots import Snapshots, Update, fingerprints
@@ -39,7 +39,7 @@ class LivingMap:
         self.groups, self.claims = Snapshots(spark, f"{folder}/groups"), Snapshots(spark, f"{folder}/claims")
 
     def update(self, m: ClaimMap, incoming: list[str]) -> tuple[Update, Update]:
-        base = settle(residuals.wired(m, edges.prediction_edges(m)), "base-edges")
+        base = settle(edges.wired_predictions(m), "base-edges")
 
         def ideas(units: DataFrame) -> dict[str, DataFrame]:
             some = replace(m, members=m.members.join(units, F.col("group_name").eqNullSafe(F.col("unit")), "left_semi"))

@@ -63,7 +63,7 @@ class SummedRun:
     def __init__(self, m: ClaimMap, incoming: list[str]):
         self.map, self.incoming = m, incoming
         # read by several steps: written once
-        self.base = settle(residuals.wired(m, edges.prediction_edges(m)), "base-edges")
+        self.base = settle(edges.wired_predictions(m).select(*propagation.USED), "base-edges")
         self.sums = settle(propagation.propagated(m, self.base), "claim-sums")
 
     @property

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.sources.model import ClaimMap
+from claimloom.sources.scratch import settle
 
 
 def hundredths(total: F.Column, count: F.Column) -> F.Column:
@@ -20,7 +21,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> ClaimMap:
     first labelled document, and, if it has toxic ones there, its mean toxicity wherever that is observed.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
-    seen = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    seen = settle(docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id"), "labelled")  # all tables of the map are made of it
     ev = F.concat(F.lit("ev_"), F.col("doc_id").cast("string"))
     evidence = seen.select(
         ev.alias("evidence_id"), F.col("source").alias("paper_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("label"), F.col("doc_id").alias("ev_seq"), F.col("lang").alias("system"),
@@ -29,9 +30,9 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> ClaimMap:
     dimensions = seen.select(ev.alias("evidence_id"), F.lit(0).alias("dim_seq"), F.col("lang").alias("name"), F.col("quality").cast("double").alias("value"), scale.alias("scale")).unionByName(
         seen.select(ev.alias("evidence_id"), F.lit(1).alias("dim_seq"), F.concat(F.lit("toxic_"), "lang").alias("name"), F.col("toxic").cast("double").alias("value"), scale.alias("scale")))
     members = seen.select(F.col("lang").alias("group_name"), F.concat(F.lit("Quality in "), "lang").alias("title"), F.lit("").alias("description"), F.col("doc_id").cast("int").alias("member_seq"), ev.alias("evidence_id"))
-    by = seen.groupBy("source", "lang").agg(
+    by = settle(seen.groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"), F.sum("toxic").alias("t"), F.sum("n_chars").alias("c"), F.min("doc_id").alias("first_doc"),
-        F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: F.concat(F.lit("ev_"), d.cast("string"))).alias("own"))
+        F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: F.concat(F.lit("ev_"), d.cast("string"))).alias("own")), "labelled-claims")
     claim_id = F.concat("source", F.lit("_"), "lang")
     claims = by.select(
         claim_id.alias("claim_id"), F.col("source").alias("paper_id"), F.concat("source", F.lit(" in "), "lang").alias("label"), F.col("first_doc").alias("claim_seq"), F.col("lang").alias("system"), F.lit("text").alias("framework"),
@@ -54,12 +55,15 @@ def shipped_parts(spark: SparkSession, sf_dir: str) -> ClaimMap:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
     whole = lines.agg(F.sum("r").alias("all_r"), F.count(F.lit(1)).alias("all_n"))
     by_part = lines.groupBy("l_partkey").agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("first_supplier")).join(parts, F.col("l_partkey") == F.col("p_partkey")).crossJoin(F.broadcast(whole))  # one row
+    # lines are read for two tables, of which all others are made
+    by_part = settle(by_part, "shipped-parts")
     ev, paper = F.concat(F.lit("part_"), F.col("l_partkey").cast("string")), F.concat(F.lit("supplier_"), F.col("first_supplier").cast("string"))
     evidence = by_part.select(ev.alias("evidence_id"), paper.alias("paper_id"), F.lit("").alias("label"), F.col("l_partkey").alias("ev_seq"), F.col("p_brand").alias("system"), F.lit("parts").alias("framework"), F.lit("").alias("regime"), F.lit(0.9).alias("confidence"))
     scale = F.lit("normalized_binary").alias("scale")
     dimensions = by_part.select(ev.alias("evidence_id"), F.lit(0).alias("dim_seq"), F.col("p_brand").alias("name"), F.when(F.col("r") * F.col("all_n") >= F.col("all_r") * F.col("n"), 1.0).otherwise(0.0).alias("value"), scale)
     members = by_part.select(F.col("p_brand").alias("group_name"), F.col("p_brand").alias("title"), F.lit("").alias("description"), F.col("l_partkey").cast("int").alias("member_seq"), ev.alias("evidence_id"))
     shipped = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("l_partkey")).alias("own"))
+    shipped = settle(shipped, "shipped-claims")
     claim_id = F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string"), F.lit("_"), "p_brand")
     one = F.lit(1.0)
     claims = shipped.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimloom import constants as K
 from claimloom.operators import edges, propagation, residuals, state
 from claimloom.plans.run_state import SummedRun
+from claimloom.sources import bindings
 from tests.test_claim_map import full, make
 
 VALUES = [0.0, 0.1, 0.25, 0.3, 0.5, 0.52, 0.75, 1.0]
@@ -80,3 +81,16 @@ def test_no_row_for_a_propagated_edge(spark):
     one = sums.where("claim_id = 'c4'").first()  # carries 0.5
     assert one.contradicting == sum((0.5 - VALUES[i % 8]) ** 2 > 0.05 for i in range(n) if i != 4)
     assert one.stature == len({i % 300 for i in range(n) if (0.5 - VALUES[i % 8]) ** 2 <= 0.05})
+
+
+def test_wired_predictions_are_wired_edges(spark):
+    m = random_map(spark, 3, True)
+    got, want = edges.wired_predictions(m), residuals.wired(m, edges.prediction_edges(m))
+    assert sorted(map(repr, map(tuple, got.select(want.columns).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+@pytest.mark.parametrize("bind", [bindings.shipped_parts, bindings.labelled_documents])
+def test_a_map_does_not_read_the_given_tables_again(spark, bind):
+    m = bind(spark, "/root/testdata/sf0.001")
+    read = {file for t in (m.claims, m.predictions, m.evidence, m.dimensions, m.members) for file in t.inputFiles()}
+    assert read and not any("/testdata/" in file for file in read)
