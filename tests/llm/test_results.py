@@ -608,6 +608,18 @@ def test_stupid_backoff_rows(spark):
     same([(r.order_id, round(r.log_sum, 9), r.twos, r.longer) for r in got], [(1, round(2 * math.log(3) + (6 - 2) / 2 * math.log(5), 9), 2.0, 2.0)])
 
 
+def test_stupid_backoff_of_many_blocks(spark):
+    """Blocks and buckets change no score, rows give the same, and a block sends a common word once."""
+    got = lm_score.score(awkward.table(spark), passes=3, block_bytes=500, bucket_grams=40).collect()
+    same([(r.doc_id, r.n_words, round(r.log_score, 5)) for r in got], plain_scores(3, True))
+    same([(r.doc_id, r.n_words, round(r.log_score, 5)) for r in lm_score.score_by_rows(awkward.table(spark), passes=2).collect()], plain_scores(3, True))
+    docs = spark.range(90).selectExpr("id % 3 as block", "concat('the the ', id) as text")
+    told = [r for part in range(2) for r in lm_score.answered(docs, 1, part, 2, 4).collect()]
+    counts = [lm_score.unpacked(r.counts).tolist() for r in told]
+    assert len(told) <= 3 * 8 and sum(r.words for r in told) == 270
+    assert sorted(sum(counts, [])) == [1] * 90 + [180] * 3
+
+
 def test_stupid_backoff_query(spark, tmp_path):
     from claimloom.llm.queries import QUERIES
 
