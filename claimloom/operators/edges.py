@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from claimloom.sources.model import ClaimMap, first_dimensions
 
 IN, OUT = "in_regime", "out_of_regime"
+#: Evidence is dealt to so many shares, so that an open prediction meets the evidence of its observable in as many tasks.
+SHARES = 64
 
 
 def observable_groups(dimensions: DataFrame) -> DataFrame:
@@ -40,7 +42,8 @@ def wired_predictions(m: ClaimMap) -> DataFrame:
     # targets are rows: they meet their own evidence only, not all of their observable
     aimed = said.where(~open_).withColumn("target", F.explode(F.array_distinct("evidence_ids"))).drop("evidence_ids")
     same = F.col("observable") == F.col("name")
-    met = aimed.join(seen, same & (F.col("target") == F.col("evidence_id"))).drop("target").unionByName(said.where(open_).drop("evidence_ids").join(seen, same))
+    met = aimed.join(seen, same & (F.col("target") == F.col("evidence_id"))).drop("target").unionByName(
+        said.where(open_).drop("evidence_ids").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).join(seen.withColumn("of", F.pmod(F.xxhash64("evidence_id"), F.lit(SHARES)).cast("int")), same & (F.col("share") == F.col("of"))).drop("share", "of"))
     rows = met.select(
         "claim_id", "evidence_id", "observable", "pred_value", F.coalesce("scale", F.lit("normalized_binary")).alias("scale"),
         regime(F.col("explicit"), F.col("claim_paper") == F.col("ev_paper"), F.col("keywords"), F.col("haystack")).alias("regime_tag"),

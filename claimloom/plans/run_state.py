@@ -84,7 +84,7 @@ class SummedRun:
         return state.hygiene_of_sums(self.map, self.sums)
 
 
-def claim_history(versions: list[Run]) -> DataFrame:
+def claim_history(versions: list[Run] | list[SummedRun]) -> DataFrame:
     """claim_id, version (from 1), from_in, from_out, to_in, to_out, final_residual, lambda: how claims' states changed from version to version.
 
     versions: a map as it changed. Claims start from the initial states of their first version; a version that has no edge of a claim, or leaves its
