@@ -14,6 +14,9 @@ from claimloom.sources.snapshots import Snapshots, Update, fingerprints
 
 CLAIM = ["paper_id", "claim_seq", "label", "system", "framework", "keywords"]
 
+#: What is read of base edges: by their sums, and by their fingerprints.
+WIRED = [*propagation.USED, "observable"]
+
 
 def group_records(m: ClaimMap, incoming: list[str]) -> DataFrame:
     """All that a group's ideas are derived from: a row for each explicit stance, with its claim, and each member."""
@@ -28,19 +31,20 @@ def claim_records(m: ClaimMap, base: DataFrame) -> DataFrame:
     groups = fingerprints(propagation.carried_values(m), "group_name").select(F.col("unit").alias("group_name"), "h_1", "h_2", "n")
     home = edges.home_predictions(m).join(groups, "group_name").join(m.claims.select("claim_id", "init_in", "init_out"), "claim_id")
     aimed = edges.targets(m).select("claim_id", F.col("evidence_id").alias("target"))
-    wired = base.select("claim_id", "edge_id", "observable", "pred_value", "regime_tag", "actual", "ev_paper", "init_in", "init_out")
+    wired = base.select("claim_id", F.concat("claim_id", F.lit("__"), "evidence_id").alias("edge_id"), "observable", "pred_value", "regime_tag", "actual", "ev_paper", "init_in", "init_out")
     return home.drop("paper_id", "claim_seq").unionByName(aimed, allowMissingColumns=True).unionByName(wired, allowMissingColumns=True)
 
 
 class LivingMap:
-    """Ideas with their status and relations by group, and sums and hygiene by claim."""
+    """Ideas with their status and relations by group, and sums and hygiene by claim; either part can be kept without the other."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.groups, self.claims = Snapshots(spark, f"{folder}/groups"), Snapshots(spark, f"{folder}/claims")
 
     def update(self, m: ClaimMap, incoming: list[str]) -> tuple[Update, Update]:
-        base = settle(edges.wired_predictions(m), "base-edges")
+        return self.update_groups(m, incoming), self.update_claims(m)
 
+    def update_groups(self, m: ClaimMap, incoming: list[str]) -> Update:
         def ideas(units: DataFrame) -> dict[str, DataFrame]:
             some = replace(m, members=m.members.join(units, F.col("group_name").eqNullSafe(F.col("unit")), "left_semi"))
             found = settle(subjects.ideas(some), "touched-ideas")
@@ -48,6 +52,11 @@ class LivingMap:
             unit = F.col("group_name").alias("unit")
             return {"status": subjects.with_status(found, related, incoming).select("*", unit), "relations": related.select("*", unit)}
 
+        return self.groups.update(fingerprints(group_records(m, incoming), "group_name"), ideas)
+
+    def update_claims(self, m: ClaimMap) -> Update:
+        base = settle(edges.wired_predictions(m).select(*WIRED), "base-edges")
+
         def sums(units: DataFrame) -> dict[str, DataFrame]:
             mine = lambda df: df.join(units.withColumnRenamed("unit", "claim_id"), "claim_id", "left_semi")
             some = replace(m, claims=mine(m.claims), predictions=mine(m.predictions))
@@ -55,8 +64,7 @@ class LivingMap:
             hygiene = state.hygiene_of_sums(some, found)
             return {"sums": found.select("*", F.col("claim_id").alias("unit")), "hygiene": hygiene.select("*", F.col("claim_id").alias("unit"))}
 
-        by_group = self.groups.update(fingerprints(group_records(m, incoming), "group_name"), ideas)
-        return by_group, self.claims.update(fingerprints(claim_records(m, base), "claim_id"), sums)
+        return self.claims.update(fingerprints(claim_records(m, base), "claim_id"), sums)
 
     def ideas(self) -> tuple[DataFrame, DataFrame]:
         """Ideas with their status, and their relations."""

@@ -32,9 +32,11 @@ class Update:
 def fingerprints(rows: DataFrame, unit: str) -> DataFrame:
     """unit, h_1, h_2, n of rows in any order: sums of two hashes of each row wrap around, as equal rows must not cancel out."""
     of = [c for c in rows.columns if c != unit]
-    wrap = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)")).cast("decimal(38,0)")
-    within = lambda total: (total % F.lit(2**62).cast("decimal(20,0)")).cast("long")
-    sums = rows.groupBy(F.col(unit).cast("string").alias("unit")).agg(wrap(*of).alias("a"), wrap(F.lit("second"), *reversed(of)).alias("b"), F.count(F.lit(1)).alias("n"))
+    # of 64-bit hashes by halves, modulo 2**62
+    half = lambda h: F.struct(F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(2**32 - 1))).alias("low"))
+    within = lambda t: F.pmod(t["high"] + F.shiftright(t["low"], 32), F.lit(2**30)) * F.lit(2**32) + t["low"].bitwiseAND(F.lit(2**32 - 1))
+    hashed = rows.select(F.col(unit).cast("string").alias("unit"), F.xxhash64(*of).alias("a"), F.xxhash64(F.lit("second"), *reversed(of)).alias("b"))
+    sums = hashed.groupBy("unit").agg(half(F.col("a")).alias("a"), half(F.col("b")).alias("b"), F.count(F.lit(1)).alias("n"))
     return sums.select("unit", within(F.col("a")).alias("h_1"), within(F.col("b")).alias("h_2"), "n")
 
 

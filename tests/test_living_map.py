@@ -96,3 +96,40 @@ def test_differences_are_null_safe(spark):
     assert got == [("contest_introduced", "a", None, "contests"), ("idea_added", "b", None, "novel"), ("idea_removed", "b,c", "established", None), ("status_changed", "a", "established", "contested"), ("support_gone", "a", "supports", None)]
     same = diff.map_changes((before, old), (before, old))
     assert same.count() == 0
+
+
+def test_queries_keep_what_they_ask_for(spark, monkeypatch):
+    """Groups without claims' sums, claims without ideas; histories and sums without a row for a propagated edge."""
+    from claimloom.operators import edges, propagation
+    from claimloom.plans.queries import QUERIES
+
+    def never(*_):
+        raise AssertionError
+
+    data = "/root/testdata/sf0.001"
+    with monkeypatch.context() as patch:
+        patch.setattr(propagation, "propagated", never)
+        patch.setattr(edges, "wired_predictions", never)
+        assert QUERIES["living_status"](spark, data).count() > 0
+    with monkeypatch.context() as patch:
+        patch.setattr(subjects, "ideas", never)
+        patch.setattr(edges, "semantic_edges", never)
+        assert QUERIES["living_sums"](spark, data).count() > 0
+        assert QUERIES["claim_history"](spark, data).count() > 0
+
+
+def test_open_predictions_meet_evidence_by_shares(spark):
+    m = make(spark, [("c1", "p1", []), ("c2", "p2", [])], [("c1", "x", 1, [], None), ("c2", "x", 0, ["e7", None], None)], [(f"e{i}", "p1", "x", 1) for i in range(200)])
+    from claimloom.operators import edges
+
+    found = edges.prediction_edges(m)
+    assert sorted(r["count"] for r in found.groupBy("claim_id").count().collect()) == [1, 200]
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "(observable#" in x]
+    assert len(joins) == 2 and any("share#" in x for x in joins)
+
+
+def test_fingerprints_add_up_hashes(spark):
+    rows_ = spark.range(1000).selectExpr("'u' as unit", "id", "cast(id as string) as s")
+    want = [sum(r[i] for r in rows_.select(F.xxhash64("id", "s"), F.xxhash64(F.lit("second"), "s", "id")).collect()) % 2**62 for i in (0, 1)]
+    got = fingerprints(rows_, "unit").first()
+    assert (got.h_1, got.h_2, got.n) == (*want, 1000)
