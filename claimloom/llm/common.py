@@ -32,13 +32,13 @@ def _released_shuffles(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     with _released_shuffles(spark):
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

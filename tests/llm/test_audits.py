@@ -222,3 +222,34 @@ def test_audit_of_no_terms(spark):
     assert divergence.audit(spark.createDataFrame([], schema)).count() == 0
     found = divergence.audit(spark.createDataFrame([(1, "a", None, "en"), (2, "b", "", "en")], schema)).select(AUDIT).collect()
     same(found, [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)])
+
+
+def test_tokens_of_a_block(spark):
+    """What the fit and the vectors read stands for the documents, and doesn't grow with repeats of words in a block."""
+    rows = [(r[2] or "", r[3] or "", r[1] or "") for r in awkward.rows()] + [("zz", "s", "one two one"), ("zz", "t", "two"), ("zz", "t", "")] * 300
+    docs = spark.createDataFrame([(i, s or None, t or None, lang or None) for i, (lang, s, t) in enumerate(rows)], "doc_id long, source string, text string, lang string").coalesce(1)
+    texts, counts = Counter(), Counter()
+    for lang, source, text in rows:
+        words = TERM.findall(ascii_lower(text))
+        texts.update({f"{lang}\x1f{w}" for w in words})
+        counts.update((lang, source, f"{lang}\x1f{w}") for w in words)
+    found, sums, groups, sent = Counter(), Counter(), set(), 0
+    for r in divergence.tokens(docs).collect():
+        assert len(r.words) == len(set(r.words))
+        if r.fit:
+            found.update(r.words)
+        else:
+            groups.add((r.lang, r.source))
+            sums.update({(r.lang, r.source, w): r.times for w in r.words})
+        sent += len(r.words) * (r.lang == "zz")
+    assert found == {w: min(n, 3) for w, n in texts.items()}
+    assert sums == counts
+    assert groups == {(lang, source) for lang, source, _ in rows}
+    assert sent <= 2 * 3 + 3 * 10 < 1200
+
+
+def test_frequency_of_large_counts(spark):
+    cases = [(0, 0, 0), (0, 5, 2), (999_999_998, 10**12, 7), (10**9, 10**12, 7), (9 * 10**15, 10**16 + 1, 3)]
+    table = spark.createDataFrame(cases, "count long, total long, terms long")
+    found = table.select("count", "total", "terms", divergence.frequency(*(table[c] for c in table.columns)).alias("p")).collect()
+    same(found, [(c, n, v, 1 + (10**9 * (c + 1) // (n + v) if n + v else 0)) for c, n, v in cases])
