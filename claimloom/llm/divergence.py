@@ -187,7 +187,7 @@ def group_sums(vectors: DataFrame) -> DataFrame:
             yield packed(*added(held), list(numbers))
 
     def packed(keys: np.ndarray, counts: np.ndarray, groups: list[tuple]) -> pa.RecordBatch:
-        bucket = keys % BUCKETS  # of the index, as its bits are the lowest
+        bucket = (keys & 0xFFFFFFFF) % BUCKETS
         order = np.argsort(bucket, kind="stable")
         keys, counts, bucket = keys[order], counts[order], bucket[order]
         group, index = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)

@@ -253,3 +253,12 @@ def test_frequency_of_large_counts(spark):
     table = spark.createDataFrame(cases, "count long, total long, terms long")
     found = table.select("count", "total", "terms", divergence.frequency(*(table[c] for c in table.columns)).alias("p")).collect()
     same(found, [(c, n, v, 1 + (10**9 * (c + 1) // (n + v) if n + v else 0)) for c, n, v in cases])
+
+
+def test_audit_in_small_pieces(spark, monkeypatch):
+    """With a block for each slice of texts, two words a row and three buckets."""
+    for name, value in (("BLOCK", 1), ("ROW", 2), ("BUCKETS", 3), ("ENTRIES", 5)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = [("xx", s, t) for s in ("a", "b", "c") for t in ("one two one É é", "one two three a_b", "two É four")] + [("yy", "a", "")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string").repartition(4)
+    same(divergence.audit(docs).select(AUDIT).collect(), plain_audit(rows))
