@@ -15,8 +15,8 @@ import numpy as np
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The pre-tokenizer patterns of the two kinds of file, restricted to the plain characters.
-WORD_PIECES = re.compile(f"{SHORT}|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
-BYTE_PIECES = re.compile(f"{SHORT}| ?[{LATIN}]+| ?[0-9]+| ?[^\\s{LATIN}0-9]+|\\s+(?!\\S)|\\s+")
+WORD_PIECES = re.compile(f"[{LATIN}]++|{SHORT}|[0-9]|[^\\s{LATIN}0-9]+")
+BYTE_PIECES = re.compile(f" [{LATIN}]++|[{LATIN}]++|{SHORT}| ?[0-9]+| ?[^\\s{LATIN}0-9]+|\\s+(?!\\S)|\\s+")
 #: What such files say of their normalizer and pre-tokenizer; a file of any other kind is left to the whole tokenizer.
 SPLIT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_KIND = (
@@ -39,7 +39,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """path: a BPE file of the tokenizers library with byte-level pieces."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,13 +49,15 @@ class Encoder:
         self.known, self.drops_space = kind in (WORD_KIND, BYTE_KIND), kind == WORD_KIND
         self.special = [t["content"] for t in shape["added_tokens"]]
         self.split = WORD_PIECES.findall if self.drops_space else BYTE_PIECES.findall
-        self.pieces, self.parts = _Pieces(self.tokenizer, keep), _Parts(self, keep // 4)
+        self.pieces, self.parts = _Pieces(self.tokenizer, keep), _Parts(self, keep // 8)
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.known or any(s in text for s in self.special) or (not self.drops_space and ODD.search(text)):
+        if not self.known or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if PLAIN.fullmatch(text):
             return np.frombuffer(self.plain(text), "<u4")
+        if not self.drops_space and ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         parts = text.encode().split() if self.drops_space else PART.findall(text)
         return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), "<u4")
 
@@ -63,36 +65,52 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.drops_space else text)))
 
 
-class _Pieces(dict):
-    """Ids of what the pre-tokenizer makes of a plain text, by the tokenizer's model."""
+class _Kept(dict):
+    """What make() gives for a key, remembered for the keys seen of late: of two halves the older one goes once the newer is full."""
 
-    def __init__(self, tokenizer, keep: int):
-        self.merge, self.keep, self.letters = tokenizer.model.tokenize, keep, byte_letters()
+    def __init__(self, keep: int):
+        self.keep, self.older = keep, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, key) -> bytes:
         if len(self) >= self.keep:
+            self.older = dict(self)
             self.clear()
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self[piece] = np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
         return ids
 
 
-class _Parts(dict):
+class _Pieces(_Kept):
+    """Ids of what the pre-tokenizer makes of a plain text, by the tokenizer's model."""
+
+    def __init__(self, tokenizer, keep: int):
+        super().__init__(keep)
+        self.merge, self.letters = tokenizer.model.tokenize, byte_letters()
+        self.bytes = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values()) + 1)]
+
+    def make(self, piece: str) -> bytes:
+        if piece.isascii():  # of a plain text, so all but these two stand for themselves
+            letters = piece.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [self.bytes[t.id] for t in self.merge(letters)]
+        return ids[0] if len(ids) == 1 else b"".join(ids)
+
+
+class _Parts(_Kept):
     """Ids of the parts of other texts."""
 
     def __init__(self, of: Encoder, keep: int):
-        self.of, self.keep = of, keep
+        super().__init__(keep)
+        self.of = of
 
-    def __missing__(self, part) -> bytes:
-        if len(self) >= self.keep:
-            self.clear()
+    def make(self, part) -> bytes:
         text = part.decode() if self.of.drops_space else part
         if PLAIN.fullmatch(text):
-            ids = self.of.plain(text)
-        else:
-            ids = np.array(self.of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[part] = ids
-        return ids
+            return self.of.plain(text)
+        return np.array(self.of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

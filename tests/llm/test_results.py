@@ -142,6 +142,22 @@ def test_bit_packed_ids(spark):
     assert bitpack.read_packed(bitpack.write_packed(awkward.empty(spark), path, 1)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_frequent_pieces_are_merged_once_whatever_rare_ones_come(name):
+    from claimloom.llm.tokenize import Encoder
+
+    path = public_tokenizers.path(name)
+    encoder, tokenizer, merged = Encoder(path, keep=60), Tokenizer.from_file(path), []
+    merge = encoder.pieces.merge
+    encoder.pieces.merge = lambda letters: merged.append(letters) or merge(letters)
+    marks = ["", "it's  'll\n\n x", " 's  'S''s", "Ünï çÀ\n \n", "a 12 3,4 !?'d  ", " \nö'vex 've"]
+    for i in range(600):
+        text = f"and the {chr(97 + i % 26)}{chr(97 + i // 26)}qz, the {marks[i % 6]} the"
+        assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(letters.lstrip("Ġ") == "the" for letters in merged) <= 2
+    assert len(encoder.pieces) <= 60
+
+
 def test_files_of_another_kind_go_through_the_whole_tokenizer(tmp_path):
     import json
 
