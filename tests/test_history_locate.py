@@ -98,6 +98,64 @@ def test_goals_meet_a_block_in_slices(monkeypatch, cells, k):
     assert sorted(got) == sorted(r for g in range(4) for r in [r for r in want if r[0] == g][:k])
 
 
+def test_a_least_score_spares_postings_and_loses_nothing(monkeypatch):
+    """With the score to beat known, a block reads a small part of the postings that its goals share with it."""
+    draw = random.Random(8)
+    drawn = {(min(int(draw.paretovariate(0.6)), 400), draw.randrange(500)): None for _ in range(30_000)}
+    rows = [{"place": p, "subject": s, "weight": 20 * (p + 9) // draw.randrange(9, 40)} for p, s in drawn]
+    asked = [sorted({min(int(draw.paretovariate(0.4)), 400) for _ in range(25)} | {401}) for _ in range(40)]
+    weights, want = {(r["place"], r["subject"]): r["weight"] for r in rows}, []
+    for g, words in enumerate(asked):
+        scores = {s: sum(weights.get((w, s), 0) for w in words) for s in range(500)}
+        want += [(g, s, -n) for n, s in sorted((-n, s) for s, n in scores.items() if n)[:3]]
+    least = [next(n for i, _, n in reversed(want) if i == g) for g in range(40)]
+    block, read = locate._Block([pa.RecordBatch.from_pylist(rows)]), []
+
+    class Spy:
+        def __init__(self, of):
+            self.of = of
+
+        def __getitem__(self, posting):
+            read.append(len(posting))
+            return self.of[posting]
+
+    block.of = Spy(block.of)
+    for cells in (1, 2000, 1 << 20):
+        monkeypatch.setattr(locate._Block, "CELLS", cells)
+        spent = []
+        for given in ([0] * 40, least):
+            read.clear()
+            got = [(int(g), int(s), int(n)) for found in block.best(pa.record_batch({"words": asked, "least": given}), 3) for g, s, n in zip(*found, strict=True)]
+            assert got == want
+            spent.append(sum(read))
+        assert spent[1] * 2 < spent[0], spent
+
+
+@pytest.mark.parametrize(("block_chars", "probes", "slices"), [(40, 1, 1), (300, 2, 3), (1 << 20, 2, 1)])
+def test_texts_are_located_as_by_scoring_everything(spark, monkeypatch, block_chars, probes, slices):
+    """Subjects in several rows, of several sizes; null and empty texts; words in upper case and with other letters."""
+    monkeypatch.setattr(locate, "FIRST_GOALS", 20 // slices)
+    monkeypatch.setattr(locate, "PACK", 3)
+    draw = random.Random(9)
+    rare = [f"w{c}\u00e9" for c in "abcdefghijklmnopqrst"]
+    texts = [(i % 50, " ".join(draw.choices(["The", "of"], k=2) + draw.choices(rare, k=draw.choice([0, 1, 3, 30])))) for i in range(70)] + [(50, None), (51, ""), (3, None)]
+    goals = [(f"g{i}", " ".join(draw.choices(["the", "OF", *rare], k=6))) for i in range(20)] + [("none", None), ("strange", "unheard")]
+    made = spark.createDataFrame(texts, "subject long, text string").repartition(3)
+    asked = locate.words(spark.createDataFrame(goals, "goal string, text string"), "text", "goal")
+    rows = locate.postings(locate.words(made.withColumn("block", locate.F.lit("b")), "text", "subject", "block"), 52, asked)
+    weights = {(r.word, r.subject): r.weight for r in rows.collect()}
+    index = locate.lists(made, 52, asked, block_chars)
+    assert {(r.word, s): n for r in index.collect() for s, n in zip(r.subjects, r.weights, strict=True) if n} == weights
+    want = []
+    for goal, text in goals:
+        said = set((text or "").lower().split())
+        scores = {s: sum(weights.get((w, s), 0) for w in said) for s in range(52)}
+        best = sorted((-n, s) for s, n in scores.items() if n)[:3]
+        want += [(goal, s, -n, i + 1, sorted(w for w in said if (w, s) in weights)) for i, (n, s) in enumerate(best)]
+    got = locate.locate(asked, index, 3, probes).select("goal", "subject", "score", "rank", "scope_words")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_rarer_and_repeated_words_weigh_more(spark):
     scopes = spark.createDataFrame([(1, "b", "rare rare all"), (2, "b", "half all"), (3, "b", "half all"), (4, "b", "rare2 all")], "subject long, block string, text string")
     weights = {(r.word, r.subject): r.weight for r in locate.postings(locate.words(scopes, "text", "subject", "block"), 4).collect()}
